@@ -41,3 +41,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM dw LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op3_curriculum_mix"] = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS k
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+c AS (SELECT *, CAST([5, 2, 1][rank % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM r),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c),
+f AS (SELECT level FROM l WHERE level <= cap / weight ORDER BY cap / weight, rank LIMIT 1),
+t AS (SELECT source, source_size, rank, coalesce(least(cap, (SELECT level FROM f) * weight), cap) AS target FROM l),
+p AS (
+  SELECT doc_id, size, source_size, target, rank,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, CASE WHEN size > 0 AND middle <= target THEN 1 ELSE 0 END + CASE WHEN size > 0 AND middle + source_size <= target THEN 1 ELSE 0 END AS copies,
+    middle / nullif(target, 0) AS u
+  FROM p)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+  round(CASE WHEN copies > 0 THEN CASE rank % 3
+    WHEN 0 THEN u
+    WHEN 1 THEN CASE WHEN u < 0.3 THEN 2 * u / (0.2 + sqrt(0.04 + 3.2 * u)) ELSE 0.5 + 2 * (u - 0.3) / (1 + sqrt(1 + 3.2 * (u - 0.3))) END
+    ELSE CASE WHEN u < 0.7 THEN 2 * u / (1.8 + sqrt(greatest(0, 3.24 - 3.2 * u))) ELSE 0.5 + 2 * (u - 0.7) / (1 + sqrt(greatest(0, 1 - 3.2 * (u - 0.7)))) END
+    END END, 6) AS first_position
+FROM q
+"""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import decontaminate, minhash_dedup, substring_dedup
+from edgeloom.llm import curriculum, decontaminate, minhash_dedup, substring_dedup, token_files
 from edgeloom.llm.oracles import ORACLES as ORACLES
 
 
@@ -15,6 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = curriculum.mixing_plan(_table(spark, sf_dir, "documents"))
+    return plan.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.size("positions") * F.col("size")).alias("taken"),
+        F.round(F.get("positions", F.lit(0)), 6).alias("first_position"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
@@ -37,8 +50,15 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_curriculum_mix": op3_curriculum_mix,
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_token_files": op9_token_files,
 }
