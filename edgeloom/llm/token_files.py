@@ -14,8 +14,6 @@ ranks (one row for each id in use, so bounded by the vocabulary), and read back
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import textkernels as K
-from edgeloom.llm.common import cut, partitions_for, shared_folder, small_batches
+from edgeloom.llm.common import cut, partitions_for, shared_folder, small_batches, unique_name
 
 END_ID = 2
 PART_BYTES = 16 << 20
@@ -335,7 +333,7 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def scratch_path(spark: SparkSession) -> str:
     """A new place for token files in the folder that driver and executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{unique_name('token-files')}"
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID) -> DataFrame:
