@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import curriculum, decontaminate, minhash_dedup, quality, substring_dedup, token_files
+from edgeloom.llm import curriculum, decontaminate, itq_dedup, minhash_dedup, quality, substring_dedup, token_files
 from edgeloom.llm.oracles import ORACLES as ORACLES
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_itq_dedup": op1_itq_dedup,
     "op2_quality": op2_quality,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_decontaminate": op4_decontaminate,
