@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from edgeloom.llm import textkernels as K
 from edgeloom.llm.common import small_batches
@@ -29,7 +30,7 @@ SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.2), (0.5, 1.0), (1.0, 1.8)), ((0
 DOCS_PER_BUCKET = 20_000
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Number of words between white space; 0 for null."""
     data, offs = K.text_bytes(text)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from edgeloom.llm import textkernels as K
 from edgeloom.llm.common import small_batches
@@ -217,7 +218,7 @@ def scorer(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def score(text: pa.Array, *meta: pa.Array) -> pa.Array:
         data, offs = K.text_bytes(text)
         columns, out = _meta(meta), [np.zeros(0)]
