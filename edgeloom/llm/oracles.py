@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express over whole tables."""
 
+from edgeloom.llm import license_scan
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op4_decontaminate"] = """
@@ -71,3 +73,118 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
     END END, 6) AS first_position
 FROM q
 """
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_PLAIN = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+ORACLES["op1_itq_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.a) AS n_links, component_id, a = component_id AS kept FROM c
+"""
+
+_CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+
+def _escaped_length(c: str) -> str:
+    starts = " + ".join(f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in ("\\", *_CONTROLS))
+    return f"(length({c}) + {starts})"
+
+
+ORACLES["op6_chat_format"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len("".join(_CONTROLS[:3]))} + {_escaped_length('role')} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLES["op7_minhash_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id, coalesce(m, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""
+
+
+def _url_oracle(order: int = 5) -> str:
+    levels = []
+    for k in range(1, order + 1):
+        lower = {s: f"t{k - 1}.{s}" if k > 1 else "(1.0::DOUBLE / 256)" for s in "ar"}
+        columns = ", ".join(
+            f"CASE WHEN sum(g.{s}) OVER x > 0 THEN (g.{s} + sum((g.{s} > 0)::INT) OVER x * {lower[s]})::DOUBLE / (sum(g.{s}) OVER x + sum((g.{s} > 0)::INT) OVER x) ELSE {lower[s]} END AS {s}"
+            for s in "ar"
+        )
+        joined = f" JOIN t{k - 1} ON t{k - 1}.gram = right(g.gram, {k - 1})" if k > 1 else ""
+        levels.append(f"t{k} AS (SELECT g.gram, {columns} FROM (SELECT right(w, {k}) AS gram, sum(a)::BIGINT AS a, sum(r)::BIGINT AS r FROM pos GROUP BY 1) g{joined} WINDOW x AS (PARTITION BY left(g.gram, {k - 1})))")
+    return f"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {_AZ}) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_replace(translate(coalesce(url, ''), {_AZ}), '^[^:/?#]*://', '') AS text FROM pages),
+j AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM u),
+t AS (
+  SELECT text, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS a, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS r FROM j GROUP BY text),
+pos AS (SELECT text, a, r, substring(repeat(chr(2), {order - 1}) || text || chr(3), i, {order}) AS w FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)),
+{", ".join(levels)},
+s AS (SELECT text, pos.a, pos.r, sum(ln(t{order}.a) - ln(t{order}.r)) / count(*) AS score FROM pos JOIN t{order} ON gram = w GROUP BY text, pos.a, pos.r),
+b AS (SELECT floor(score / 0.01) AS bin, sum(a) AS a, sum(r) AS r FROM s GROUP BY 1 HAVING sum(a) + sum(r) > 0),
+h AS (
+  SELECT bin, (sum(a) OVER () - coalesce(sum(a) OVER before, 0)) / nullif(sum(a) OVER (), 0)::DOUBLE + coalesce(sum(r) OVER before, 0) / nullif(sum(r) OVER (), 0)::DOUBLE AS gain
+  FROM b WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT coalesce((SELECT bin * 0.01 FROM h WHERE gain IS NOT NULL ORDER BY round(gain, 12) DESC, bin LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN score >= (SELECT cut FROM c) THEN 'allow' ELSE 'block' END AS verdict
+FROM j JOIN s USING (text)
+"""
+
+
+ORACLES["op8_url_filter"] = _url_oracle()
+
+
+def _license_oracle(templates, phrases, containment: float) -> str:
+    values = ", ".join(f"({k}, '{label}', {sorted(set(text.split()))})" for k, (label, text) in enumerate(templates))
+    fixed = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in phrases)
+    return f"""
+WITH templates(k, label, t) AS (VALUES {values}), phrases(p, label, m) AS (VALUES {fixed}),
+d AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_PLAIN}) AS w FROM documents),
+places AS (
+  SELECT doc_id, label, i - 1 AS i
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON array_to_string(w[i:i + m - 1], ' ') = p AND i + m - 1 <= len(w)),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(line, {_AZ}), {_PLAIN})) AS own FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+found AS (
+  SELECT doc_id, label, len(list_intersect(own, t))::DOUBLE / len(t) AS score FROM lines, templates
+  WHERE len(list_intersect(own, t)) >= {containment} * len(t) - 1e-9),
+names AS (SELECT doc_id, label, true AS base, 1.0::DOUBLE AS score FROM places UNION ALL SELECT doc_id, label, false, score FROM found),
+sums AS (
+  SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM names GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
+
+
+ORACLES["op10_license_scan"] = _license_oracle(license_scan.TEMPLATES, license_scan.PHRASES, license_scan.CONTAINMENT)
