@@ -4,19 +4,25 @@ A document's set holds its distinct five-word shingles. Each set gets a signatur
 minima. Documents are posted under every (coordinate, value) pair; the pair's posting count is its
 global frequency. Two sets that reach the wanted similarity agree in about ``coords * similarity``
 coordinates, so ``matches`` of them are required of a candidate (64 and 24 at 0.75: a binomial tail
-of 5e-12 is all that this can lose). That makes it an overlap join with three exact cuts:
+of 5e-11 is all that this can lose). That makes it an overlap join with three exact cuts:
 
 - skip: coordinates that nobody shares are dropped, and with them each document that has fewer than
   ``matches`` shared ones;
 - prefix: ordered by ascending frequency, two documents with ``matches`` common coordinates share one
-  among their first ``shared - matches + 1``, so only those are posted for merging, and coordinates
-  that a common passage made frequent are merged last or never;
+  among their first ``shared - matches + 1``, and at a similarity of 0.75 one among their first
+  ``prefix`` but for one pair in more than ten million, so only those are posted for merging, and
+  coordinates that a common passage made frequent are merged last or never;
 - skip merging: a first merge pairs each document with the one list leader it meets most often; lists
   whose members that already joins into one component are skipped, and only pairs of different
-  components are compared in the rest, a block of each list against another block of it.
-
-Links are confirmed on the full shingle sets. Equal sets are one class from the start, so a group of
-copies never becomes pairs.
+  components are compared in the rest, a block of each list against another block of it. That
+  comparison counts collisions over ``long_coords`` coordinates of one byte, so that documents that
+  share half of their text don't pass (256 and 145 at 0.75: a tail of 5e-11). A block comparison
+  passes on a spanning forest of what it finds, never its pairs.
+
+Links are confirmed on the full shingle sets: those of the first merge pair by pair, then the members
+of each family of candidates block against block, all intersections of two blocks being one product
+of their document x shingle matrices. Again only a spanning forest of the confirmed links is
+returned. Equal sets are one class from the start. So neither copies nor near copies become pairs.
 """
 
 from __future__ import annotations
@@ -29,9 +35,12 @@ from pyspark.sql import functions as F
 from edgeloom.llm import textkernels as K
 from edgeloom.llm.common import components, cut, small_batches
 
-COORDS, MATCHES, SHINGLE, PERCENT = 64, 24, 5, 75
+COORDS, MATCHES, PREFIX, SHINGLE, PERCENT = 64, 24, 16, 5, 75
+LONG_COORDS, LONG_MATCHES = 256, 145
 #: Members of a posting list that meet in one task at a time.
 BLOCK = 256
+#: Members of a family whose full sets meet in one task at a time.
+FAMILY_BLOCK = 128
 
 
 def _factors(coords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,37 +143,103 @@ def _confirm(pairs: DataFrame, packed: DataFrame, size: int, percent: int) -> Da
     return both.where("pa IS NOT NULL AND pb IS NOT NULL").mapInArrow(run, "a long, b long")
 
 
-def _merge(lists: DataFrame, matches: int) -> DataFrame:
-    """Candidate pairs of different components inside lists(key, doc, comp, sig), block by block."""
-    counts = lists.groupBy("key").agg(F.count("*").alias("members"))
-    blocks = lists.join(counts, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = blocks.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
-        F.collect_list(F.struct("doc", "comp", "block", "sig")).alias("members")
-    )
+def _long_signatures(packed: DataFrame, size: int, coords: int) -> DataFrame:
+    """(doc, long): one byte of each of so many minima."""
+
+    def run(batches):
+        a, b = _factors(coords + COORDS)
+        factors = a[COORDS:], b[COORDS:]
+        for batch in batches:
+            out = []
+            for blob, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = np.frombuffer(pa.decompress(blob, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+                sets = _shingles(data, K.find_words(data, np.array([0, n]), K.SPACE_SEPARATED), size)[0]
+                out.append(_signature(sets, factors).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc", "long"])
+
+    return packed.where("packed IS NOT NULL").select("doc", "packed", "size").mapInArrow(run, "doc long, long binary")
+
+
+def _cells(rows: DataFrame, key: str, columns: list[str], block: int) -> DataFrame:
+    """(i, j, members): the rows of each key, block against block, so that no task gets a whole key."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n_members"))
+    dealt = rows.join(counts, key).withColumn("blocks", F.ceil(F.col("n_members") / block).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return cells.agg(F.collect_list(F.struct("doc", "comp", "block", *columns)).alias("members")).select("i", "j", "members")
+
+
+def _forest(doc: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links p-q between positions: each linked document and the smallest one it is connected to."""
+    label, old = doc.copy(), None
+    while old is None or (label != old).any():
+        old = label.copy()
+        np.minimum.at(label, p, old[q])
+        np.minimum.at(label, q, old[p])
+    on = np.unique(np.concatenate([p, q]))
+    on = on[label[on] != doc[on]]
+    return label[on], doc[on]
+
+
+def _connect(cells: DataFrame, find) -> DataFrame:
+    """(a, b): a spanning forest of the links that find(members, first, second) sees in each cell."""
 
     def run(batches):
         for batch in batches:
-            left, right = [], []
-            lists_ = batch.column(2)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row in range(batch.num_rows):
                 i, j = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                m = lists_[row].values
-                doc, comp, block = (np.asarray(m.field(f)) for f in (0, 1, 2))
-                sig = np.asarray(m.field(3).flatten()).reshape(len(doc), -1)
-                one = np.flatnonzero(block == i)
-                two = one if i == j else np.flatnonzero(block == j)
-                for at in one:
-                    rest = two[(comp[two] != comp[at]) & ((doc[two] > doc[at]) if i == j else True)]
-                    if len(rest):
-                        hit = rest[(sig[rest] == sig[at]).sum(axis=1) >= matches]
-                        left.append(np.minimum(doc[hit], doc[at]))
-                        right.append(np.maximum(doc[hit], doc[at]))
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
+                members = batch.column(2)[row].values
+                doc, comp, block = (np.asarray(members.field(f)) for f in (0, 1, 2))
+                one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                near = comp[one][:, None] != comp[two]
+                if i == j:
+                    near &= doc[one][:, None] < doc[two]
+                if near.any():
+                    near &= find(members, one, two)
+                    p, q = np.nonzero(near)
+                    a, b = _forest(doc, one[p], two[q])
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _alike(matches: int):
+    def find(members, one, two):
+        sig = np.frombuffer(b"".join(members.field(3).to_pylist()), np.uint8).reshape(len(members), -1)
+        other = sig[two]
+        return np.array([(other == s).sum(axis=1) >= matches for s in sig[one]])
+
+    return find
+
+
+def _similar(size: int, percent: int):
+    """Exact: sizes of all intersections as products of document x shingle matrices, some columns at a time."""
+
+    def find(members, one, two):
+        sets = []
+        for blob, n in zip(members.field(3).to_pylist(), members.field(4).to_pylist(), strict=True):
+            data = np.frombuffer(pa.decompress(blob, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+            sets.append(_shingles(data, K.find_words(data, np.array([0, n]), K.SPACE_SEPARATED), size)[0])
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(one), len(two)))
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            a, b = np.searchsorted(column, (low, low + 8192))
+            dense = np.zeros((len(sets), 8192), np.float32)
+            dense[owner[a:b], column[a:b] - low] = 1
+            both += dense[one] @ dense[two].T
+        return (both > 0) & (100 * both >= percent * (sizes[one][:, None] + sizes[two] - both))
+
+    return find
 
 
 def near_duplicates(
@@ -176,6 +251,9 @@ def near_duplicates(
     size: int = SHINGLE,
     coords: int = COORDS,
     matches: int = MATCHES,
+    prefix: int = PREFIX,
+    long_coords: int = LONG_COORDS,
+    long_matches: int = LONG_MATCHES,
 ) -> DataFrame:
     """One row per document id: (id, n_shingles, component_id, kept).
 
@@ -194,7 +272,7 @@ def near_duplicates(
     shared = posted.groupBy("key").agg(F.count("*").alias("freq"), F.min("doc").alias("leader")).where("freq > 1")
     found = posted.join(shared, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("freq", "key", "leader"))).alias("entries"))
     active = found.where(F.size("entries") >= matches).select(
-        "doc", F.expr(f"slice(entries, 1, size(entries) - {matches} + 1)").alias("prefix")
+        "doc", F.expr(f"slice(entries, 1, least({prefix}, size(entries) - {matches} + 1))").alias("prefix")
     )
     active = cut(active)
 
@@ -206,10 +284,15 @@ def near_duplicates(
     links = cut(_confirm(first, packed, size, percent))
 
     joined = cut(components(links))
-    lists = active.join(joined, active.doc == joined.node, "left").select("doc", F.coalesce("component", "doc").alias("comp"), F.explode("prefix.key").alias("key"))
+    posted = cut(active.join(joined, active.doc == joined.node, "left").select("doc", F.coalesce("component", "doc").alias("comp"), F.col("prefix.key").alias("key")))
+    lists = posted.select("doc", "comp", F.explode("key").alias("key"))
     mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    lists = lists.join(mixed, "key").join(classes.select("doc", "sig"), "doc")
-    more = cut(_confirm(_merge(lists, matches), packed, size, percent))
+    lists = cut(lists.join(mixed, "key"))
+    signed = _long_signatures(packed.join(lists.select("doc").distinct(), "doc"), size, long_coords)
+    families = cut(components(_connect(_cells(lists.join(signed, "doc"), "key", ["long"], BLOCK), _alike(long_matches))))
+    members = families.join(posted.select("doc", "comp"), F.col("node") == F.col("doc")).join(packed.where("packed IS NOT NULL"), "doc")
+    members = members.select(F.col("component").alias("family"), "doc", "comp", "packed", "size")
+    more = cut(_connect(_cells(members, "family", ["packed", "size"], FAMILY_BLOCK), _similar(size, percent)))
 
     same = some.join(classes.select("n", "h1", "h2", F.col("doc").alias("first")), ["n", "h1", "h2"])
     member = same.select("doc", "first")
