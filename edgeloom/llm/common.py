@@ -1,36 +1,21 @@
-"""Spark helpers shared by the operators: checkpoints, batch sizes, connected components."""
+"""Spark helpers shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (tests) one is made here."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.environ.get("EDGELOOM_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+from edgeloom.operators.components import components as components
+from edgeloom.operators.components import cut as cut
+from edgeloom.operators.components import shared_folder as shared_folder
 
 
 def unique_name(stem: str) -> str:
     return f"{stem}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch of documents may hold, by rows and where Spark can by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -44,31 +29,3 @@ def lower_ascii(c: Column) -> Column:
 def partitions_for(spark: SparkSession, n_bytes: float, per_partition: float) -> int:
     """Enough partitions for so many bytes each, never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // per_partition) + 1)
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of links(a, b): rows (node, component), component the smallest node.
-
-    Nodes without links are not listed. Alternates large-star and small-star steps on edges that
-    point from a larger to a smaller node, each one partial aggregation and one equi-join, until an
-    order-free checksum no longer changes. Every round is checkpointed, so lineage stays short and
-    no link table reaches the driver. Links with a null end and self-links count for nothing.
-    """
-    a_, b_ = F.col(a), F.col(b)
-    edges = links.where(a_ != b_).select(F.greatest(a_, b_).alias("v"), F.least(a_, b_).alias("u")).distinct()
-    edges = cut(edges)
-    state = None
-    while True:
-        low = edges.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m"))
-        large = edges.join(low, edges.u == low.k, "left").select("v", F.coalesce("m", "u").alias("u"))
-        large = large.distinct()
-        low = large.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m"))
-        rest = large.join(low, large.v == low.k).where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        edges = cut(rest.union(low.select(F.col("k").alias("v"), F.col("m").alias("u"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
-        edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    ).distinct()
