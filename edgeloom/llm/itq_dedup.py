@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.common import components, cut
 
-COSINE, BITS, TABLES, SAMPLE, BLOCK = 0.98, 64, 4, 20_000, 256
+COSINE, BITS, TABLES, SAMPLE, BLOCK = 0.98, 64, 8, 20_000, 256
 
 
 @dataclass
@@ -89,8 +89,17 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _doubles(blob) -> np.ndarray:
+    """A vector's entries in double precision; its first byte tells how wide they are stored."""
+    return np.frombuffer(blob, f"<f{blob[0]}", offset=1).astype(np.float64)
+
+
 def _clean(docs: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, key, vector): key null where the vector or label cannot link."""
+    """(id, label, key, vector): key null where the vector or label cannot link.
+
+    Single-precision columns are carried in single precision, which loses nothing and halves the rows.
+    """
+    width = 4 if docs.schema[vector_col].dataType.simpleString() == "array<float>" else 8
 
     def run(batches):
         for batch in batches:
@@ -101,7 +110,7 @@ def _clean(docs: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
                     x = x if len(x) and np.isfinite(x).all() and np.any(x) and 0 < np.linalg.norm(x) < np.inf else None
                 keys.append(None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                vectors.append(None if x is None else x.tobytes())
+                vectors.append(None if x is None else bytes([width]) + x.astype(f"<f{width}").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "label", "key", "vector"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -116,7 +125,7 @@ def _fit(classes: DataFrame, sample: int, bits: int, tables: int) -> Codes | Non
     rows = classes.where((F.col("size") == dims["size"]) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < fraction * 1_000_000)).select("vector").collect()
     if not rows:
         return Codes(np.zeros(0), np.zeros((0, 0)), bits, tables)
-    return fit_codes(_units(np.array([np.frombuffer(v) for v in sorted(bytes(r.vector) for r in rows)])), bits, tables)
+    return fit_codes(_units(np.array([_doubles(v) for v in sorted(bytes(r.vector) for r in rows)])), bits, tables)
 
 
 def _link(cells: DataFrame, codes, cosine: float) -> DataFrame:
@@ -130,7 +139,7 @@ def _link(cells: DataFrame, codes, cosine: float) -> DataFrame:
                 table, code, i, j = (batch.column(c)[row].as_py() for c in range(4))
                 m = batch.column(4)[row].values
                 doc, many, block = (np.asarray(m.field(f)) for f in (0, 1, 2))
-                x = np.frombuffer(b"".join(m.field(3).to_pylist())).reshape(len(doc), -1)
+                x = np.array([_doubles(v) for v in m.field(3).to_pylist()])
                 one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
                 unit = _units(x)
                 near = x[one] @ x[two].T / (np.linalg.norm(x[one], axis=1)[:, None] * np.linalg.norm(x[two], axis=1)) >= cosine
@@ -197,7 +206,7 @@ def near_duplicate_vectors(
             out = []
             for size in np.unique(np.asarray(batch.column(4))).tolist():
                 some = np.flatnonzero(np.asarray(batch.column(4)) == size)
-                x = np.array([np.frombuffer(batch.column(3)[k].as_buffer()) for k in some.tolist()])
+                x = np.array([_doubles(batch.column(3)[k].as_py()) for k in some.tolist()])
                 z = codes.value.project(_units(x))
                 keys = codes.value.keys(z)
                 for r, k in enumerate(some.tolist()):
