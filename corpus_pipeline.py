@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from edgeloom.llm import curriculum, decontaminate, minhash_dedup, quality, token_files
 from edgeloom.llm.common import shared_folder, unique_name
@@ -32,8 +31,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as token files, read back: a row for each time that a document is taken."""
-    tokens = token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -92,7 +92,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        n = max(n, 2 * _CHUNK)
+        n = max(n, _CHUNK + 1)
         with np.errstate(over="ignore"):
             for name, base in (("up", _P), ("down", _P_INV)):
                 table = np.full(n, base, U64)

@@ -14,6 +14,8 @@ ranks (one row for each id in use, so bounded by the vocabulary), and read back
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +29,8 @@ from edgeloom.llm.common import cut, partitions_for, shared_folder, small_batche
 END_ID = 2
 PART_BYTES = 16 << 20
 BLOCK_IDS = 1 << 20
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
+_RECENT = 1 << 16
 _MAGIC = b"ELT1"
 _NULL_ID = -(2**63)
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -75,6 +78,7 @@ class Encoder:
     """A tokenizer of the tokenizers library with the ids of recent pieces kept, at most so many."""
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism here
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
@@ -98,36 +102,60 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.where: dict[int, int] = {}
-        self.size = np.zeros(1024, np.int64)
-        self.at = np.zeros(1024, np.int64)
+        """Slots hold a piece's ids; keys find slots in two sorted tables, a long one and a recent one."""
+        none, slots = np.zeros(0, K.U64), np.zeros(0, np.int32)
+        self.tables = [(none, slots), (none, slots)]
+        self.size, self.at, self.slots = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _add(self, key: int, ids) -> None:
-        k, n = len(self.where), len(ids)
-        if k == len(self.size):
-            self.size, self.at = np.resize(self.size, 2 * k), np.resize(self.at, 2 * k)
-        while self.used + n > len(self.flat):
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for a new one."""
+        out = np.full(len(keys), -1, np.int32)
+        for known, slots in self.tables:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                out[hit] = slots[i[hit]]
+        return out
+
+    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        k, n = self.slots, len(keys)
+        while k + n > len(self.size):
+            self.size, self.at = np.resize(self.size, 2 * len(self.size)), np.resize(self.at, 2 * len(self.at))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + n] = ids
-        self.where[key], self.size[k], self.at[k] = k, n, self.used
-        self.used += n
-
-    def _learn(self, keys, pieces: list[str], glued: list[bool]) -> None:
-        plain = [i for i, g in enumerate(glued) if not g]
-        for a in range(0, len(plain), 256):
-            some = plain[a : a + 256]
-            ids = np.array(self._ids([" ".join(pieces[i] for i in some)])[0], np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                for i, x in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                    self._add(keys[i], x)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n] = sizes
+        self.at[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.slots, self.used = k + n, self.used + len(ids)
+        self.added.append((keys, np.arange(k, k + n, dtype=np.int32)))
+
+    def _file(self) -> None:
+        """Sort what was added into the recent table, and that into the long one once it has grown."""
+        merge = lambda parts: (lambda k, s: (lambda o: (k[o], s[o]))(np.argsort(k)))(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        self.tables[1] = merge([self.tables[1], *self.added])
+        if len(self.tables[1][0]) > _RECENT:
+            self.tables = [merge(self.tables), (self.tables[1][0][:0], self.tables[1][1][:0])]
+
+    def _learn(self, keys: np.ndarray, pieces: list[str], glued: np.ndarray) -> None:
+        """Encode new pieces: plain ones many at once, told apart by the ids that end a word."""
+        self.added: list[tuple[np.ndarray, np.ndarray]] = []
+        plain = np.flatnonzero(~glued).tolist()
+        for a in range(0, len(plain), 512):
+            some = plain[a : a + 512]
+            ids = np.array(self._ids([" ".join([pieces[i] for i in some])])[0], np.uint32)
+            sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(sizes) == len(some):
+                self._add(keys[some], sizes, ids)
             else:
-                for i, x in zip(some, self._ids([pieces[i] for i in some]), strict=True):
-                    self._add(keys[i], x)
-        rest = [i for i, g in enumerate(glued) if g]
-        for i, x in zip(rest, self._ids([pieces[i] for i in rest]), strict=True):
-            self._add(keys[i], x)
+                self._learn_each(keys, pieces, some)
+        self._learn_each(keys, pieces, np.flatnonzero(glued).tolist())
+        self._file()
+
+    def _learn_each(self, keys: np.ndarray, pieces: list[str], some: list[int]) -> None:
+        if some:
+            ids = self._ids([pieces[i] for i in some])
+            self._add(keys[some], np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], np.uint32))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count of each text): the library's ids of whole texts."""
@@ -138,18 +166,19 @@ class Encoder:
         keys = K.word_hashes(K.LOWER[data], words.start, words.end)
         keys[glued] = K.word_hashes(data, words.start[glued], words.end[glued]) ^ K.U64(1)
         code, unique = pd.factorize(keys)
-        if len(self.where) + len(unique) > self.cached:
+        if self.slots + len(unique) > self.cached:
             self.clear()
-        unique = unique.tolist()
-        fresh = np.array([i for i, k in enumerate(unique) if k not in self.where], np.int64)
+        slots = self._find(unique)
+        fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             place = np.zeros(len(unique), np.int64)
             place[code] = np.arange(len(code))
             place = place[fresh]
             raw = data.tobytes()
-            self._learn([unique[i] for i in fresh], [raw[a:b].decode() for a, b in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)], glued[place].tolist())
-        slot = np.array([self.where[k] for k in unique], np.int64)[code]
-        size = self.size[slot]
+            self._learn(unique[fresh], [raw[a:b].decode() for a, b in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)], glued[place])
+            slots = self._find(unique)
+        slot = slots[code]
+        size = self.size[slot].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.at[slot] - total[:-1], size)]
         return ids, np.diff(total[words.doc])
@@ -160,7 +189,7 @@ _encoders: dict[str, Encoder] = {}
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID) -> DataFrame:
     """(doc, n, ids): the ids of each text and the end id, packed; a null text counts as empty."""
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 500)
 
     def run(batches):
         if tokenizer not in _encoders:
@@ -168,7 +197,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         encoder = _encoders[tokenizer]
         for batch in batches:
             data, offs = K.text_bytes(batch.column(1))
-            for lo, hi in K.slices(batch.num_rows, offs, 2 << 20):
+            for lo, hi in K.slices(batch.num_rows, offs, 1 << 19):
                 ids, sizes = encoder.encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 out = np.full(len(ids) + len(sizes), end_id, np.uint32)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
@@ -336,10 +365,18 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{unique_name('token-files')}"
 
 
+def document_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of each document of the files at path.
+
+    start counts the ids of all documents before. The checksum is taken before the join, so that no
+    ids are shuffled.
+    """
+    rows = read_token_files(spark, path).select("part", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return rows.join(part_starts(spark, path), "part").select(F.col("doc_id").alias(id_col), (F.col("part_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID) -> DataFrame:
-    """Write token files and read them back: (id, start, n_tokens, ids), start counting all ids before."""
-    spark = docs.sparkSession
-    path = path or scratch_path(spark)
+    """Write token files and read them back as document_index does."""
+    path = path or scratch_path(docs.sparkSession)
     write_token_files(docs, path, tokenizer, id_col, text_col, end_id=end_id)
-    rows = read_token_files(spark, path)
-    return rows.join(part_starts(spark, path), "part").select(F.col("doc_id").alias(id_col), (F.col("part_start") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return document_index(docs.sparkSession, path, id_col)
