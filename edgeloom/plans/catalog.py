@@ -296,6 +296,18 @@ def dependents_of(spark, sf_dir):
     return traversal.select_nodes(edges, traversal.Options((traversal.Query("dependents", (glob("*/NATION_4/**"),)),)))
 
 
+@query("SELECT label FROM walk", _STEPS + """, walk AS (
+  SELECT source AS label FROM edges WHERE source = target AND source LIKE '%/NATION_4/%' UNION SELECT b FROM walk JOIN steps ON a = label)""")
+def reachable_from_whole(spark, sf_dir):
+    return traversal.select_nodes(_edges(spark, sf_dir), traversal.Options((traversal.Query("reachable", (glob("*/NATION_4/**"),)),)))
+
+
+@query("SELECT label FROM walk", _STEPS + """, walk AS (
+  SELECT source AS label FROM edges WHERE source = target AND source LIKE '%/NATION_4/%' UNION SELECT a FROM walk JOIN steps ON b = label)""")
+def dependents_of_whole(spark, sf_dir):
+    return traversal.select_nodes(_edges(spark, sf_dir), traversal.Options((traversal.Query("dependents", (glob("*/NATION_4/**"),)),)))
+
+
 @query("SELECT DISTINCT label FROM walk UNION SELECT source FROM edges WHERE source LIKE 'EUROPE/%7' UNION SELECT b FROM steps WHERE a LIKE 'EUROPE/%7' UNION SELECT a FROM steps WHERE b LIKE 'EUROPE/%7'", _STEPS + _FOCUS)
 def query_union(spark, sf_dir):
     two = (traversal.Query("focus", (HUNDREDS,), 2), traversal.Query("focus", (glob("EUROPE/**/*7"),), 1))
@@ -388,6 +400,15 @@ def scc_membership(spark, sf_dir):
     return traversal.strong_components(tables.bounded_edges(spark, sf_dir))
 
 
+@query("""SELECT x.label, y.label AS component FROM (SELECT p.f, min(p.t) AS t FROM walk p JOIN walk q ON q.f = p.t AND q.t = p.f GROUP BY p.f)
+  JOIN ids x ON x.i = f JOIN ids y ON y.i = t""", _STEPS + """,
+ids AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM (SELECT a AS label FROM steps UNION SELECT b FROM steps)),
+hops AS (SELECT x.i AS a, y.i AS b FROM steps JOIN ids x ON x.label = a JOIN ids y ON y.label = b),
+walk AS (SELECT a AS f, b AS t FROM hops UNION SELECT f, b FROM walk JOIN hops ON a = t)""")
+def scc_membership_whole(spark, sf_dir):
+    return traversal.strong_components(graph.per_internal_edge(_edges(spark, sf_dir)))
+
+
 @query("""SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
   len(string_split(coalesce(text, ''), chr(10))) - CASE WHEN coalesce(text, '') = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS source_lines,
   len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \\t\\r\\x0B\\f]'))) AS non_blank_lines FROM documents""")

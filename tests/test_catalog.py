@@ -33,3 +33,33 @@ def test_same_rows_as_sql(spark, db, name):
     columns = sorted(found.columns)
     rows = lambda all_: sorted([tuple(str(x) for x in r) for r in all_])
     assert rows(tuple(r[c] for c in columns) for r in found.collect()) == rows(db.sql(f"SELECT {', '.join(columns)} FROM ({catalog.SQL[name]})").fetchall())
+
+
+def _walk(start, follow):
+    known, open_ = set(start), list(start)
+    while open_:
+        for x in follow.get(open_.pop(), set()) - known:
+            known.add(x)
+            open_.append(x)
+    return known
+
+
+def test_closures_and_components_of_the_whole_graph(spark, db):
+    steps = db.sql(f"{catalog.SQL['normalize_edges'].rsplit('SELECT source, target, external', 1)[0]} SELECT source, target FROM edges WHERE NOT external").fetchall()
+    ahead, back = {}, {}
+    for a, b in steps:
+        ahead.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+    seeds = {a for a, b in steps if a == b and "/NATION_4/" in a}
+    labels = lambda name: sorted(r.label for r in catalog.Q[name](spark, SF).collect())
+    assert labels("reachable_from_whole") == sorted(_walk(seeds, ahead)) and set(labels("reachable_from_whole")) > set(labels("reachable_from"))
+    assert labels("dependents_of_whole") == sorted(_walk(seeds, back)) and set(labels("dependents_of_whole")) > set(labels("dependents_of"))
+    both = {x: _walk({x}, ahead) & _walk({x}, back) for x in ahead}
+    want = {x: min(c) for x, c in both.items() if len(c) > 1}
+    found = {r.label: r.component for r in catalog.Q["scc_membership_whole"](spark, SF).collect()}
+    assert found == want and len(found) > catalog.Q["scc_membership"](spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["reachable_from_whole", "dependents_of_whole", "scc_membership_whole"])
+def test_whole_graph_same_rows_as_sql(spark, db, name):
+    test_same_rows_as_sql(spark, db, name)
