@@ -9,9 +9,9 @@ of 5e-11 is all that this can lose). That makes it an overlap join with three ex
 - skip: coordinates that nobody shares are dropped, and with them each document that has fewer than
   ``matches`` shared ones;
 - prefix: ordered by ascending frequency, two documents with ``matches`` common coordinates share one
-  among their first ``shared - matches + 1``, and at a similarity of 0.75 one among their first
-  ``prefix`` but for one pair in more than ten million, so only those are posted for merging, and
-  coordinates that a common passage made frequent are merged last or never;
+  among their first ``shared - matches + 1``, so only those are posted for merging. A shorter prefix
+  would lose pairs: a rare passage that a document shares with others stands before its group's
+  coordinates;
 - skip merging: a first merge pairs each document with the one list leader it meets most often; lists
   whose members that already joins into one component are skipped, and only pairs of different
   components are compared in the rest, a block of each list against another block of it. That
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from edgeloom.llm import textkernels as K
 from edgeloom.llm.common import components, cut, small_batches
 
-COORDS, MATCHES, PREFIX, SHINGLE, PERCENT = 64, 24, 16, 5, 75
+COORDS, MATCHES, SHINGLE, PERCENT = 64, 24, 5, 75
 LONG_COORDS, LONG_MATCHES = 256, 145
 #: Members of a posting list that meet in one task at a time.
 BLOCK = 256
@@ -251,7 +251,6 @@ def near_duplicates(
     size: int = SHINGLE,
     coords: int = COORDS,
     matches: int = MATCHES,
-    prefix: int = PREFIX,
     long_coords: int = LONG_COORDS,
     long_matches: int = LONG_MATCHES,
 ) -> DataFrame:
@@ -272,7 +271,7 @@ def near_duplicates(
     shared = posted.groupBy("key").agg(F.count("*").alias("freq"), F.min("doc").alias("leader")).where("freq > 1")
     found = posted.join(shared, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("freq", "key", "leader"))).alias("entries"))
     active = found.where(F.size("entries") >= matches).select(
-        "doc", F.expr(f"slice(entries, 1, least({prefix}, size(entries) - {matches} + 1))").alias("prefix")
+        "doc", F.expr(f"slice(entries, 1, size(entries) - {matches} + 1)").alias("prefix")
     )
     active = cut(active)
 

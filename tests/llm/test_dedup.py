@@ -41,6 +41,24 @@ def test_near_duplicates(spark, seed, monkeypatch):
     assert len(found) == len({i for i, _ in docs})
 
 
+def test_near_duplicates_with_a_rarer_passage(spark):
+    """A superset of a family's text whose added passage fewer documents hold than the family has members."""
+    r = random.Random(11)
+    words = lambda k: [f"v{r.randrange(10**6)}" for _ in range(k)]
+    docs = []
+    for family in range(12):
+        base, passage = words(200), words(64)
+        texts = [base]
+        for _ in range(9):
+            near = list(base)
+            near[r.randrange(200)] = words(1)[0]
+            texts.append(near)
+        texts += [base + passage] + [words(30) + passage for _ in range(4)]
+        docs += [(100 * family + k, " ".join(t)) for k, t in enumerate(texts)]
+    found = minhash_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in found} == brute.near_duplicates(docs)
+
+
 def test_near_duplicates_edges(spark):
     nulls = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     rows = sorted(tuple(r) for r in minhash_dedup.near_duplicates(nulls).where("doc_id IS NOT NULL").collect())
