@@ -165,30 +165,31 @@ def _elementary(edges: list[tuple[str, str]]) -> list[list[str]]:
     return [c for c in out if len(c) > 2]
 
 
-def _by_component(edges: DataFrame, limit: int) -> DataFrame:
+def _by_strong_component(edges: DataFrame, limit: int) -> DataFrame:
     pairs = per_edge(edges).select("source", "target").distinct()
-    found = components(pairs, "source", "target")
-    rows = pairs.join(found, pairs["source"] == found["node"]).select("component", "source", "target")
+    found = strong_components(edges)
+    rows = pairs.join(found.select(F.col("label").alias("source"), "component"), "source")
+    rows = rows.join(found.select(F.col("label").alias("target"), F.col("component").alias("other")), "target").where("component = other").select("component", "source", "target")
     sizes = rows.groupBy("component").agg(F.count("*").alias("n"))
     too_large = sizes.where(F.col("n") > limit).first()
     if too_large:
-        raise InvalidOptions(f"component {too_large['component']} has {too_large['n']} edges; elementary cycles are listed up to {limit}")
+        raise InvalidOptions(f"strong component {too_large['component']} has {too_large['n']} edges; elementary cycles are listed up to {limit}")
     return rows
 
 
 def cycles(edges: DataFrame, limit: int = 20_000) -> DataFrame:
     """(length, path): every elementary cycle once, closed, from its smallest node on.
 
-    Connected components are found by Spark and searched each in a task of its own. The number of
-    cycles can grow exponentially with a component, so one of more than limit edges is refused with
-    an error instead of being searched in part.
+    Strong components are found by Spark and searched each in a task of its own; edges between them
+    are on no cycle. The number of cycles can grow exponentially with a component, so one of more
+    than limit edges is refused with an error instead of being searched in part.
     """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found = _elementary(list(zip(pdf["source"], pdf["target"], strict=True)))
         return pd.DataFrame({"length": [len(c) - 1 for c in found], "path": [" -> ".join(c) for c in found]})
 
-    return _by_component(edges, limit).groupBy("component").applyInPandas(search, "length long, path string")
+    return _by_strong_component(edges, limit).groupBy("component").applyInPandas(search, "length long, path string")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

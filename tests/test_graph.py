@@ -94,6 +94,13 @@ def test_cycles_and_components(spark):
     assert pairs(selected, "path") == [("a/x -> a/z -> a/x",)]
 
 
+def test_cycles_limit_holds_for_strong_components_only(spark):
+    acyclic = [(f"{a}", f"{b}") for a in range(4) for b in range(4, 9)]
+    edges = edges_of(spark, [*acyclic, ("8", "x"), ("x", "y"), ("y", "x"), ("y", "z")])
+    assert pairs(traversal.cycles(edges, limit=2), "path") == [("x -> y -> x",)]
+    assert traversal.cycles(edges_of(spark, acyclic), limit=2).count() == 0
+
+
 def test_layers(spark):
     edges = edges_of(spark, [("ui/a", "app/b"), ("app/b", "db/c"), ("db/c", "ui/a"), ("ui/a", "loose")], files=["ui/a"])
     stack = [layers.Layer(n, (glob(f"{n}/*"),)) for n in ("ui", "app", "db")]
