@@ -9,6 +9,10 @@ template's distinct words. The join is exact and uses DataFrame functions only:
 - positional filter: behind the first common word both sides still have enough words to reach ``need``;
 - what passes is compared word by word.
 
+``runs=True`` also looks in runs of words that span line ends, as wrapped notices need: a run is a little
+longer than the template. A document that has a template in a line or a run passes the same filters as
+one block; then the lines and runs of what passes are compared.
+
 Templates come from a parameter, so their table is small by construction: it and their vocabulary are
 the only things broadcast. Texts are never shuffled.
 """
@@ -104,17 +108,48 @@ def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return met.where(common >= F.col("need")).select("id", "label", (common / F.size("ranks")).alias("score"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def run_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(id, label, score): one row per document row and template found in a line or a run of its words.
+
+    A run is floor(n / containment) consecutive words, n being the template's length; line ends don't count.
+    """
+    spark = docs.sparkSession
+    lists = [(label, text.split()) for label, text in templates]
+    vocabulary = sorted({w for _, words in lists for w in words})
+    words = F.split(_plain(F.col("text")), " ")
+    blocks = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = blocks.withColumn("own", F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]))).where(F.size("own") > 0)
+    counted = {r.word: r["count"] for r in blocks.select(F.explode("own").alias("word")).groupBy("word").count().collect()}  # a row per word of the templates
+    entries = []
+    for k, (label, listed) in enumerate(lists):
+        own = sorted(set(listed), key=lambda w: (counted.get(w, 0), w))
+        need = max(1, ceil(containment * len(own) - 1e-9))
+        entries.append((k, label, own, own[: len(own) - need + 1], need, max(len(listed), int(len(listed) / containment + 1e-9))))
+    index = spark.createDataFrame(entries, "template int, label string, words array<string>, rare array<string>, need int, length int")
+    met = blocks.join(F.broadcast(index), F.arrays_overlap("own", "rare") & (F.size(F.array_intersect("own", "words")) >= F.col("need")))
+
+    def in_runs(every: Column) -> Column:
+        at = F.array_compact(F.transform(every, lambda w, i: F.when(F.array_contains("words", w), i + 1)))
+        return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(F.slice(every, i, F.col("length")), F.col("words")))))
+
+    in_run = F.get(F.transform(F.array(words), in_runs), F.lit(0))  # a lambda's argument is split once, not for each run
+    in_line = F.transform(F.split("text", "\n"), lambda line: F.size(F.array_intersect(F.split(_plain(line), " "), F.col("words"))))
+    common = F.greatest(in_run, F.array_max(in_line))
+    met = met.select("id", "label", "words", "need", common.alias("common")).where("common >= need")
+    return met.select("id", "label", (F.col("common") / F.size("words")).alias("score"))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT, runs: bool = False) -> DataFrame:
     """One row per document row: (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     n_base counts all places where a phrase's words stand consecutively, first_word and last_word are
     the smallest and largest word they start at (from 0; null without any). labels adds those of the
-    templates found in a line; both lists are distinct, sorted and comma-joined. score is the largest
+    templates found in a line (with runs, also in words that span lines); both lists are distinct, sorted and comma-joined. score is the largest
     share of a template found, 1 where a phrase stands, else 0. Null and empty texts have no words
     and no labels. Rows that repeat an id, null included, share the templates found in any of them.
     """
     base = phrase_places(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", phrases).drop("text")
-    more = template_matches(docs, id_col, text_col, templates=templates, containment=containment)
+    more = (run_matches if runs else template_matches)(docs, id_col, text_col, templates=templates, containment=containment)
     more = more.groupBy(F.col("id").alias("other")).agg(F.collect_set("label").alias("more"), F.max("score").alias("most"))
     both = base.join(more, base["id"].eqNullSafe(more["other"]), "left")
     every = F.array_sort(F.array_distinct(F.concat("found", F.coalesce("more", F.array().cast("array<string>")))))

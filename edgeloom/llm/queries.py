@@ -77,6 +77,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), runs=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq_dedup": op1_itq_dedup,
     "op2_quality": op2_quality,
@@ -88,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_license_scan": op10_license_scan,
+    "op10_license_scan_runs": op10_license_scan_runs,
 }

@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -237,6 +238,27 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_in_wrapped_notices(spark):
+    notices = [(label, t) for label, t in license_scan.TEMPLATES if label in ("mit", "bsd", "lgpl") and len(t.split()) > 9]
+    wrapped = ["x y\n" + "\n".join(f" * {line}" for line in textwrap.wrap(t, 50)) + "\n\nz" for _, t in notices]
+    texts = [*wrapped, "ALL rights\nreserved", "all a b c\nrights reserved", "all x y z rights w reserved", "", None, "the of and " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        w, score = brute.plain_words(text), {}
+        for label, template in license_scan.TEMPLATES:
+            t = template.split()
+            n = int(len(t) / license_scan.CONTAINMENT)
+            blocks = [w[k : k + n] for k in range(len(w))] + [brute.plain_words(line) for line in (text or "").split("\n")]
+            most = max((len(set(b) & set(t)) / len(set(t)) for b in blocks), default=0)
+            if most >= license_scan.CONTAINMENT - 1e-9:
+                score[label] = max(most, score.get(label, 0))
+        want[i] = (",".join(sorted(score)), max(score.values(), default=0))
+    found = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs, runs=True).collect()}
+    assert found == want and [found[i][0] for i in range(len(notices))] == [label for label, _ in notices]
+    assert not any(r.labels for r in license_scan.scan_licenses(docs).where(f"doc_id < {len(notices)}").collect())
+
+
 # token files
 
 
