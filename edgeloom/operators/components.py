@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.errors import InvalidOptions
+
+
+#: Rows of a table of two longs up to which it is broadcast (some 8 MB).
+SMALL = 1 << 18
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (tests) one is made here."""
+    """The folder in spark.checkpoint.dir. Only where that is unset, and in local mode, one is made here.
+
+    On a cluster a folder of the driver's own machine would be invisible to executors, so there an
+    unset folder is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = os.environ.get("EDGELOOM_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise InvalidOptions("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
@@ -32,23 +44,31 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes without links are not listed. Alternates large-star and small-star steps on edges that
     point from a larger to a smaller node, each one partial aggregation and one equi-join, until an
     order-free checksum no longer changes. Every round is checkpointed, so lineage stays short and
-    no link table reaches the driver. Links with a null end and self-links count for nothing.
+    no link table reaches the driver. The minima that a step joins are broadcast while the edges are
+    counted to be few; beyond that they are checkpointed first, so that a star's many edges meet them
+    in a plain sort-merge join, which adaptive execution splits. Links with a null end and self-links
+    count for nothing.
     """
     a_, b_ = F.col(a), F.col(b)
-    edges = links.where(a_ != b_).select(F.greatest(a_, b_).alias("v"), F.least(a_, b_).alias("u")).distinct()
-    edges = cut(edges)
-    state = None
-    while True:
-        low = edges.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m"))
-        large = edges.join(low, edges.u == low.k, "left").select("v", F.coalesce("m", "u").alias("u"))
-        large = large.distinct()
-        low = large.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m"))
-        rest = large.join(low, large.v == low.k).where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        edges = cut(rest.union(low.select(F.col("k").alias("v"), F.col("m").alias("u"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if now == state:
+    edges = cut(links.where(a_ != b_).select(F.greatest(a_, b_).alias("v"), F.least(a_, b_).alias("u")).distinct())
+    checksum = F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("h")
+    state = edges.agg(*checksum).first()
+
+    def least(pairs):
+        low = pairs.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m"))
+        return F.broadcast(low) if state.n <= SMALL else cut(low)
+
+    while state.n:
+        low = least(edges)
+        large = cut(edges.join(low, F.col("u") == F.col("k"), "left").select("v", F.coalesce("m", "u").alias("u")).distinct())
+        low = least(large)
+        rest = large.join(low, F.col("v") == F.col("k")).select("v", "u", "m")
+        # (v, u) becomes (v, m), and (u, m) where u is not m itself: one pass, no second look at the minima
+        both = F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
+        edges = cut(rest.select(both.alias("e")).select("e.v", "e.u").where("v != u").distinct())
+        before, state = state, edges.agg(*checksum).first()
+        if before == state:
             break
-        state = now
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
         edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
     ).distinct()
