@@ -1,13 +1,14 @@
 """Substring dedup: a merged count-min sketch finds the windows that may repeat, a second pass groups only those.
 
-Documents are dealt once into groups of about ``group_bytes`` by their id. Each group sends the
+Documents are dealt once into groups of about ``group_bytes`` by id and text. Each group sends the
 distinct hashes of its windows, packed, as its partial sketch; the sketch is cut into shards by hash
 so that no task holds more than one shard and a bigger corpus means more shards, not bigger ones.
 Merging a shard adds the partial sketches into count-min tables, which can only overestimate, and
 answers each group with one bit per window: estimated in two documents or more, or not. Windows with
-that bit go to the exact grouping by 96-bit hash, each group sending one row per window with its
-smallest document, so a passage that a third of all documents share costs one entry a group. The
-answer is again one bit per window: whether this group holds the first document.
+that bit go to the exact grouping by 96 bits, 64 of one word hash and 32 of an independent one, each
+group sending one row per window with its smallest document, so a passage that a third of all
+documents share costs one entry a group. The answer is again one bit per window: whether this group
+holds the first document.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class _Group:
         hashes = K.word_hashes(self.data, self.words.start, self.words.end)
         self.at = np.flatnonzero(K.windows_inside(self.words.doc, size))
         one = K.window_hashes(hashes, size)[self.at]
-        two = K.window_hashes(hashes, size, seed=2)[self.at]
+        two = K.window_hashes(K.word_hashes(self.data, self.words.start, self.words.end, seed=1), size, seed=2)[self.at]
         doc = self.ids[self.words.doc_of_word[self.at]]
         shard = (one % K.U64(shards)).astype(np.int64)
         low = (one >> K.U64(32)).astype(np.uint32)
@@ -69,21 +70,24 @@ class _Group:
         new = np.ones(len(by), bool)
         new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
         start = np.flatnonzero(new)
-        #: entry of each window, and of each entry: hashes, smallest document, whether more than one has it
+        #: entry of each window, and of each entry: hashes, smallest document, whether more than one has it;
+        #: cuts has the entries of each shard that has any, never more shards than there are windows
         self.entry = np.empty(len(by), np.int64)
         self.entry[by] = np.cumsum(new) - 1
         self.one, self.two = one[by][start], two[by][start].astype(np.uint32)
         docs = doc[by]
         self.first = np.minimum.reduceat(docs, start) if len(start) else docs[:0]
         self.many = (np.maximum.reduceat(docs, start) if len(start) else docs[:0]) != self.first
-        self.doc, self.low, key = doc, low[by][start], shard[by][start]
-        self.cuts = np.searchsorted(key, np.arange(shards + 1))
+        self.doc, self.low = doc, low[by][start]
+        key, at = np.unique(shard[by][start], return_index=True)
+        ends = np.append(at, len(start))[1:]
+        self.cuts = {s: (a, b) for s, a, b in zip(key.tolist(), at.tolist(), ends.tolist(), strict=True)}
 
 
 def _sketch(table: pa.Table, size: int, shards: int) -> pa.Table:
     """A group's partial sketch, by shard."""
     g, key = _Group(table, size, shards), table.column("g")[0].as_py()
-    rows = [(s, key, _zip_sorted(g.low[a:b]), np.packbits(g.many[a:b]).tobytes()) for s, (a, b) in enumerate(zip(g.cuts[:-1].tolist(), g.cuts[1:].tolist(), strict=True)) if b > a]
+    rows = [(s, key, _zip_sorted(g.low[a:b]), np.packbits(g.many[a:b]).tobytes()) for s, (a, b) in g.cuts.items()]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "g", "cells", "many"])
 
 
@@ -106,7 +110,7 @@ def _estimate(table: pa.Table) -> pa.Table:
 def _selected(g: _Group, flags: dict[int, bytes]) -> np.ndarray:
     out = np.zeros(len(g.one), bool)
     for s, b in flags.items():
-        a, e = g.cuts[s], g.cuts[s + 1]
+        a, e = g.cuts[s]
         out[a:e] = np.unpackbits(_unzip(b, np.uint8), count=e - a)
     return out
 
@@ -117,7 +121,7 @@ def _repeated(table: pa.Table, answers: pa.Table, size: int, shards: int) -> pa.
     if table.num_rows:
         g, key = _Group(table, size, shards), table.column("g")[0].as_py()
         chosen = _selected(g, dict(zip(answers.column("shard").to_pylist(), answers.column("flags").to_pylist(), strict=True)))
-        for s, (a, b) in enumerate(zip(g.cuts[:-1].tolist(), g.cuts[1:].tolist(), strict=True)):
+        for s, (a, b) in g.cuts.items():
             if len(k := a + np.flatnonzero(chosen[a:b])):
                 rows.append((s, key, g.one[k].tobytes(), g.two[k].tobytes(), _zip(g.first[k])))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 5, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "g", "one", "two", "first"])
@@ -151,7 +155,8 @@ def _remove(table: pa.Table, answers: pa.Table, size: int, shards: int) -> pa.Ta
     chosen = _selected(g, kinds[0])
     own = np.ones(len(g.one), bool)
     for s, b in kinds[1].items():
-        k = g.cuts[s] + np.flatnonzero(chosen[g.cuts[s] : g.cuts[s + 1]])
+        a, e = g.cuts[s]
+        k = a + np.flatnonzero(chosen[a:e])
         own[k] = np.unpackbits(_unzip(b, np.uint8), count=len(k))
     gone = chosen[g.entry] & (~own[g.entry] | (g.doc > g.first[g.entry]))
     n = len(g.words.start)
@@ -179,7 +184,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, shards = partitions_for(spark, total, group_bytes), partitions_for(spark, total, shard_bytes)
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int")).groupBy("g")
+    # by id and text, so that rows that repeat one id (or have none) are spread; which group a row is in changes no result
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc", "text"), F.lit(groups)).cast("int")).groupBy("g")
     sketches = dealt.applyInArrow(lambda t: _sketch(t, window, shards), "shard int, g int, cells binary, many binary")
     answer = "g int, shard int, kind int, flags binary"
     repeated = sketches.groupBy("shard").applyInArrow(_estimate, answer)

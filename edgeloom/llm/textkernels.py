@@ -7,6 +7,7 @@ UTF-8 bytes gives the same words as working on code points.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +15,10 @@ import pyarrow as pa
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
-_P_INV = U64(pow(int(_P), -1, 1 << 64))
 _CHUNK = 1 << 20
+#: Bytes from which on a range is hashed for itself.
+_LONG = 256
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def _lut(is_word) -> np.ndarray:
@@ -87,35 +90,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[str, np.ndarray] = {}
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range, equal for equal bytes in any batch; seeds give independent ones.
 
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        n = max(n, _CHUNK + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _P), ("down", _P_INV)):
-                table = np.full(n, base, U64)
-                table[0] = 1
-                _powers[name] = np.cumprod(table)
-    return _powers["up"], _powers["down"]
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte range, equal for equal bytes in any batch."""
-    out = np.empty(len(start), U64)
+    Blocks of 8 bytes are mixed in one after the other, so no repetition or exchange within a word
+    cancels out, as it would in a polynomial modulo 2**64. Ranges over ``_LONG`` bytes take BLAKE2.
+    """
+    out, size = np.empty(len(start), U64), end - start
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _CHUNK, side="right")))
         base = int(start[i])
-        size = int(end[j - 1]) - base
-        up, down = _power_tables(size + 1)
-        sums = np.zeros(size + 1, U64)
-        np.cumsum((data[base : base + size].astype(U64) + U64(1)) * up[:size], out=sums[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U64)
+        padded = np.zeros(int(end[j - 1]) - base + 8, np.uint8)
+        padded[:-8] = data[base : int(end[j - 1])]
+        blocks = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
+        left, at = size[i:j].copy(), start[i:j] - base
+        h = mix(left.astype(U64) + U64(0xA0761D6478BD642F * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF))
+        on = np.flatnonzero(left <= _LONG)
+        while len(on):
+            rest = left[on]
+            h[on] = mix(h[on] * _P + (blocks[at[on]] & _LOW[np.minimum(rest, 8)]))
+            on = on[rest > 8]
+            left[on] -= 8
+            at[on] += 8
+        for k in np.flatnonzero(size[i:j] > _LONG).tolist():
+            digest = hashlib.blake2b(data[start[i + k] : end[i + k]].tobytes(), digest_size=8, key=bytes([seed + 1])).digest()
+            h[k] = U64(int.from_bytes(digest, "little"))
+        out[i:j] = h
         i = j
-    return mix(out)
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:

@@ -48,3 +48,18 @@ def test_windows_stay_inside_documents():
     doc = np.array([0, 3, 3, 5, 9])
     assert K.windows_inside(doc, 3).tolist() == [True, False, False, False, False, True, True]
     assert K.covered(np.array([False, True, False]), 2, 4).tolist() == [False, True, True, False]
+
+
+def thue_morse(n):
+    """Two words that differ in every letter, which a polynomial hash modulo 2**64 can't tell apart."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)
+
+
+def test_words_of_a_regular_build_are_told_apart():
+    for n in (8, 64, 256, 1024, 4096):
+        a, b = thue_morse(n)
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        found = K.find_words(data, np.array([0, len(data)]), K.SPACE_SEPARATED)
+        h, other = (K.word_hashes(data, found.start, found.end, seed) for seed in (0, 1))
+        assert h[0] == h[2] and h[0] != h[1] and h[0] != other[0] and other[0] != other[1]
