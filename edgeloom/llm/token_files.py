@@ -91,8 +91,9 @@ class Encoder:
         self.clear()
 
     def _cuts_hold(self) -> bool:
-        """Whether this tokenizer drops white space and cuts where _pieces does."""
-        probe = "Ab, cd!! 12x e3.\n(f) gh"
+        """Whether this tokenizer drops white space and cuts where _pieces does, tried at each ASCII sign."""
+        signs = [chr(b) for b in range(0x21, 0x7F) if _KIND[b] == _SIGN]
+        probe = "Ab, cd!! 12x e3.\n(f) gh " + " ".join(f"a{c}B {c}1{c}2{c}{c}z {d}{c}" for c, d in zip(signs, signs[1:] + signs[:1], strict=True))
         data = np.frombuffer(probe.encode(), np.uint8)
         words, _ = _pieces(data, np.array([0, len(data)]))
         parts = [probe[a:b].lower() for a, b in zip(words.start, words.end, strict=True)]
@@ -107,6 +108,8 @@ class Encoder:
         self.tables = [(none, slots), (none, slots)]
         self.size, self.at, self.slots = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.length, self.byte = np.zeros(1024, np.int32), np.zeros(1024, np.int64)
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for a new one."""
@@ -118,16 +121,21 @@ class Encoder:
                 out[hit] = slots[i[hit]]
         return out
 
-    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, content: np.ndarray) -> None:
         k, n = self.slots, len(keys)
         while k + n > len(self.size):
-            self.size, self.at = np.resize(self.size, 2 * len(self.size)), np.resize(self.at, 2 * len(self.at))
+            for name in ("size", "at", "length", "byte"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * len(self.size)))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
+        while self.filled + len(content) > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.size[k : k + n] = sizes
+        self.bytes[self.filled : self.filled + len(content)] = content
+        self.size[k : k + n], self.length[k : k + n] = sizes, lengths
         self.at[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.slots, self.used = k + n, self.used + len(ids)
+        self.byte[k : k + n] = self.filled + np.cumsum(lengths) - lengths
+        self.slots, self.used, self.filled = k + n, self.used + len(ids), self.filled + len(content)
         self.added.append((keys, np.arange(k, k + n, dtype=np.int32)))
 
     def _file(self) -> None:
@@ -137,51 +145,75 @@ class Encoder:
         if len(self.tables[1][0]) > _RECENT:
             self.tables = [merge(self.tables), (self.tables[1][0][:0], self.tables[1][1][:0])]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str], glued: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, lengths: np.ndarray, content: np.ndarray, glued: np.ndarray) -> None:
         """Encode new pieces: plain ones many at once, told apart by the ids that end a word."""
         self.added: list[tuple[np.ndarray, np.ndarray]] = []
+        cuts = np.concatenate(([0], np.cumsum(lengths)))
+        raw = content.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+        def add(some, sizes, ids):
+            self._add(keys[some], sizes, ids, lengths[some], content[_spans(cuts[:-1][some], lengths[some])])
+
+        def each(some):
+            if some:
+                ids = self._ids([pieces[i] for i in some])
+                add(some, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], np.uint32))
+
         plain = np.flatnonzero(~glued).tolist()
         for a in range(0, len(plain), 512):
             some = plain[a : a + 512]
             ids = np.array(self._ids([" ".join([pieces[i] for i in some])])[0], np.uint32)
             sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(sizes) == len(some):
-                self._add(keys[some], sizes, ids)
+                add(some, sizes, ids)
             else:
-                self._learn_each(keys, pieces, some)
-        self._learn_each(keys, pieces, np.flatnonzero(glued).tolist())
+                each(some)
+        each(np.flatnonzero(glued).tolist())
         self._file()
 
-    def _learn_each(self, keys: np.ndarray, pieces: list[str], some: list[int]) -> None:
-        if some:
-            ids = self._ids([pieces[i] for i in some])
-            self._add(keys[some], np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], np.uint32))
+    def _whole(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids([data[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, count of each text): the library's ids of whole texts."""
+        """(ids, count of each text): the library's ids of whole texts.
+
+        Pieces are looked up by hash, then compared byte by byte with the piece that was encoded; if
+        any differs from it, the texts are encoded whole.
+        """
         if not self.splits:
-            ids = self._ids([data[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
-            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+            return self._whole(data, offs)
         words, glued = _pieces(data, offs)
-        keys = K.word_hashes(K.LOWER[data], words.start, words.end)
-        keys[glued] = K.word_hashes(data, words.start[glued], words.end[glued]) ^ K.U64(1)
+        lower = K.LOWER[data]
+        keys = K.word_hashes(lower, words.start, words.end)
+        keys[glued] = K.word_hashes(data, words.start[glued], words.end[glued], seed=1)
         code, unique = pd.factorize(keys)
         if self.slots + len(unique) > self.cached:
             self.clear()
+        lengths = words.end - words.start
+        at = np.cumsum(lengths) - lengths
+        source = _spans(words.start, lengths)
+        content = np.where(np.repeat(glued, lengths), data[source], lower[source])
         slots = self._find(unique)
         fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             place = np.zeros(len(unique), np.int64)
             place[code] = np.arange(len(code))
             place = place[fresh]
-            raw = data.tobytes()
-            self._learn(unique[fresh], [raw[a:b].decode() for a, b in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)], glued[place])
+            self._learn(unique[fresh], lengths[place], content[_spans(at[place], lengths[place])], glued[place])
             slots = self._find(unique)
         slot = slots[code]
+        if (self.length[slot] != lengths).any() or (self.bytes[_spans(self.byte[slot], lengths)] != content).any():
+            return self._whole(data, offs)
         size = self.size[slot].astype(np.int64)
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.at[slot] - total[:-1], size)]
-        return ids, np.diff(total[words.doc])
+        return self.flat[_spans(self.at[slot], size)], np.diff(np.concatenate(([0], np.cumsum(size)))[words.doc])
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start[i] .. start[i] + size[i] - 1 of all i, one after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -277,8 +309,10 @@ def _blocks(content: bytes):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> None:
     """Tokenize docs and write their ids under path, in ascending order of document id (nulls first).
 
-    A document is a row: rows that repeat an id are written one after the other, ordered by their
-    ids. Null and empty texts give the end id alone. An empty table writes an empty folder.
+    A document is a row: rows that repeat an id (or have none) are written one after the other,
+    ordered by a hash of their token ids, so that they may take several files. Null and empty texts
+    give the end id alone, long ones stay whole. An empty table writes an empty folder. Other columns
+    are ignored.
     """
     tokens = cut(tokenize(docs, tokenizer, id_col, text_col, end_id=end_id))
     spark = docs.sparkSession
@@ -309,7 +343,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
             yield block()
 
     total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = tokens.repartitionByRange(partitions_for(spark, total, part_bytes), "doc").sortWithinPartitions("doc", "ids")
+    dealt = tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(partitions_for(spark, total, part_bytes), "doc", "h")
+    parts = dealt.sortWithinPartitions("doc", "h", "ids").drop("h")
     parts.mapInArrow(run, "part int, block binary").select("part", F.col("block").cast("string")).write.mode("overwrite").partitionBy("part").text(f"{path}/data")
 
 
