@@ -126,12 +126,18 @@ def _with_bins(hashed, stats: np.ndarray, edges: list[np.ndarray]):
 
 
 def _fit(stats: np.ndarray, hashed, labels: np.ndarray, prior: float, epochs: int, factors: int) -> Machine:
-    """Adam on the log loss, each class weighted to its share of all labelled rows."""
+    """Adam on the log loss, each class weighted to its share of all labelled rows. hashed is by document."""
     edges = [np.unique(np.nanquantile(s, np.linspace(0, 1, BINS + 1)[1:-1])) if not np.isnan(s).all() else np.zeros(0) for s in stats.T]
-    doc, slot, value = _with_bins(hashed, stats, edges)
-    order = np.argsort(doc, kind="stable")
-    slot, value = slot[order], value[order]
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(labels)))))
+    doc, own, worth = hashed
+    n, k = stats.shape
+    counts = np.bincount(doc, minlength=n)
+    cuts = np.concatenate(([0], np.cumsum(counts + k)))
+    slot, value = np.empty(cuts[-1], np.int32), np.empty(cuts[-1], np.float32)
+    at = np.arange(len(doc)) + np.repeat(k * np.arange(n), counts)
+    slot[at], value[at] = own, worth
+    at = (cuts[1:, None] - k + np.arange(k)).ravel()
+    slot[at], value[at] = _with_bins((doc[:0], own[:0], worth[:0]), stats, edges)[1:]
+    del doc, own, worth, at, hashed
     rng = np.random.default_rng(7)
     size = (1 << HASH_BITS) + stats.shape[1] * (BINS + 1)
     theta = np.zeros((size, factors + 1))
@@ -144,7 +150,7 @@ def _fit(stats: np.ndarray, hashed, labels: np.ndarray, prior: float, epochs: in
             rows = shuffled[a : a + 128]
             lens = cuts[rows + 1] - cuts[rows]
             at = np.arange(lens.sum()) + np.repeat(cuts[rows] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens)
-            s, x, d = slot[at], value[at], np.repeat(np.arange(len(rows)), lens)
+            s, x, d = slot[at], value[at].astype(float), np.repeat(np.arange(len(rows)), lens)
             xv = theta[s, 1:] * x[:, None]
             sums = np.column_stack([np.bincount(d, xv[:, f], len(rows)) for f in range(factors)])
             squares = np.bincount(d, (xv**2).sum(axis=1), len(rows))
@@ -177,40 +183,47 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",), *, label_col: str = "quality", sample: int = SAMPLE, epochs: int = EPOCHS, factors: int = FACTORS) -> Machine:
     """Fit on at most ``sample`` labelled rows of each class from outside the held-out fold.
 
-    Labels other than 0 and 1, and null ids, are left out; repeated labels count once. Without any
-    usable row the machine scores 0.5 for every text.
+    Labels other than 0 and 1, and null ids, are left out; repeated labels count once, and of rows
+    that repeat an id one is taken. Without any usable row the machine scores 0.5 for every text.
     """
     small_batches(docs.sparkSession)
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
-    shares = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
-    chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    rows = docs.join(F.broadcast(chosen[0].union(chosen[1])), docs[id_col] == F.col("id")).select("label", F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in meta_cols])
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).distinct()
+    shares = {r["__label"]: r["count"] for r in usable.groupBy("__label").count().collect()}
+    chosen = [usable.where(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(sample) for k in (0, 1)]
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__meta{i}") for i, c in enumerate(meta_cols)])
+    rows = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("__doc") == F.col("__id")).select("__id", "__label", "__text", *[f"__meta{i}" for i in range(len(meta_cols))])
+    kind = rows.schema["__id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            data, offs = K.text_bytes(batch.column(1))
+            data, offs = K.text_bytes(batch.column(2))
             stats, words, hashes = statistics(data, offs)
             doc, slot, value = _hashed(words, hashes, len(stats))
             cuts = np.searchsorted(doc, np.arange(len(stats) + 1))
-            full = np.column_stack([stats, _meta(batch.columns[2:])]) if meta_cols else stats
+            full = np.column_stack([stats, _meta(batch.columns[3:])]) if meta_cols else stats
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([x.tobytes() for x in full], pa.binary()),
                     pa.array([slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array([value[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ],
-                names=["label", "stats", "slots", "counts"],
+                names=["id", "label", "stats", "slots", "counts"],
             )
 
-    got = sorted(rows.mapInArrow(run, "label int, stats binary, slots binary, counts binary").collect(), key=lambda r: (r.label, r.stats, r.slots))
+    features = rows.mapInArrow(run, f"id {kind}, label int, stats binary, slots binary, counts binary")
+    got = features.groupBy("id", "label").agg(F.min(F.struct("stats", "slots", "counts")).alias("f")).select("label", "f.*").collect()  # at most 2 * sample rows
     if not got:
         size = 1 << HASH_BITS
         return Machine([], 0.0, np.zeros(size), np.zeros((size, 0)))
-    slots, counts = [np.frombuffer(r.slots, np.int32) for r in got], [np.frombuffer(r.counts, np.float32) for r in got]
-    hashed = np.repeat(np.arange(len(got)), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64), np.concatenate(counts).astype(float)
+    got.sort(key=lambda r: (r.label, r.stats, r.slots))
+    stats, label = np.array([np.frombuffer(r.stats) for r in got]), np.array([r.label for r in got])
+    sizes = [len(r.slots) // 4 for r in got]
+    hashed = np.repeat(np.arange(len(got), dtype=np.int32), sizes), np.frombuffer(b"".join(r.slots for r in got), np.int32), np.frombuffer(b"".join(r.counts for r in got), np.float32)
+    del got
     prior = shares.get(1, 0) / sum(shares.values())
-    return _fit(np.array([np.frombuffer(r.stats) for r in got]), hashed, np.array([r.label for r in got]), prior, epochs, factors)
+    return _fit(stats, hashed, label, prior, epochs, factors)
 
 
 def scorer(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",)) -> Column:
@@ -233,13 +246,23 @@ def scorer(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",), **options) -> DataFrame:
-    """One row per document row: (id, held_out, score, predicted); predicted is 1 from a score of 0.5 on."""
+    """One row per document row: (id, held_out, score, predicted); predicted is 1 from a score of 0.5 on.
+
+    Null and empty texts are scored from their statistics and metadata, null metadata as a bin of its
+    own, long texts whole. Rows that repeat an id are scored each for itself; a null id is not held
+    out. Without documents there are no rows, without usable labels every score is 0.5. Columns of
+    docs beside the named ones, labels among them, are never looked at, whatever their names.
+    """
     machine = fit(docs, labels, id_col, text_col, meta_cols, **options)
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), scorer(docs, machine, text_col, meta_cols).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("n_chars",), **options) -> DataFrame:
-    """The rows of docs, with their columns, that the classifier predicts to be of quality 1."""
+    """The rows of docs, with their columns, that the classifier predicts to be of quality 1.
+
+    Nulls, empty and long texts, repeated rows, empty tables and other columns as in classify;
+    without usable labels every row stays.
+    """
     machine = fit(docs, labels, id_col, text_col, meta_cols, **options)
     return docs.where(scorer(docs, machine, text_col, meta_cols) >= 0.5)
