@@ -2,23 +2,30 @@
 
 Fitting (on a bounded sample) takes the mean, the principal axes and a rotation that brings the
 rotated axes close to signs, so that the bits of a code are balanced. Any rotation gives the same
-links; a good one gives even buckets.
-
-A code is cut into ``tables`` substrings, each the key of one table. Two unit vectors with cosine of
-at least c lie within r = sqrt(2 - 2c) of each other, so in one of the m substrings the squared
-distance is at most r^2 / m, and their midpoint lies within half of that from both. Each vector is
-therefore entered under every substring code that it can reach by flipping bits whose squared
-coordinates sum to at most r^2 / (4 m): both vectors of a pair then meet in the bucket of their
-midpoint, with certainty. A pair that meets more often counts only in the bucket of its midpoint in
-the first such table. Buckets are compared a block against a block, with the original vectors in
-double precision; a block pair returns counts and a spanning forest, never its pairs. Equal vectors
-are one entry with a count.
+links; a good one gives even buckets. Coordinates are rounded to steps of ``STEP`` once, when a vector
+is entered, and carried as integers, so that every later decision about a pair is the same anywhere.
+
+A code is cut into m substrings, each the key of one table. Two unit vectors with cosine of at least
+c lie within r = sqrt(2 - 2c) of each other, so in one of the m substrings the squared distance is at
+most r^2 / m, and their midpoint lies within half of that from both. Each vector is therefore entered
+under every substring code that it can reach by flipping bits whose squared coordinates sum to at
+most r^2 / (4 m): both vectors of a pair then meet in the bucket of their midpoint, with certainty. A
+pair that meets more often counts only in the bucket of its midpoint in the first such table. Buckets
+are compared a block against a block, with the original vectors in double precision; a block pair
+returns counts and a spanning forest, never its pairs. Equal vectors are one entry with a count.
+
+m follows from the rows: fewer tables have longer keys, so smaller buckets, but more entries a vector.
+The sample tells how many entries and meetings each m costs, and the rows weigh the two, so that the
+share of all pairs that is compared falls as rows are added. Where vectors lie so close together (a
+strong common direction) that every m would compare ``MOST_PAIRS`` of all pairs of a label or more,
+they are all compared, block against block: that is the upper bound.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +34,13 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.common import components, cut
 
-COSINE, BITS, TABLES, SAMPLE, BLOCK = 0.98, 64, 8, 20_000, 256
+COSINE, BITS, SAMPLE, BLOCK = 0.98, 64, 20_000, 256
+#: Numbers of tables to choose from; 0, comparing all vectors of a label, is taken if none of them serves.
+TABLES = (2, 3, 4, 5, 6, 8, 11, 16)
+MOST_PAIRS = 0.5
+STEP = 2.0**-13
+#: What entering a vector once costs, in comparisons of two vectors; entries of a vector in a table to count to.
+ENTRY_COST, MOST_ENTRIES = 300, 2000
 
 
 @dataclass
@@ -40,22 +53,33 @@ class Codes:
     tables: int
 
     def project(self, units: np.ndarray) -> np.ndarray:
-        """Coordinates (tables x width) of unit vectors, padded with zeros to full substrings."""
+        """Coordinates (tables x width) of unit vectors, padded to full substrings."""
         if units.shape[1] == len(self.mean):
             z = (units - self.mean) @ self.axes
         else:
             z = units[:, : self.bits]
+        if not self.tables:
+            return np.zeros((len(z), 0, 0))
         width = -(-z.shape[1] // self.tables)
         out = np.full((len(z), width * self.tables), 1.0)
         out[:, : z.shape[1]] = z
         return out.reshape(len(z), self.tables, width)
 
+    def steps(self, units: np.ndarray) -> np.ndarray:
+        """The coordinates as whole numbers of steps."""
+        return np.rint(self.project(units) / STEP).astype(np.int16)
+
+    def bound(self, cosine: float) -> int:
+        """The most that the squared steps between two linked vectors sum to in one of the tables."""
+        apart = sqrt(2 - 2 * cosine) + STEP * sqrt(max(1, self.bits)) + 1e-6
+        return floor(apart**2 / max(1, self.tables) / STEP**2)
+
     @staticmethod
     def keys(z: np.ndarray) -> np.ndarray:
         return ((z > 0) * (np.int64(1) << np.arange(z.shape[-1], dtype=np.int64))).sum(axis=-1)
 
 
-def fit_codes(sample: np.ndarray, bits: int = BITS, tables: int = TABLES, rounds: int = 50) -> Codes:
+def fit_codes(sample: np.ndarray, bits: int = BITS, tables: int = 8, rounds: int = 50) -> Codes:
     """Iterative quantisation on the rows of sample (unit vectors)."""
     mean = sample.mean(axis=0)
     centred = sample - mean
@@ -69,13 +93,13 @@ def fit_codes(sample: np.ndarray, bits: int = BITS, tables: int = TABLES, rounds
     return Codes(mean, axes @ rotation, axes.shape[1], tables)
 
 
-def _entries(margins: np.ndarray, key: int, bound: float) -> list[int]:
-    """The codes that flips of summed margin up to bound reach from key."""
-    order = np.argsort(margins)
-    cost = margins[order].tolist()
+def _reached(costs: np.ndarray, key: int, bound: int, most: int | None = None) -> list[int]:
+    """The codes that flips of summed cost up to bound reach from key (no more than most, if given)."""
+    order = np.argsort(costs, kind="stable")
+    cost = costs[order].tolist()
     flip = [1 << int(i) for i in order]
-    out, open_ = [], [(key, 0.0, 0)]
-    while open_:
+    out, open_ = [], [(key, 0, 0)]
+    while open_ and (most is None or len(out) < most):
         code, spent, k = open_.pop()
         out.append(code)
         for j in range(k, len(cost)):
@@ -85,6 +109,38 @@ def _entries(margins: np.ndarray, key: int, bound: float) -> list[int]:
     return out
 
 
+def entries(codes: Codes, z: np.ndarray, cosine: float, most: int | None = None):
+    """(row, table, code) for each bucket that the rows of z (steps) are entered in, row by row."""
+    if not codes.tables:
+        yield from ((k, -1, 0) for k in range(len(z)))
+        return
+    keys, quarter = codes.keys(z), codes.bound(cosine) // 4
+    squares = z.astype(np.int64) ** 2
+    for k in range(len(z)):
+        for t in range(z.shape[1]):
+            yield from ((k, t, c) for c in _reached(squares[k, t], int(keys[k, t]), quarter, most))
+
+
+def choose_tables(sample: np.ndarray, codes: Codes, cosine: float, rows: int, pairs: float, tables=TABLES) -> Codes:
+    """codes with the number of tables that costs least for so many rows and pairs of rows of one label."""
+    best = None
+    few = sample[:: max(1, len(sample) // 300)]
+    for m in tables:
+        if not m <= codes.bits <= 60 * m:
+            continue
+        tried = Codes(codes.mean, codes.axes, codes.bits, m)
+        made = np.zeros(m)
+        for _, t, _ in entries(tried, tried.steps(few), cosine, MOST_ENTRIES):
+            made[t] += 1 / len(few)
+        keys, n = tried.keys(tried.steps(sample)), len(sample)
+        counts = [np.unique(keys[:, t], return_counts=True)[1].astype(float) for t in range(m)]
+        meet = sum(e * e * max((c * (c - 1)).sum() / max(1, n * (n - 1)), 2.0 ** -(codes.bits // m)) for e, c in zip(made, counts, strict=True))
+        cost = ENTRY_COST * rows * made.sum() + (1 + ENTRY_COST / BLOCK) * pairs * meet
+        if made.max() < MOST_ENTRIES / 4 and meet < MOST_PAIRS and (best is None or cost < best[0]):
+            best = (cost, tried)
+    return best[1] if best else Codes(codes.mean, codes.axes, codes.bits, 0)
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -117,22 +173,28 @@ def _clean(docs: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
     return rows.mapInArrow(run, "id long, label string, key binary, vector binary")
 
 
-def _fit(classes: DataFrame, sample: int, bits: int, tables: int) -> Codes | None:
+def _fit(classes: DataFrame, cosine: float, sample: int, bits: int, tables: int | None) -> Codes | None:
     dims = classes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     if dims is None:
         return None
     fraction = min(1.0, sample / dims.n)
     rows = classes.where((F.col("size") == dims["size"]) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < fraction * 1_000_000)).select("vector").collect()
     if not rows:
-        return Codes(np.zeros(0), np.zeros((0, 0)), bits, tables)
-    return fit_codes(_units(np.array([_doubles(v) for v in sorted(bytes(r.vector) for r in rows)])), bits, tables)
+        return Codes(np.zeros(0), np.zeros((0, 0)), bits, 0 if tables is None else tables)
+    units = _units(np.array([_doubles(v) for v in sorted(bytes(r.vector) for r in rows)]))
+    codes = fit_codes(units, bits, tables or 0)
+    if tables is not None:
+        return codes
+    labels = classes.groupBy("label", "size").agg(F.count("*").cast("double").alias("n"))
+    total = labels.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
+    return choose_tables(units, codes, cosine, total.rows, total.pairs)
 
 
 def _link(cells: DataFrame, codes, cosine: float) -> DataFrame:
     """(id, n, low): links counted in a block pair, and the smallest vector it is connected to there."""
-    square = 2 - 2 * cosine
 
     def run(batches):
+        bound = codes.value.bound(cosine)
         for batch in batches:
             ids, counts, lows = [], [], []
             for row in range(batch.num_rows):
@@ -141,20 +203,21 @@ def _link(cells: DataFrame, codes, cosine: float) -> DataFrame:
                 doc, many, block = (np.asarray(m.field(f)) for f in (0, 1, 2))
                 x = np.array([_doubles(v) for v in m.field(3).to_pylist()])
                 one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-                unit = _units(x)
                 near = x[one] @ x[two].T / (np.linalg.norm(x[one], axis=1)[:, None] * np.linalg.norm(x[two], axis=1)) >= cosine
                 if i == j:
                     near &= np.arange(len(one))[:, None] < np.arange(len(two))
                 p, q = np.nonzero(near)
                 if not len(p):
                     continue
-                p, q, z = one[p], two[q], codes.value.project(unit)
-                mine = np.zeros(len(p), bool)
-                for a in range(0, len(p), 16384):
-                    zp, zq = z[p[a : a + 16384]], z[q[a : a + 16384]]
-                    inside = ((zp - zq) ** 2).sum(axis=2) <= square / z.shape[1] * (1 + 1e-9) + 1e-12
-                    mine[a : a + 16384] = (np.argmax(inside, axis=1) == table) & (codes.value.keys(zp[:, table] + zq[:, table]) == code)
-                p, q = p[mine], q[mine]
+                p, q = one[p], two[q]
+                if table >= 0:
+                    z = np.frombuffer(b"".join(m.field(4).to_pylist()), "<i2").reshape(len(doc), codes.value.tables, -1).astype(np.int32)
+                    mine = np.zeros(len(p), bool)
+                    for a in range(0, len(p), 16384):
+                        zp, zq = z[p[a : a + 16384]], z[q[a : a + 16384]]
+                        inside = ((zp - zq).astype(np.int64) ** 2).sum(axis=2) <= bound
+                        mine[a : a + 16384] = (np.argmax(inside, axis=1) == table) & (codes.value.keys(zp[:, table] + zq[:, table]) == code)
+                    p, q = p[mine], q[mine]
                 if not len(p):
                     continue
                 n = np.bincount(p, many[q], len(doc)) + np.bincount(q, many[p], len(doc))
@@ -180,7 +243,7 @@ def near_duplicate_vectors(
     *,
     cosine: float = COSINE,
     bits: int = BITS,
-    tables: int = TABLES,
+    tables: int | None = None,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """One row per vector: (id, n_links, component_id, kept).
@@ -189,43 +252,48 @@ def near_duplicate_vectors(
     is at least ``cosine``. Null, empty and zero vectors and those with null or non-finite entries
     link with nothing, neither do rows with a null id; these are kept. n_links counts other rows, so
     a copy counts as often as it is repeated; component_id is the smallest id reachable over links.
-    The rotation is fitted on about ``sample`` distinct vectors, chosen by hash.
+    An empty table gives no rows; long vectors are compared whole; other columns are ignored. The
+    rotation is fitted, and the number of tables chosen unless it is given, on about ``sample``
+    distinct vectors, chosen by hash; neither changes the result.
     """
     spark = vectors.sparkSession
     rows = cut(_clean(vectors, id_col, vector_col, label_col))
     valid = rows.where("key IS NOT NULL AND id IS NOT NULL")
     classes = cut(valid.groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.first("vector").alias("vector")).withColumn("size", F.octet_length("vector")))
-    fitted = _fit(classes, sample, bits, tables)
+    fitted = _fit(classes, cosine, sample, bits, tables)
     if fitted is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     codes = spark.sparkContext.broadcast(fitted)
-    bound = (2 - 2 * cosine) / 4 / tables * (1 + 1e-9) + 1e-12
 
     def enter(batches):
+        def put(batch, z, out):
+            at, table, code = (np.array(c, np.int64) for c in zip(*out, strict=True))
+            taken = batch.take(pa.array(at))
+            own = pa.array([z[k] for k in at.tolist()], pa.binary())
+            return pa.RecordBatch.from_arrays([*taken.columns, own, pa.array(table, pa.int32()), pa.array(code)], names=[*batch.schema.names, "z", "tab", "code"])
+
         for batch in batches:
-            out = []
             for size in np.unique(np.asarray(batch.column(4))).tolist():
                 some = np.flatnonzero(np.asarray(batch.column(4)) == size)
-                x = np.array([_doubles(batch.column(3)[k].as_py()) for k in some.tolist()])
-                z = codes.value.project(_units(x))
-                keys = codes.value.keys(z)
-                for r, k in enumerate(some.tolist()):
-                    for t in range(z.shape[1]):
-                        out.extend((k, t, c) for c in _entries(z[r, t] ** 2, int(keys[r, t]), bound))
-            at, table, code = (np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-            for a in range(0, len(at), 4096):
-                s = slice(a, a + 4096)
-                taken = batch.take(pa.array(at[s]))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(table[s], pa.int32()), pa.array(code[s])], names=[*batch.schema.names, "tab", "code"])
+                steps = codes.value.steps(_units(np.array([_doubles(batch.column(3)[k].as_py()) for k in some.tolist()])))
+                z, out = {k: x.astype("<i2").tobytes() for k, x in zip(some.tolist(), steps, strict=True)}, []
+                for r, t, c in entries(codes.value, steps, cosine):
+                    out.append((int(some[r]), t, c))
+                    if len(out) == 4096:
+                        yield put(batch, z, out)
+                        out = []
+                if out:
+                    yield put(batch, z, out)
 
     bucket = ["label", "size", "tab", "code"]
-    light = classes.select("label", "id", "many", "vector", "size").mapInArrow(enter, "label string, id long, many long, vector binary, size int, tab int, code long")
+    light = classes.select("label", "id", "many", "vector", "size").mapInArrow(enter, "label string, id long, many long, vector binary, size int, z binary, tab int, code long")
     entered = cut(light)
     counts = entered.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
     blocks = entered.join(counts, bucket).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = blocks.groupBy(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "many", "block", "vector")).alias("members"))
+    cells = blocks.groupBy(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "many", "block", "vector", "z")).alias("members"))
     found = cut(_link(cells.select("tab", "code", "i", "j", "members"), codes, cosine))
+    codes.destroy()
 
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     merged = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))

@@ -3,6 +3,9 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from test_textkernels import thue_morse
 
 from edgeloom.llm import decontaminate, itq_dedup, minhash_dedup, substring_dedup
 
@@ -147,3 +150,42 @@ def test_vectors_have_even_codes():
     assert np.allclose(codes.axes.T @ codes.axes, np.eye(32))
 
 
+
+
+def test_long_words_that_differ_are_not_taken_for_copies(spark):
+    one, two = thue_morse(1024)
+    head = " ".join(f"h{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"{head} {one}")], "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert found == {1: 0, 2: 0, 3: 13}
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def _compared(x, cosine=0.98):
+    """The share of all pairs that meet in a bucket, by tables chosen for this many rows."""
+    units = itq_dedup._units(x)
+    codes = itq_dedup.choose_tables(units, itq_dedup.fit_codes(units, tables=0), cosine, len(x), float(len(x)) ** 2)
+    buckets = {}
+    for _, t, c in itq_dedup.entries(codes, codes.steps(units), cosine):
+        buckets[t, c] = buckets.get((t, c), 0) + 1
+    return sum(n * (n - 1) for n in buckets.values()) / (len(x) * (len(x) - 1))
+
+
+def test_fewer_pairs_are_compared_as_vectors_are_added():
+    r = np.random.default_rng(4)
+    x, common = r.normal(size=(24_000, 64)), r.normal(size=64)
+    few, many = _compared(x[:3000]), _compared(x)
+    assert many < 0.6 * few < 0.3
+    assert _compared(x[:4000] + common) < 0.5
+    assert _compared(x[:1000] + 3 * common) <= 1  # all of them, once: no tables would compare fewer
+
+
+def test_vectors_of_a_common_direction(spark):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(120, 16)) + 3, r.normal(size=(120, 16)) * 0.3 + 3]).astype(np.float32)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    found = itq_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit(1)).withColumn("z", F.lit("x")))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    assert {r.vec_id: r.n_links for r in found.collect()} == {k: int(near[k].sum()) - 1 for k in range(240)}

@@ -48,6 +48,15 @@ def test_quality_edges(spark):
     assert quality.keep_accepted(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_quality_beside_clashing_columns(spark):
+    rows = [(i, f"some text of {i}" * 9, 7, i, i, 0) for i in range(30)] + [(5, "again", 7, 1, 1, 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, id long, label long, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    bare = quality.classify(docs.select("doc_id", "text", "n_chars"), labels)
+    assert sorted(quality.classify(docs, labels).collect()) == sorted(bare.collect()) and bare.count() == 33
+    assert quality.keep_accepted(docs, labels).columns == docs.columns
+
+
 def test_interactions_in_linear_time():
     r = np.random.default_rng(1)
     machine = quality._fit(r.normal(size=(40, 2)), (np.repeat(np.arange(40), 3), r.integers(0, 50, 120), r.random(120)), (np.arange(40) % 2).astype(float), 0.5, 2, 3)
@@ -290,6 +299,15 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert token_files.round_trip(docs.limit(0), BPE, str(tmp_path / "none")).count() == 0
 
 
+def test_pieces_of_one_hash_are_compared(monkeypatch):
+    real = token_files.K.word_hashes
+    monkeypatch.setattr(token_files.K, "word_hashes", lambda data, start, end, seed=0: real(data, start, end, seed) % np.uint64(5))
+    encoder, tokenizer = token_files.Encoder(BPE), Tokenizer.from_file(BPE)
+    for text in ("one two", "three four, five six seven", "two one don't", "eight"):
+        ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_are_encoded_whole(spark):
     encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     text = "It's a  test, of 1234 things."
