@@ -12,17 +12,20 @@ of 5e-11 is all that this can lose). That makes it an overlap join with three ex
   among their first ``shared - matches + 1``, so only those are posted for merging. A shorter prefix
   would lose pairs: a rare passage that a document shares with others stands before its group's
   coordinates;
-- skip merging: a first merge pairs each document with the one list leader it meets most often; lists
-  whose members that already joins into one component are skipped, and only pairs of different
-  components are compared in the rest, a block of each list against another block of it. That
-  comparison counts collisions over ``long_coords`` coordinates of one byte, so that documents that
+- skip merging: a first merge pairs each document with the one list leader it meets most often, a
+  second one with the document it collides with most within its block of a long list; lists whose
+  members these links join into one component are skipped. In the rest, the documents outside of the
+  list's largest component are compared with all its documents, block against block, each pair in the
+  first list that it shares. Comparing counts the collisions of each pair over ``long_coords``
+  coordinates of one byte and retains the pairs with ``long_matches`` or more, so that documents that
   share half of their text don't pass (256 and 145 at 0.75: a tail of 5e-11). A block comparison
   passes on a spanning forest of what it finds, never its pairs.
 
-Links are confirmed on the full shingle sets: those of the first merge pair by pair, then the members
-of each family of candidates block against block, all intersections of two blocks being one product
-of their document x shingle matrices. Again only a spanning forest of the confirmed links is
-returned. Equal sets are one class from the start. So neither copies nor near copies become pairs.
+Links are confirmed on the full shingle sets: those of the first two merges pair by pair, then in each
+family of candidates what is outside of its largest component against all, block against block, all
+intersections of two blocks being one product of their document x shingle matrices. Again only a
+spanning forest of the confirmed links is returned. Equal sets are one class from the start. So
+neither copies nor near copies become pairs.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ LONG_COORDS, LONG_MATCHES = 256, 145
 BLOCK = 256
 #: Members of a family whose full sets meet in one task at a time.
 FAMILY_BLOCK = 128
+#: Lists of a document, the most frequent ones posted, in which the second merge looks for its nearest document.
+NEAREST_LISTS = 3
 
 
 def _factors(coords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,15 +166,43 @@ def _long_signatures(packed: DataFrame, size: int, coords: int) -> DataFrame:
 
 
 def _cells(rows: DataFrame, key: str, columns: list[str], block: int) -> DataFrame:
-    """(i, j, members): the rows of each key, block against block, so that no task gets a whole key."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n_members"))
-    dealt = rows.join(counts, key).withColumn("blocks", F.ceil(F.col("n_members") / block).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """(i, j, members): of each key, the rows outside of its largest component against all, block against block.
+
+    So no task gets a whole key, and the more of a key is joined already, the fewer cells it has.
+    """
+    counts = rows.groupBy(key, "comp").agg(F.count("*").alias("n"))
+    counts = counts.groupBy(key).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_members"))
+    counts = cut(counts.where("n_members > top.n").select(key, F.col("top.comp").alias("top"), F.ceil((F.col("n_members") - F.col("top.n")) / block).cast("int").alias("rest"), F.ceil(F.col("top.n") / block).cast("int").alias("others")))
+    inside = F.col("comp") == F.col("top")
+    dealt = rows.join(counts, key).withColumn("block", F.when(inside, F.col("rest") + F.pmod(F.xxhash64("doc"), F.col("others"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("rest"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(inside, 0).otherwise(F.col("others")))))
     cells = dealt.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return cells.agg(F.collect_list(F.struct("doc", "comp", "block", *columns)).alias("members")).select("i", "j", "members")
 
 
+def _nearest(lists: DataFrame, block: int, matches: int) -> DataFrame:
+    """(a, b): each document of lists(key, doc, comp, long) with the smaller one of another component that it collides with most in its block."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in batch.column(0):
+                doc, comp = (np.asarray(row.values.field(f)) for f in (0, 1))
+                sig = np.frombuffer(b"".join(row.values.field(2).to_pylist()), np.uint8).reshape(len(doc), -1)
+                order = np.argsort(doc, kind="stable")
+                doc, comp, sig = doc[order], comp[order], sig[order]
+                for k in range(1, len(doc)):
+                    met = np.where(comp[:k] != comp[k], (sig[:k] == sig[k]).sum(axis=1), 0)
+                    if met[best := int(np.argmax(met))] >= matches:
+                        left.append(doc[best : best + 1])
+                        right.append(doc[k : k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    counts = cut(lists.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "blocks"))
+    dealt = lists.join(counts, "key").groupBy("key", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")).alias("block"))
+    return dealt.agg(F.collect_list(F.struct("doc", "comp", "long")).alias("members")).select("members").mapInArrow(run, "a long, b long").distinct()
+
+
 def _forest(doc: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For links p-q between positions: each linked document and the smallest one it is connected to."""
     label, old = doc.copy(), None
@@ -208,10 +241,23 @@ def _connect(cells: DataFrame, find) -> DataFrame:
 
 
 def _alike(matches: int):
+    """Pairs with enough collisions, each in the first list (the rarest first) that it shares: there are no common lists before."""
+
     def find(members, one, two):
         sig = np.frombuffer(b"".join(members.field(3).to_pylist()), np.uint8).reshape(len(members), -1)
         other = sig[two]
-        return np.array([(other == s).sum(axis=1) >= matches for s in sig[one]])
+        near = np.array([(other == s).sum(axis=1) >= matches for s in sig[one]])
+        lists = members.field(4)
+        column, count = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)[1:]
+        owner, shared = np.repeat(np.arange(len(members)), np.diff(np.asarray(lists.offsets))), count[column] > 1
+        if near.any() and shared.any():
+            owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+            for low in range(0, int(column.max()) + 1, 8192):
+                part = (column >= low) & (column < low + 8192)
+                dense = np.zeros((len(members), 8192), np.float32)
+                dense[owner[part], column[part] - low] = 1
+                near &= dense[one] @ dense[two].T == 0
+        return near
 
     return find
 
@@ -282,13 +328,13 @@ def near_duplicates(
     first = first.select((-F.col("best")["col2"]).alias("a"), F.col("doc").alias("b"))
     links = cut(_confirm(first, packed, size, percent))
 
-    joined = cut(components(links))
-    posted = cut(active.join(joined, active.doc == joined.node, "left").select("doc", F.coalesce("component", "doc").alias("comp"), F.col("prefix.key").alias("key")))
-    lists = posted.select("doc", "comp", F.explode("key").alias("key"))
-    mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    lists = cut(lists.join(mixed, "key"))
-    signed = _long_signatures(packed.join(lists.select("doc").distinct(), "doc"), size, long_coords)
-    families = cut(components(_connect(_cells(lists.join(signed, "doc"), "key", ["long"], BLOCK), _alike(long_matches))))
+    posted, lists = _mixed(active, links)
+    signed = cut(_long_signatures(packed.join(lists.select("doc").distinct(), "doc"), size, long_coords))
+    few = posted.select("doc", "comp", F.explode(F.slice(F.reverse("key"), 1, NEAREST_LISTS)).alias("key")).join(signed, "doc")
+    links = cut(links.union(_confirm(_nearest(few, BLOCK, long_matches), packed, size, percent)))
+
+    posted, lists = _mixed(active, links)
+    families = cut(components(_connect(_cells(lists.join(signed, "doc"), "key", ["long", "before"], BLOCK), _alike(long_matches))))
     members = families.join(posted.select("doc", "comp"), F.col("node") == F.col("doc")).join(packed.where("packed IS NOT NULL"), "doc")
     members = members.select(F.col("component").alias("family"), "doc", "comp", "packed", "size")
     more = cut(_connect(_cells(members, "family", ["packed", "size"], FAMILY_BLOCK), _similar(size, percent)))
@@ -307,6 +353,19 @@ def near_duplicates(
     )
 
 
+def _mixed(active: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """posted(doc, comp, key array) under the components of links; lists(key, doc, comp, before) of the keys with several components.
+
+    before has the document's keys that precede the list's.
+    """
+    joined = cut(components(links))
+    posted = cut(active.join(joined, active.doc == joined.node, "left").select("doc", F.coalesce("component", "doc").alias("comp"), F.col("prefix.key").alias("key")))
+    lists = posted.select("doc", "comp", F.posexplode("key").alias("at", "key"), F.col("key").alias("keys"))
+    lists = lists.select("doc", "comp", "key", F.slice("keys", F.lit(1), F.col("at")).alias("before"))
+    mixed = cut(lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    return posted, cut(lists.join(mixed, "key"))
+
+
 def _repeats(member: DataFrame) -> DataFrame:
     """Links between the classes that the texts of one repeated id fall into, and to the id itself."""
     by_id = member.groupBy("doc").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
