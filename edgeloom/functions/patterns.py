@@ -123,7 +123,9 @@ class Filter:
             raise InvalidPattern("this candidate has no declaration name")
         value = {FILENAME: basename, PATH: lambda p: p, FOLDER: folder, NAME: lambda p: name}[self.target](path)
         found = F.rlike(value, F.lit(self.regex))
-        return found & (F.regexp_extract(value, self.regex, 0) == value) if self.exact else found
+        if self.exact and not self.is_glob:  # a glob's regex is anchored at both ends already
+            found = found & (F.regexp_extract(value, self.regex, 0) == value)
+        return found
 
     def matches(self, path: Column, name: Column | None = None) -> Column:
         out = self.positive(path, name)

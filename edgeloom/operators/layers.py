@@ -43,8 +43,11 @@ def validate(layers: list[Layer], policies: list[Policy]) -> None:
 
 
 def layer_of(layers: list[Layer], path: Column) -> Column:
-    """The first layer, in order, that selects the path; null for none."""
-    return F.coalesce(*[F.when(any_of(layer.filters, path), layer.name) for layer in layers]) if len(layers) > 1 else F.when(any_of(layers[0].filters, path), layers[0].name)
+    """The first layer, in order, that selects the path; null for none, and without layers."""
+    out = F.lit(None).cast("string")
+    for layer in reversed(layers):
+        out = F.when(any_of(layer.filters, path), layer.name).otherwise(out)
+    return out
 
 
 def assign(edges: DataFrame, layers: list[Layer]) -> DataFrame:
@@ -56,11 +59,13 @@ def check_layers(edges: DataFrame, layers: list[Layer], policies: list[Policy],
     """(source, target, source_layer, target_layer, policy) of internal edges that a policy forbids.
 
     Edges within a layer pass, a blocklist is asked before an allowlist, and an empty allowlist seals
-    its layer. strict adds edges with an end in no layer. Policies become one CASE over two labels,
-    so the edges are read once and never shuffled.
+    its layer. strict adds edges with an end in no layer. Each end's layer is found once, before any
+    use of it, so a filter on the policy does not repeat the patterns; edges are never shuffled.
     """
     validate(layers, policies)
-    placed = per_internal_edge(edges).select("source", "target", layer_of(layers, F.col("source")).alias("source_layer"), layer_of(layers, F.col("target")).alias("target_layer"))
+    ends = per_internal_edge(edges).select("source", "target", F.array(layer_of(layers, F.col("source")), layer_of(layers, F.col("target"))).alias("ends"))
+    # exploding a single row keeps the optimizer from copying the patterns into each use of a layer
+    placed = ends.select("source", "target", F.explode(F.array("ends")).alias("ends")).select("source", "target", F.col("ends")[0].alias("source_layer"), F.col("ends")[1].alias("target_layer"))
     found = F.lit(None).cast("string")
     for p in sorted(policies, key=lambda p: not p.allow):
         within = F.col("target_layer").isin(*p.targets) if p.targets else F.lit(False)
