@@ -51,22 +51,30 @@ def per_external_edge(edges: DataFrame) -> DataFrame:
     return edges.where("external AND source != target")
 
 
-def project_edges(edges: DataFrame, source_label: Column | str = "source", target_label: Column | str = "target") -> DataFrame:
-    """One row per label pair with its evidence, sorted; a null label drops the edge.
+def _labelled(edges: DataFrame, source_label: Column | str, target_label: Column | str) -> DataFrame:
+    source_label, target_label = (F.col(x) if isinstance(x, str) else x for x in (source_label, target_label))
+    empty = F.raise_error(F.lit("a label is empty")).cast("string")
+    source_label, target_label = (F.when(x == "", empty).otherwise(x) for x in (source_label, target_label))
+    return edges.select(source_label.alias("source_label"), target_label.alias("target_label"), *EVIDENCE).dropna(subset=["source_label", "target_label"])
+
 
-    Labels are columns: an expression, or a pandas UDF for a caller's own function. Evidence of one
-    pair is one row's array, as the result asks for; counts alone come from aggregate_edges.
+def evidence(edges: DataFrame, source_label: Column | str = "source", target_label: Column | str = "target") -> DataFrame:
+    """(source_label, target_label, source, target, external, ...): the edges behind each label pair, as rows.
+
+    Labels are columns: an expression, or a pandas UDF for a caller's own function. A null label
+    drops the edge, an empty one fails the job. Rows of a pair are never gathered in one place.
     """
-    source_label, target_label = (F.col(x) if isinstance(x, str) else x for x in (source_label, target_label))
-    mapped = edges.select(source_label.alias("source_label"), target_label.alias("target_label"), *EVIDENCE).dropna(subset=["source_label", "target_label"])
-    return mapped.groupBy("source_label", "target_label").agg(F.array_sort(F.collect_set(F.struct(*EVIDENCE))).alias("evidence"))
+    return _labelled(edges, source_label, target_label)
+
+
+def project_edges(edges: DataFrame, source_label: Column | str = "source", target_label: Column | str = "target") -> DataFrame:
+    """One row per label pair: n_evidence, whether any is external, united masks. evidence() has the edges behind it."""
+    return aggregate_edges(edges, source_label, target_label).withColumnRenamed("count", "n_evidence")
 
 
 def aggregate_edges(edges: DataFrame, source_label: Column | str = "source", target_label: Column | str = "target") -> DataFrame:
-    """Edge count, externality and united masks of each label pair."""
-    source_label, target_label = (F.col(x) if isinstance(x, str) else x for x in (source_label, target_label))
-    mapped = edges.select(source_label.alias("source_label"), target_label.alias("target_label"), "external", "kinds", "classes", "availabilities").dropna(subset=["source_label", "target_label"])
-    return mapped.groupBy("source_label", "target_label").agg(
+    """Edge count, externality and united masks of each label pair; a null label drops the edge, an empty one fails the job."""
+    return _labelled(edges, source_label, target_label).groupBy("source_label", "target_label").agg(
         F.count("*").alias("count"),
         F.bool_or("external").alias("external"),
         F.bit_or("kinds").alias("kinds"),

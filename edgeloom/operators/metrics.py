@@ -30,11 +30,54 @@ def coupling(edges: DataFrame, selectors=()) -> DataFrame:
     zero, one = F.lit(0), F.lit(1)
     ends = files.select("label", zero.alias("a"), zero.alias("e"))
     ends = ends.union(inside.select("target", one, zero)).union(inside.select("source", zero, one))
-    n = files.count()
+    n = files.agg((F.count("*") - 1).alias("others"))  # one row
     found = ends.groupBy("label").agg(F.sum("a").alias("afferent"), F.sum("e").alias("efferent")).where(all_of(selectors, F.col("label")))
     total = F.col("afferent") + F.col("efferent")
-    factor = total / F.lit(2.0 * (n - 1)) if n > 1 else F.lit(0.0)
-    return found.select("label", "afferent", "efferent", F.when(total == 0, 0.0).otherwise(F.col("efferent") / F.nullif(total, F.lit(0))).alias("instability"), factor.alias("coupling_factor"))
+    factor = F.when(F.col("others") > 0, total / (2.0 * F.col("others"))).otherwise(0.0)
+    return found.join(F.broadcast(n)).select("label", "afferent", "efferent", F.when(total == 0, 0.0).otherwise(F.col("efferent") / F.nullif(total, F.lit(0))).alias("instability"), factor.alias("coupling_factor"))
+
+
+def validated(labels: DataFrame, projected: DataFrame) -> DataFrame:
+    """projected(source_label, target_label, external) whose internal edges end at labels(label), else the job fails.
+
+    Labels are neither empty nor repeated, and no internal edge dangles.
+    """
+    counts = labels.groupBy("label").agg(F.count("*").alias("n"))
+    bad = F.raise_error(F.concat(F.lit("empty or repeated label "), "label")).cast("long")
+    known = counts.select("label", F.when((F.col("label") == "") | (F.col("n") > 1), bad).otherwise(F.col("n")).alias("n"))
+    rows = projected
+    for end in ("source", "target"):
+        rows = rows.join(known.select(F.col("label").alias(f"{end}_label"), F.col("n").alias(f"__{end}")), f"{end}_label", "left")
+    dangling = F.raise_error(F.concat(F.lit("an edge ends at no label: "), "source_label", F.lit(" -> "), "target_label")).cast("boolean")
+    fits = F.col("external") | (F.col("source_label") == F.col("target_label")) | (F.col("__source").isNotNull() & F.col("__target").isNotNull())
+    return rows.where(F.when(fits, True).otherwise(dangling)).drop("__source", "__target")
+
+
+def projected_coupling(edges: DataFrame, label) -> DataFrame:
+    """(label, source_file_count, afferent, efferent, instability, coupling_factor) of each projected subject.
+
+    label(column) gives an end's subject, null for none. Subjects are the labels of files; edges count
+    once for each pair of different subjects, if any of them is internal.
+    """
+    rows = edges.select("source", "target", "external", label(F.col("source")).alias("source_label"), F.when(F.col("external"), F.col("target")).otherwise(label(F.col("target"))).alias("target_label")).dropna(subset=["source_label", "target_label"])
+    own = (~F.col("external")) & (F.col("source") == F.col("target"))
+    subjects = rows.where(own).groupBy(F.col("source_label").alias("label")).agg(F.countDistinct("source").alias("source_file_count"))
+    pairs = rows.groupBy("source_label", "target_label").agg(F.bool_and("external").alias("external"))
+    inside = validated(subjects, pairs).where("NOT external AND source_label != target_label")
+    ends = subjects.select("label", F.lit(0).alias("a"), F.lit(0).alias("e"))
+    ends = ends.union(inside.select("target_label", F.lit(1), F.lit(0))).union(inside.select("source_label", F.lit(0), F.lit(1)))
+    found = ends.groupBy("label").agg(F.sum("a").alias("afferent"), F.sum("e").alias("efferent")).join(subjects, "label")
+    n = subjects.agg((F.count("*") - 1).alias("others"))  # one row
+    total = F.col("afferent") + F.col("efferent")
+    factor = F.when(F.col("others") > 0, total / (2.0 * F.col("others"))).otherwise(0.0)
+    rate = F.when(total == 0, 0.0).otherwise(F.col("efferent") / F.nullif(total, F.lit(0)))
+    return found.join(F.broadcast(n)).select("label", "source_file_count", "afferent", "efferent", rate.alias("instability"), factor.alias("coupling_factor"))
+
+
+def comprehensive(line_summary: DataFrame, dependency_summary: DataFrame | None = None) -> DataFrame:
+    """All sections of a metrics report together; the dependency section only at the level of files."""
+    out = report_sections(line_summary, "count", "Counts")
+    return out if dependency_summary is None else out.unionByName(report_sections(dependency_summary, "dependency", "Coupling"))
 
 
 def coupling_summary(metrics: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidOptions
 from edgeloom.functions.patterns import Filter, any_of
 from edgeloom.operators.components import components, cut
-from edgeloom.operators.graph import aggregate_edges, nodes, per_edge
+from edgeloom.operators.graph import EVIDENCE, aggregate_edges, nodes, per_edge
+from edgeloom.operators.ordering import ORDERS, numbered
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -26,20 +27,25 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, direction: str, depth: int | None = None) -> DataFrame:
     """(label, distance) of what seeds(label) reach within depth steps, themselves at 0.
 
-    Semi-naive: each round joins the last frontier only and drops what is known; both are
-    checkpointed, so that a long walk keeps a short lineage.
+    Semi-naive: each round joins the last frontier only and drops what is known; frontiers are
+    checkpointed apart, and gathered into one table every so often, so that a long walk neither keeps
+    a long lineage nor rewrites all that it knows in each round. Jobs run when this is called.
     """
     steps = cut(_steps(edges, direction))
     frontier = cut(seeds.select("label").distinct().withColumn("distance", F.lit(0)))
-    known, k = frontier, 0
+    known, k = [frontier], 0
     while depth is None or k < depth:
         k += 1
         found = frontier.join(steps, frontier["label"] == steps["at"]).select(F.col("to").alias("label")).distinct()
-        frontier = cut(found.join(known, "label", "left_anti").withColumn("distance", F.lit(k)))
+        for rows in known:
+            found = found.join(rows, "label", "left_anti")
+        frontier = cut(found.withColumn("distance", F.lit(k)))
         if frontier.isEmpty():
             break
-        known = cut(known.union(frontier))
-    return known
+        known.append(frontier)
+        if len(known) > 8:
+            known = [cut(reduce(DataFrame.union, known))]
+    return reduce(DataFrame.union, known)
 
 
 @dataclass(frozen=True)
@@ -84,27 +90,27 @@ def select_nodes(edges: DataFrame, options: Options) -> DataFrame:
 def snapshot(edges: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, summary) of a report.
 
-    nodes(id, label) are numbered n0, n1, ... in order of label: reports are small, and one window
-    over all labels numbers them. Counts are taken before collapsing drops edges within a label.
+    nodes(id, label) are numbered n0, n1, ... in order of label, by range. Counts are taken before
+    collapsing drops edges within a label.
     """
+    edges = cut(edges.select(*EVIDENCE))  # normalized once for the nodes, the edges and the counts
     chosen = select_nodes(edges, options)
-    seen = edges if options.external else edges.where("NOT external")
-    inside = seen.join(chosen.select(F.col("label").alias("source")), "source", "left_semi").join(chosen.select(F.col("label").alias("target")), "target", "left_semi")
+    inside = edges if options.external else edges.where("NOT external")
+    if options.queries:  # without any, every end is chosen
+        inside = inside.join(chosen.select(F.col("label").alias("source")), "source", "left_semi").join(chosen.select(F.col("label").alias("target")), "target", "left_semi")
     if not options.self_edges:
         inside = per_edge(inside)
     labels = chosen.select("label") if options.collapse is None else chosen.select(options.collapse.alias("label")).distinct()
-    numbered = labels.select(F.concat(F.lit("n"), F.row_number().over(W.orderBy("label")) - 1).alias("id"), "label")
-    if options.collapse is None:
-        ends = inside
-    else:
-        source, target = (inside.select(F.col(c).alias("label")).distinct().select(F.col("label").alias(c), options.collapse.alias(f"{c}_label")) for c in ("source", "target"))
-        ends = inside.join(source, "source").join(target, "target")
-        ends = ends.withColumn("source", F.col("source_label")).withColumn("target", F.col("target_label"))
+    ids = numbered(labels, "label", name="n").select(F.concat(F.lit("n"), "n").alias("id"), "label")
+    ends = inside
+    if options.collapse is not None:  # a column over label: each end in turn stands under that name
+        rest = [c for c in EVIDENCE if c not in ("source", "target")]
+        ends = inside.select(F.col("source").alias("label"), "target", *rest).select(options.collapse.alias("source"), F.col("target").alias("label"), *rest).select("source", options.collapse.alias("target"), *rest)
     merged = aggregate_edges(ends if options.self_edges else per_edge(ends))
     counts = inside.select(F.lit(0).alias("node_count"), F.lit(0).alias("edge_count"), F.lit(1).alias("raw_edge_count"), F.col("external").cast("int").alias("external_edge_count"))
     counts = counts.union(labels.select(F.lit(1), F.lit(0), F.lit(0), F.lit(0))).union(merged.select(F.lit(0), F.lit(1), F.lit(0), F.lit(0)))
     summary = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])
-    return numbered, merged, summary
+    return ids, merged, summary
 
 
 def _elementary(edges: list[tuple[str, str]]) -> list[list[str]]:
@@ -177,19 +183,40 @@ def _by_strong_component(edges: DataFrame, limit: int) -> DataFrame:
     return rows
 
 
-def cycles(edges: DataFrame, limit: int = 20_000) -> DataFrame:
-    """(length, path): every elementary cycle once, closed, from its smallest node on.
+def elementary_cycles(edges: DataFrame, limit: int = 20_000) -> DataFrame:
+    """(nodes): every elementary cycle once, as its nodes from the smallest on.
 
     Strong components are found by Spark and searched each in a task of its own; edges between them
     are on no cycle. The number of cycles can grow exponentially with a component, so one of more
-    than limit edges is refused with an error instead of being searched in part.
+    than limit edges is refused with an error instead of being searched in part. Jobs run when this
+    is called.
     """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _elementary(list(zip(pdf["source"], pdf["target"], strict=True)))
-        return pd.DataFrame({"length": [len(c) - 1 for c in found], "path": [" -> ".join(c) for c in found]})
+        return pd.DataFrame({"nodes": [c[:-1] for c in _elementary(list(zip(pdf["source"], pdf["target"], strict=True)))]})
+
+    return _by_strong_component(edges, limit).groupBy("component").applyInPandas(search, "nodes array<string>")
 
-    return _by_strong_component(edges, limit).groupBy("component").applyInPandas(search, "length long, path string")
+
+def cycles(edges: DataFrame, limit: int = 20_000) -> DataFrame:
+    """(length, path): every elementary cycle once, closed, from its smallest node on."""
+    nodes_ = F.col("nodes")
+    return elementary_cycles(edges, limit).select(F.size(nodes_).cast("long").alias("length"), F.concat_ws(" -> ", nodes_, F.array(nodes_[0])).alias("path"))
+
+
+def cycle_edges(found: DataFrame, projected: DataFrame) -> DataFrame:
+    """(cycle, step, source_label, target_label, ...): each cycle's projected edges, in order.
+
+    found has nodes; cycles are numbered from 0 in the order of their nodes. An edge that projected
+    lacks fails the job.
+    """
+    order = numbered(found.select("nodes"), *ORDERS["cycles"], name="cycle")
+    nodes_ = F.col("nodes")
+    steps = order.select("cycle", F.posexplode("nodes").alias("step", "source_label"), "nodes")
+    steps = steps.select("cycle", "step", "source_label", F.coalesce(F.get(nodes_, F.col("step") + 1), nodes_[0]).alias("target_label"))
+    rows = steps.join(projected.withColumn("__there", F.lit(True)), ["source_label", "target_label"], "left")
+    there = F.coalesce("__there", F.raise_error(F.concat(F.lit("no edge "), "source_label", F.lit(" -> "), "target_label")).cast("boolean"))
+    return rows.where(there).drop("__there")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

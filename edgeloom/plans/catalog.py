@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.functions.patterns import FILENAME, FOLDER, all_of, collapse_folder, collapse_pattern, glob, regex
+from edgeloom.functions.patterns import FILENAME, FOLDER, all_of, collapse_folder, collapse_pattern, glob, normalize_path, regex
 from edgeloom.model import CATEGORIES, CLASSES, KINDS, names_of
-from edgeloom.operators import graph, layers, metrics, rules, slices, traversal
-from edgeloom.sources import tables
+from edgeloom.operators import graph, layers, metrics, ordering, rules, slices, traversal, violations
+from edgeloom.sources import projects, tables, workspaces
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,8 +90,15 @@ _REGION = "CASE WHEN {0} LIKE '%/%' THEN split_part({0}, '/', 1) ELSE {0} END"
   CAST(bit_or(kinds) AS INTEGER) AS kinds FROM edges GROUP BY 1, 2""")
 def project_edges(spark, sf_dir):
     region = lambda c: F.split_part(F.col(c), F.lit("/"), F.lit(1))
-    found = graph.project_edges(_edges(spark, sf_dir), region("source"), region("target"))
-    return found.select("source_label", "target_label", F.size("evidence").cast("long").alias("n_evidence"), F.aggregate("evidence", F.lit(0), lambda a, e: a.bitwiseOR(e["kinds"])).alias("kinds"))
+    return graph.project_edges(_edges(spark, sf_dir), region("source"), region("target")).select("source_label", "target_label", "n_evidence", "kinds")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY source, target) - 1 AS BIGINT) AS position, source_label, target_label, source, target, kinds FROM (
+  SELECT split_part(source, '/', 1) AS source_label, split_part(target, '/', 1) AS target_label, source, target, kinds FROM edges WHERE NOT external AND source LIKE 'ASIA/%' AND target LIKE 'ASIA/%')""")
+def edge_evidence(spark, sf_dir):
+    region = lambda c: slices.by_regex(F.col(c), "^(ASIA)/")
+    found = graph.evidence(_edges(spark, sf_dir).where("NOT external"), region("source"), region("target"))
+    return ordering.numbered(found.select("source_label", "target_label", "source", "target", "kinds"), "source", "target")
 
 
 @query("""SELECT label, sum(i)::BIGINT AS n_incoming, sum(o)::BIGINT AS n_outgoing, sum(x)::BIGINT AS n_outgoing_external FROM (
@@ -279,32 +286,15 @@ def focus_depth(spark, sf_dir):
     return traversal.reach(edges.where("NOT external"), seeds, "both", 2)
 
 
-_BOUNDED = """, few AS (SELECT DISTINCT source AS a, target AS b FROM internal WHERE okey < 200 AND source <> target)"""
-
-
-@query("SELECT DISTINCT label FROM walk", _BOUNDED + """, walk AS (
-  SELECT a AS label FROM few WHERE a LIKE '%/NATION_4/%' UNION SELECT b FROM walk JOIN few ON a = label)""")
-def reachable_from(spark, sf_dir):
-    edges = tables.bounded_edges(spark, sf_dir)
-    return traversal.select_nodes(edges, traversal.Options((traversal.Query("reachable", (glob("*/NATION_4/**"),)),)))
-
-
-@query("SELECT DISTINCT label FROM walk", _BOUNDED + """, walk AS (
-  SELECT b AS label FROM few WHERE b LIKE '%/NATION_4/%' UNION SELECT a FROM few WHERE a LIKE '%/NATION_4/%' UNION SELECT a FROM walk JOIN few ON b = label)""")
-def dependents_of(spark, sf_dir):
-    edges = tables.bounded_edges(spark, sf_dir)
-    return traversal.select_nodes(edges, traversal.Options((traversal.Query("dependents", (glob("*/NATION_4/**"),)),)))
-
-
 @query("SELECT label FROM walk", _STEPS + """, walk AS (
   SELECT source AS label FROM edges WHERE source = target AND source LIKE '%/NATION_4/%' UNION SELECT b FROM walk JOIN steps ON a = label)""")
-def reachable_from_whole(spark, sf_dir):
+def reachable_from(spark, sf_dir):
     return traversal.select_nodes(_edges(spark, sf_dir), traversal.Options((traversal.Query("reachable", (glob("*/NATION_4/**"),)),)))
 
 
 @query("SELECT label FROM walk", _STEPS + """, walk AS (
   SELECT source AS label FROM edges WHERE source = target AND source LIKE '%/NATION_4/%' UNION SELECT a FROM walk JOIN steps ON b = label)""")
-def dependents_of_whole(spark, sf_dir):
+def dependents_of(spark, sf_dir):
     return traversal.select_nodes(_edges(spark, sf_dir), traversal.Options((traversal.Query("dependents", (glob("*/NATION_4/**"),)),)))
 
 
@@ -385,19 +375,46 @@ def import_summary(spark, sf_dir):
     return metrics.import_summary(rows, ["zig_file", "zon_file", "named_module", "embedded_file", "root_module"])
 
 
-@query("""SELECT len(p) - 1 AS length, array_to_string(p, ' -> ') AS path FROM (
-  SELECT list_append(p, p[1]) AS p FROM paths JOIN few ON few.a = p[len(p)] AND few.b = p[1] WHERE len(p) > 1)""", _BOUNDED + """,
-paths AS (SELECT [a] AS p FROM (SELECT DISTINCT a FROM few)
-  UNION ALL SELECT list_append(p, b) FROM paths JOIN few ON a = p[len(p)] WHERE b > p[1] AND NOT list_contains(p, b))""")
+def _all_paths(pairs: str) -> str:
+    """Elementary paths from their smallest node on, over pairs(a, b), and the cycles they close."""
+    return f""", pairs AS ({pairs}),
+paths AS (SELECT [a] AS p FROM (SELECT DISTINCT a FROM pairs)
+  UNION ALL SELECT list_append(p, b) FROM paths JOIN pairs ON a = p[len(p)] WHERE b > p[1] AND NOT list_contains(p, b)),
+loops AS (SELECT p FROM paths JOIN pairs ON pairs.a = p[len(p)] AND pairs.b = p[1] WHERE len(p) > 1)"""
+
+
+_LOOPS = "SELECT CAST(len(p) AS BIGINT) AS length, array_to_string(list_append(p, p[1]), ' -> ') AS path FROM loops"
+_REGION_PAIRS = "SELECT DISTINCT split_part(source, '/', 1) AS a, split_part(target, '/', 1) AS b FROM edges WHERE NOT external AND split_part(source, '/', 1) <> split_part(target, '/', 1)"
+
+
+def _regions(spark, sf_dir):
+    """The whole internal graph, projected on regions."""
+    return slices.slice_edges(graph.per_internal_edge(_edges(spark, sf_dir)), lambda c: slices.by_regex(c, "^([^/]+)/"))
+
+
+def _as_edges(projected):
+    return projected.select(F.col("source_label").alias("source"), F.col("target_label").alias("target"))
+
+
+@query(_LOOPS, _all_paths(_REGION_PAIRS))
 def cycles_bounded(spark, sf_dir):
-    return traversal.cycles(tables.bounded_edges(spark, sf_dir))
+    """Cycles between regions: every reference is read, and the projection bounds their number."""
+    return traversal.cycles(_as_edges(_regions(spark, sf_dir)))
 
 
-@query("""SELECT x.a AS label, min(y.a) AS component FROM (SELECT DISTINCT a FROM few) x, (SELECT DISTINCT a FROM few) y
-  WHERE EXISTS (SELECT 1 FROM walk w WHERE w.f = x.a AND w.t = y.a) AND EXISTS (SELECT 1 FROM walk w WHERE w.f = y.a AND w.t = x.a) GROUP BY x.a""", _BOUNDED + """,
-walk AS (SELECT a AS f, b AS t FROM few UNION SELECT f, b FROM walk JOIN few ON a = t)""")
-def scc_membership(spark, sf_dir):
-    return traversal.strong_components(tables.bounded_edges(spark, sf_dir))
+@query("""SELECT cycle, step, source_label, target_label, count FROM (
+  SELECT cycle, unnest(range(0, len(p)))::INTEGER AS step, p[step + 1] AS source_label, p[(step + 1) % len(p) + 1] AS target_label
+  FROM (SELECT row_number() OVER (ORDER BY p) - 1 AS cycle, p FROM loops))
+  JOIN (SELECT split_part(source, '/', 1) AS source_label, split_part(target, '/', 1) AS target_label, count(*) AS count FROM edges WHERE NOT external GROUP BY 1, 2) USING (source_label, target_label)""", _all_paths(_REGION_PAIRS))
+def cycle_edges(spark, sf_dir):
+    projected = _regions(spark, sf_dir)
+    found = traversal.elementary_cycles(_as_edges(projected))
+    return traversal.cycle_edges(found, projected).select("cycle", "step", "source_label", "target_label", "count")
+
+
+@query(_LOOPS, _all_paths("SELECT source AS a, target AS b FROM edges WHERE NOT external AND source <> target AND source LIKE '%/NATION_4/%' AND target LIKE '%/NATION_4/%'"))
+def have_no_cycles(spark, sf_dir):
+    return rules.have_no_cycles(_edges(spark, sf_dir), [[glob("*/NATION_4/**")]])
 
 
 @query("""SELECT x.label, y.label AS component FROM (SELECT p.f, min(p.t) AS t FROM walk p JOIN walk q ON q.f = p.t AND q.t = p.f GROUP BY p.f)
@@ -405,7 +422,7 @@ def scc_membership(spark, sf_dir):
 ids AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM (SELECT a AS label FROM steps UNION SELECT b FROM steps)),
 hops AS (SELECT x.i AS a, y.i AS b FROM steps JOIN ids x ON x.label = a JOIN ids y ON y.label = b),
 walk AS (SELECT a AS f, b AS t FROM hops UNION SELECT f, b FROM walk JOIN hops ON a = t)""")
-def scc_membership_whole(spark, sf_dir):
+def scc_membership(spark, sf_dir):
     return traversal.strong_components(graph.per_internal_edge(_edges(spark, sf_dir)))
 
 
@@ -430,17 +447,18 @@ def all_violations(spark, sf_dir):
     return found.groupBy("rule").agg(F.count("*").alias("violations"))
 
 
-@query("SELECT path, 'short names' AS description FROM files WHERE NOT length(path) < 45 AND path LIKE 'ASIA/%'")
+@query("SELECT path, 'short names' AS description FROM files WHERE NOT length(path) < 42 AND path LIKE 'ASIA/%'")
 def adhere_to(spark, sf_dir):
-    found = rules.adhere_to(tables.files(spark, sf_dir), F.length("path") < 45, "short names", [[ASIA]])
+    found = rules.adhere_to(tables.files(spark, sf_dir), F.length("path") < 42, "short names", [[ASIA]])
     return found.select("path", "description")
 
 
-@query("SELECT source, target, kinds FROM edges WHERE source = (SELECT min(source) FROM edges WHERE external) AND target = 'Brand#1'")
+@query("SELECT source, target, kinds FROM edges WHERE source = 'Nowhere' OR (source, target) = (SELECT (source, target) FROM edges WHERE external ORDER BY source, target LIMIT 1)")
 def find_edge(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    first = edges.where("external").agg(F.min("source")).first()[0]
-    return graph.find(edges, first, "Brand#1").select("source", "target", "kinds")
+    at = edges.where("external").agg(F.min(F.struct("source", "target")).alias("at")).first()["at"]
+    both = graph.find(edges, at["source"], at["target"]).union(graph.find(edges, "Nowhere", at["target"]))
+    return both.select("source", "target", "kinds")
 
 
 @query(", ".join(["SELECT source"] + [f"CASE WHEN bit_or(classes) & {1 << k} <> 0 THEN true ELSE false END AS {n}" for k, n in enumerate(CLASSES)]) + " FROM edges GROUP BY source")
@@ -453,3 +471,129 @@ def class_flags(spark, sf_dir):
 def count_selected(spark, sf_dir):
     chosen = rules.subjects(_edges(spark, sf_dir), [[glob("**/BUILDING/*1")]])
     return chosen.where(all_of([], F.col("path"))).agg(F.count("*").alias("n"))
+
+
+# Scans: each customer's file as source text
+
+
+@query("""SELECT source || '.zig' AS source, CASE WHEN kind = 64 AND okey % 2 = 1 THEN 'shared' ELSE '../../../' || target || '.zig' END AS target,
+  CASE WHEN kind = 64 AND okey % 2 = 1 THEN 'named_module' WHEN kind = 64 THEN 'embedded_file' ELSE 'zig_file' END AS kind, kind = 4 AS in_test, count(*) AS n
+  FROM internal WHERE kind IN (1, 4, 64) GROUP BY ALL""")
+def scan_references(spark, sf_dir):
+    rows = tables.source_files(spark, sf_dir)
+    found = projects.drop_ignored(projects.references(rows), projects.directives(rows))
+    return found.groupBy("source", "target", "kind", "in_test").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source || '.zig' AS path, count(*) AS n, count(*) FILTER (okey % 2 = 0) AS n_trailing FROM internal WHERE kind = 2 GROUP BY source")
+def ignore_comments(spark, sf_dir):
+    return projects.directives(tables.source_files(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("n"), F.count_if("trailing").alias("n_trailing"))
+
+
+@query("""SELECT source || '.zig' AS source, target || '.zig' AS target, false AS external, CAST(bit_or(kind) AS INTEGER) AS kinds, 1 AS classes, 1 AS availabilities, count(okey) AS n_locations FROM (
+  SELECT source, target, kind, okey FROM internal WHERE kind = 1 UNION ALL SELECT path, path, 0, NULL FROM files)
+  GROUP BY source, target
+  UNION ALL SELECT source || '.zig', 'shared', true, 4, 2, 2, count(*) FROM internal WHERE kind = 64 AND okey % 2 = 1 GROUP BY source""")
+def scan_graph(spark, sf_dir):
+    found = projects.graph_of(tables.source_files(spark, sf_dir), include_resources=False, include_tests=False)
+    return found.select("source", "target", "external", "kinds", "classes", "availabilities", F.size("locations").cast("long").alias("n_locations"))
+
+
+_IN = "CASE WHEN {0} LIKE 'ASIA/%' THEN 'asia::' || substr({0}, 6) ELSE 'main::' || {0} END || '.zig'"
+
+
+@query(f"""SELECT source, target, bool_or(external) AS external, CAST(bit_or(kind) AS INTEGER) AS kinds, CAST(bit_or(class) AS INTEGER) AS classes, CAST(bit_or(availability) AS INTEGER) AS availabilities FROM (
+  SELECT {_IN.format('source')} AS source, CASE WHEN named AND sa THEN 'shared' WHEN named THEN (SELECT min({_IN.format('path')}) FROM files WHERE path LIKE 'ASIA/%')
+      WHEN sa THEN '../../../' || target || '.zig' WHEN ta THEN 'main::' || target || '.zig' ELSE {_IN.format('target')} END AS target,
+    CASE WHEN named THEN sa ELSE sa OR ta END AS external, CASE WHEN named THEN 4 WHEN kind = 64 THEN 64 ELSE 1 END AS kind,
+    CASE WHEN named AND NOT sa THEN 1 WHEN named THEN 2 WHEN kind = 64 THEN 8 WHEN sa OR ta THEN 2 ELSE 1 END AS class, CASE WHEN named THEN 1 WHEN sa THEN 8 WHEN ta THEN 4 ELSE 1 END AS availability
+  FROM (SELECT *, source LIKE 'ASIA/%' AS sa, target LIKE 'ASIA/%' AS ta, kind = 64 AND okey % 2 = 1 AS named FROM internal WHERE kind IN (1, 4, 64))
+  UNION ALL SELECT {_IN.format('path')}, {_IN.format('path')}, false, 0, 1, 1 FROM files) GROUP BY source, target""")
+def workspace_edges(spark, sf_dir):
+    first = tables.files(spark, sf_dir).where(F.startswith("path", F.lit("ASIA/"))).agg(F.min(F.concat("path", F.lit(".zig")))).first()[0]
+    packages = (workspaces.Package("main", "."), workspaces.Package("asia", "ASIA"))
+    units = (
+        workspaces.Unit("app", (workspaces.Module("shared", first.removeprefix("ASIA/"), "asia"),), "main"),
+        workspaces.Unit("lib", (workspaces.Module("shared", "elsewhere", origin="package"),), "asia"),
+    )
+    return workspaces.graph_of(tables.source_files(spark, sf_dir), packages, units).drop("locations")
+
+
+IGNORED = "# not ours\n\n/ASIA/NATION_8*\n  *7\nFURNITURE\nEUROPE/**/BUILDING/\n"
+
+
+@query("""SELECT path FROM files WHERE NOT (path LIKE 'ASIA/NATION_8%' OR regexp_matches(path, '(^|/)[^/]*7(/|$)') OR path LIKE '%/FURNITURE/%' OR regexp_matches(path, '^EUROPE/(.*/)?BUILDING/'))""")
+def ignore_file(spark, sf_dir):
+    return projects.exclude(tables.files(spark, sf_dir).select("path"), projects.parse_ignore_file(IGNORED))
+
+
+@query("SELECT path FROM files WHERE split_part(path, '/', 2) NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 5 = 0)")
+def nested_projects(spark, sf_dir):
+    known = tables.files(spark, sf_dir).select("path")
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    nations = read("nation").where("n_nationkey % 5 = 0").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return projects.within_boundary(known, known.union(nations.select(F.concat_ws("/", "r_name", "n_name", F.lit("build.zig")))))
+
+
+@query("""SELECT source, target, CASE WHEN NOT external THEN 1 WHEN k = 0 THEN 2 ELSE k END AS classes, CASE WHEN NOT external OR kinds & 24 <> 0 THEN 1 ELSE 2 END AS availabilities FROM (
+  SELECT *, CASE WHEN kinds & 56 <> 0 THEN 4 ELSE 0 END + CASE WHEN kinds & 64 <> 0 THEN 8 ELSE 0 END + CASE WHEN kinds & 128 <> 0 THEN 16 ELSE 0 END + CASE WHEN kinds & 7 <> 0 THEN 2 ELSE 0 END AS k FROM edges)""")
+def default_metadata(spark, sf_dir):
+    classes, availabilities = projects.default_metadata(F.col("external"), F.col("kinds"))
+    return _edges(spark, sf_dir).select("source", "target", classes.alias("classes"), availabilities.alias("availabilities"))
+
+
+# Projections, metrics and reports beside those above
+
+_NATION = "CASE WHEN {0} LIKE '%/%' THEN split_part({0}, '/', 2) END"
+
+
+@query(f"""SELECT label, n AS source_file_count, afferent, efferent, CASE WHEN afferent + efferent = 0 THEN 0.0 ELSE efferent::DOUBLE / (afferent + efferent) END AS instability,
+  (afferent + efferent)::DOUBLE / (2.0 * ((SELECT count(DISTINCT {_NATION.format('path')}) FROM files) - 1))::DOUBLE AS coupling_factor FROM (
+  SELECT l AS label, count(*) AS n, (SELECT count(*) FROM np WHERE b = l) AS afferent, (SELECT count(*) FROM np WHERE a = l) AS efferent FROM (SELECT {_NATION.format('path')} AS l FROM files) GROUP BY l)""", f""",
+np AS (SELECT DISTINCT {_NATION.format('source')} AS a, {_NATION.format('target')} AS b FROM edges WHERE NOT external AND {_NATION.format('source')} <> {_NATION.format('target')})""")
+def projected_coupling(spark, sf_dir):
+    return metrics.projected_coupling(_edges(spark, sf_dir), lambda c: slices.by_regex(c, "^[^/]+/([^/]+)/"))
+
+
+@query("SELECT source AS source_label, target AS target_label, count(*) AS count, bool_and(external) AS external FROM edges WHERE source LIKE 'ASIA/%' AND NOT source LIKE '%/FURNITURE/%' AND (external OR (source <> target AND target LIKE 'ASIA/%' AND NOT target LIKE '%/FURNITURE/%')) GROUP BY source, target")
+def slice_identity_except(spark, sf_dir):
+    furniture = glob("**/FURNITURE/**")
+    chosen = lambda c: F.when(ASIA.matches(c), normalize_path(c))
+    return slices.slice_edges(_edges(spark, sf_dir), chosen, ~furniture.matches(F.col("source")) & (F.col("external") | ~furniture.matches(F.col("target"))))
+
+
+_COUNTS = "SELECT sum(CAST(bytes AS DOUBLE)) AS bytes, sum(lines)::DOUBLE AS source_lines FROM (SELECT strlen(coalesce(text, '')) AS bytes, len(string_split(coalesce(text, ''), chr(10))) - CASE WHEN coalesce(text, '') = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS lines FROM documents)"
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY section_kind, title, label) - 1 AS BIGINT) AS position, * FROM (
+  SELECT 'count' AS section_kind, 'Counts' AS title, label, value FROM ({_COUNTS}) UNPIVOT (value FOR label IN (bytes, source_lines))
+  UNION ALL SELECT 'dependency', 'Coupling', label, value FROM (
+  SELECT count(*)::DOUBLE AS subjects, sum(afferent)::DOUBLE AS total_afferent, sum(efferent)::DOUBLE AS total_efferent,
+    round(sum(instability) / count(*), 9) AS mean_instability, round(sum(coupling_factor) / count(*), 9) AS mean_coupling_factor FROM coupled)
+  UNPIVOT (value FOR label IN (subjects, total_afferent, total_efferent, mean_instability, mean_coupling_factor)))""", _COUPLING)
+def comprehensive_report(spark, sf_dir):
+    counts = line_counts(spark, sf_dir).agg(F.sum("bytes").alias("bytes"), F.sum("source_lines").alias("source_lines"))
+    return ordering.numbered(metrics.comprehensive(counts, coupling_summary(spark, sf_dir)), *ordering.ORDERS["sections"])
+
+
+_SENTENCE = 'project files, in path "{}" should have name "Customer#*6"'
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY sort_key, heading, details) - 1 AS BIGINT) AS position, * FROM (
+  SELECT 'matching' AS kind, path AS sort_key, 'File pattern violation' AS heading, 'Rule: {_SENTENCE.format("ASIA/**")}' || chr(10) || 'File: ' || path AS details
+  FROM files WHERE path LIKE 'ASIA/%' AND NOT regexp_matches(path, '6$')
+  UNION ALL SELECT 'empty_test', 'names', 'Empty test violation', 'Rule: {_SENTENCE.format("ATLANTIS/**")}' || chr(10) || 'Rule id: names' || chr(10) || 'Reason: no files matched the rule scope')""")
+def violation_text(spark, sf_dir):
+    """Two checks as text, in order: one with violations, one that the empty guard finds to select nothing."""
+    edges, out = _edges(spark, sf_dir), []
+    for selectors in ([[ASIA]], [[glob("ATLANTIS/**")]]):
+        rule = violations.sentence(selectors, predicate='have name "Customer#*6"')
+        found = violations.as_text(rules.have_field(edges, SIX, selectors), "matching", rule, "path", {"File": "path"})
+        out.append(violations.checked(found, rules.subjects(edges, selectors), "names", rule))
+    return ordering.numbered(out[0].unionByName(out[1]), *ordering.ORDERS["violations"])
+
+
+@query("""SELECT CAST(dense_rank() OVER (ORDER BY component) - 1 AS BIGINT) AS position, component, count(*) AS n FROM (SELECT 0 AS x, min(a) AS component FROM pairs) JOIN (SELECT DISTINCT a FROM pairs) ON x = 0 GROUP BY component""", f", pairs AS ({_REGION_PAIRS})")
+def component_order(spark, sf_dir):
+    found = traversal.strong_components(_as_edges(_regions(spark, sf_dir))).groupBy("component").agg(F.count("*").alias("n"))
+    return ordering.numbered(found, "component")

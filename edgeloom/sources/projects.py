@@ -1,37 +1,149 @@
-"""Scan of source trees: files, references by line, resolution by join, classification."""
+"""Scan of source trees: listing, references per file, resolution by join, classification, graph.
+
+One small tokenizer runs over the bytes of each file (mapInArrow); listing, exclusions, boundaries,
+ignore comments, resolution and normalization are DataFrame operations on its rows.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from edgeloom.functions.patterns import Filter, any_of, extension, folder, stem
+from edgeloom.errors import InvalidPattern
+from edgeloom.functions.patterns import extension, folder, glob_regex, stem
 from edgeloom.model import AVAILABILITIES, CLASSES, KINDS, bit_of
+from edgeloom.operators.graph import normalize
 
-# Directories that no scan enters.
+# Directories that no scan enters, files that start a project of their own, the root's ignore file.
 EXCLUDED = (
     ".git", ".hg", ".svn", ".zig-cache", "zig-cache", "zig-out", "zig-pkg", ".cache",
     "vendor", "deps", "node_modules", "coverage", "dist", "generated", "doc", "docs",
 )
-_CALL = r'@(import|embedFile|cInclude)\s*\(\s*"((?:[^"\\]|\\.)*)"\s*\)'
-_COMMENT = r'("(?:[^"\\\n]|\\.)*"|\\\\[^\n]*)|//[^\n]*'
+MARKERS = ("build.zig.zon", "build.zig")
+IGNORE_FILE = ".archignore"
+#: The word before the colon of an ignore comment.
+MARKER = "edgeloom"
+
+_TOKEN = re.compile(
+    rb"""//[^\n]* | \\\\[^\n]* | @?"(?:[^"\\\n]|\\[^\n])*" | '(?:[^'\\\n]|\\[^\n])*' | @?[A-Za-z_][A-Za-z0-9_]* | [{}()\[\];] | "|'""",
+    re.VERBOSE,
+)
+_CALLS = {b"@import": "import", b"@embedFile": "embedFile", b"@cInclude": "cInclude"}
+_CLOSING = {b"}": b"{", b")": b"(", b"]": b"["}
+_ESCAPE = re.compile(rb"\\(x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]+\}|.)", re.DOTALL)
+_SIMPLE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"\\": b"\\", b'"': b'"', b"'": b"'"}
+
+
+# Listing
+
+
+def exclusion(pattern: str) -> Column:
+    """A column over path: whether the file or a directory above it is excluded.
+
+    A pattern with a leading slash or any separator is matched with paths from the root, with or
+    without a slash after a directory; one without is matched with each name.
+    """
+    bare = pattern.removeprefix("/")
+    if not bare:
+        raise InvalidPattern(f"empty exclusion {pattern!r}")
+    inner = glob_regex(bare).removeprefix("(?sd)^").removesuffix(r"\z")
+    if pattern.startswith("/") or "/" in bare or "\\" in bare:
+        return F.rlike(F.col("path"), F.lit(rf"(?sd)^(?:{inner})(?:\z|/.*\z|(?<=/).*\z)"))
+    return F.exists(F.split(F.col("path"), "/"), lambda name: F.rlike(name, F.lit(rf"(?sd)^(?:{inner})\z")))
+
+
+def parse_ignore_file(text: str) -> tuple[str, ...]:
+    """The patterns of an ignore file: trimmed lines without blank and # ones; negation and . or .. segments are errors."""
+    out = []
+    for number, line in enumerate(text.split("\n"), 1):
+        line = line.strip(" \t\r")
+        if not line or line.startswith("#"):
+            continue
+        bare = re.sub(r"[/\\]+", "/", line.removeprefix("/"))
+        if line.startswith("!") or "\0" in line or not bare or bare.startswith("/") or {".", ".."} & set(bare.split("/")):
+            raise InvalidPattern(f"line {number} of an ignore file: {line!r}")
+        glob_regex(bare)
+        out.append(line)
+    return tuple(out)
+
+
+def read_ignore_file(spark: SparkSession, root: str) -> tuple[str, ...]:
+    """The patterns of the ignore file in root; none without one.
+
+    Spark's readers pass over names that start with a dot, so this one file is opened through the
+    file system that they use.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{IGNORE_FILE}")
+    system = at.getFileSystem(conf)
+    if not system.exists(at):
+        return ()
+    stream = system.open(at)
+    try:
+        return parse_ignore_file(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def exclude(rows: DataFrame, patterns=()) -> DataFrame:
+    """rows(path, ...) without the files that any pattern excludes."""
+    for p in patterns:
+        rows = rows.where(~exclusion(p))
+    return rows
+
+
+def default_exclusions(rows: DataFrame) -> DataFrame:
+    """rows(path, ...) without files below a directory of a name that no scan enters."""
+    folders = F.split(F.col("path"), "/")
+    return rows.where(~F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*[F.lit(x) for x in EXCLUDED])))
 
 
-def files(spark: SparkSession, root: str, exclusions: tuple[Filter, ...] = (), default_exclusions: bool = True) -> DataFrame:
-    """(path, content) of the .zig and .zon files under root, paths relative to it.
+def within_boundary(rows: DataFrame, everything: DataFrame | None = None) -> DataFrame:
+    """rows(path, ...) without files at or below a subdirectory that has a marker file of its own.
 
-    Spark lists no files of 0 bytes; these have no references and appear as targets only.
+    everything(path) is the listing that markers are looked for in. Each file meets the marker
+    directories on its ancestors, so this is an equi-join however many there are.
     """
+    every = rows if everything is None else everything
+    name = F.element_at(F.split("path", "/"), -1)
+    marked = every.where(name.isin(*MARKERS) & (F.instr("path", "/") > 0)).select(folder(F.col("path")).alias("above")).distinct()
+    parts = F.split(F.col("path"), "/")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    inner = rows.select("path", F.explode(above).alias("above")).join(marked, "above", "left_semi").select("path").distinct()
+    return rows.join(inner, "path", "left_anti")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files under root, of whatever kind, relative to it: what a reference may resolve to."""
+    base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
+    return spark.createDataFrame([(re.sub("^[a-z0-9]+:/+", "/", unquote(p))[len(base) + 1 :],) for p in found], "path string")
+
+
+def files(spark: SparkSession, root: str, exclusions: tuple[str, ...] = (), default: bool = True, boundary: bool = True, ignore_file: bool = True) -> DataFrame:
+    """(path, content) of the .zig and .zon files under root, paths relative to it, empty files included.
+
+    Left out are files below a default-excluded directory, those of nested projects, and what the
+    root's ignore file or the given patterns exclude. Links are followed as Spark's listing does.
+    """
+    base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
+    relative = lambda c: F.substring(F.regexp_replace(c, "^[a-z0-9]+:/+", "/"), F.lit(len(base) + 2), F.length(c))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/+", "/")
-    path = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    rows = found.select(F.substring(path, F.length(base) + 2, F.length(path)).alias("path"), "content")
-    rows = rows.where(F.endswith("path", F.lit(".zig")) | F.endswith("path", F.lit(".zon")))
-    if default_exclusions:
-        folders = F.split(F.col("path"), "/")
-        rows = rows.where(~F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*[F.lit(x) for x in EXCLUDED])))
-    return rows.where(~any_of(exclusions, F.col("path"))) if exclusions else rows
+    rows = found.select(relative(F.col("path")).alias("path"), "content")
+    listed = listing(spark, root)  # Spark reads no files of 0 bytes, but lists them
+    rows = rows.unionByName(listed.join(rows.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content")))
+    keep = default_exclusions(listed) if default else listed
+    keep = exclude(keep, (*exclusions, *(read_ignore_file(spark, root) if ignore_file else ())))
+    if boundary:
+        keep = within_boundary(keep, listed)
+    keep = keep.where(F.endswith("path", F.lit(".zig")) | F.endswith("path", F.lit(".zon")))
+    return rows.join(keep, "path", "left_semi")
 
 
 def file_info(rows: DataFrame) -> DataFrame:
@@ -40,6 +152,102 @@ def file_info(rows: DataFrame) -> DataFrame:
     return rows.select("path", stem(path).alias("stem"), extension(path).alias("extension"), F.when(F.instr(path, "/") > 0, folder(path)).otherwise("").alias("directory"), F.octet_length("content").cast("long").alias("n_bytes"))
 
 
+# References
+
+
+def _text(literal: bytes) -> str:
+    def one(m):
+        code = m[1]
+        if code[:1] == b"x" and len(code) == 3:
+            return bytes([int(code[1:], 16)])
+        if code[:2] == b"u{":
+            return chr(int(code[2:-1], 16)).encode()
+        return _SIMPLE.get(code, code)
+
+    return _ESCAPE.sub(one, literal).decode("utf-8", "replace")
+
+
+@dataclass
+class _Found:
+    calls: list[tuple]
+    comments: list[tuple]
+    problem: str | None
+
+
+def _tokenize(content: bytes) -> _Found:
+    """(call, target, first byte, last byte, in a test) of each call, (comment, byte, trailing) of each comment."""
+    tokens, comments, open_, problem = [], [], [], None
+    last_line_with_code, starts = -1, [0, *(m.end() for m in re.finditer(rb"\n", content))]
+    row = 0
+    for m in _TOKEN.finditer(content):
+        text, at = m[0], m.start()
+        while row + 1 < len(starts) and starts[row + 1] <= at:
+            row += 1
+        if text.startswith(b"//"):
+            if not text.startswith((b"///", b"//!")):
+                comments.append((text[2:].decode("utf-8", "replace"), at, bool(content[starts[row] : at].strip())))
+            continue
+        last_line_with_code = row
+        tokens.append((text, at, m.end()))
+        if text in (b"{", b"(", b"["):
+            open_.append(text)
+        elif text in _CLOSING and (not open_ or open_.pop() != _CLOSING[text]):
+            problem = problem or f"unexpected {text.decode()} in line {row + 1}"
+        elif text in (b'"', b"'"):
+            problem = problem or f"unended literal in line {row + 1}"
+    if open_:
+        problem = problem or f"{open_[-1].decode()} is not closed after line {last_line_with_code + 1}"
+    calls, depth, tests, includes, pending = [], 0, [], [], False
+    for k, (text, at, _) in enumerate(tokens):
+        if text in (b"{", b"("):
+            depth += 1
+            if text == b"{" and pending:
+                tests.append(depth)
+                pending = False
+        elif text in (b"}", b")"):
+            if tests and tests[-1] == depth:
+                tests.pop()
+            if includes and includes[-1] == depth:
+                includes.pop()
+            depth -= 1
+        elif text == b"test" and not tests:
+            pending = True
+        elif text == b";":
+            pending = False
+        elif text == b"@cImport" and tokens[k + 1 : k + 2] and tokens[k + 1][0] == b"(":
+            includes.append(depth + 1)
+        elif text in _CALLS:
+            after = tokens[k + 1 : k + 4]
+            whole = len(after) == 3 and after[0][0] == b"(" and after[1][0][:1] == b'"' and len(after[1][0]) > 1 and after[2][0] == b")"
+            if whole and (text != b"@cInclude" or includes):
+                calls.append((_CALLS[text], _text(after[1][0][1:-1]), at, after[2][2], bool(tests)))
+    return _Found(calls, comments, problem)
+
+
+def _lines(content: bytes) -> list[int]:
+    return [0, *(m.end() for m in re.finditer(rb"\n", content))]
+
+
+def _map_files(rows: DataFrame, make, schema: str, strict: bool) -> DataFrame:
+    """make(path, content, found) of each code file, as rows; a file with a problem gives none, or fails the job."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _tokenize(content or b"")
+                if found.problem and strict:
+                    raise ValueError(f"{path}: {found.problem}")
+                if not found.problem:
+                    out += make(path, content or b"", found)
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            kinds = [pa.bool_() if c.split()[1] == "boolean" else pa.int64() if c.split()[1] == "long" else pa.list_(pa.string()) if "array" in c else pa.string() for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return rows.where(F.endswith("path", F.lit(".zig"))).select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
+
+
 def kind_of(call: Column, target: Column) -> Column:
     return (
         F.when(call == "embedFile", "embedded_file").when(call == "cInclude", "c_header").when(target == "std", "standard_library").when(target == "builtin", "builtin_module")
@@ -47,25 +255,70 @@ def kind_of(call: Column, target: Column) -> Column:
     )
 
 
-def references(rows: DataFrame) -> DataFrame:
-    """(source, target, kind, location): one row per reference that stands on one line outside of comments.
+def references(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """(source, target, kind, location, last_line, in_test): one row for each call with a literal target.
 
-    Found line by line with regular expressions; conditional compilation and syntax errors are not
-    looked at. Offsets are summed over a file's lines, so no task needs more than one file's lines.
+    Comments and strings, of several lines too, are passed over; equal calls have locations of their
+    own; offsets and columns count bytes. A C header counts inside of an import of C only. A file
+    whose brackets or literals do not end gives no references, or fails the job if strict. Null and
+    empty contents have none; a file is read whole by one task.
     """
-    text = F.col("content").cast("string")
-    lines = rows.where(F.endswith("path", F.lit(".zig"))).select("path", F.posexplode(F.split(text, "\n")).alias("row", "line"))
-    before = F.coalesce(F.sum(F.octet_length("line") + 1).over(W.partitionBy("path").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.select("path", "row", before.alias("offset"), F.regexp_replace("line", _COMMENT, "$1").alias("line")).where(F.rlike("line", F.lit(_CALL)))
-    calls = F.explode(F.arrays_zip(F.regexp_extract_all("line", F.lit(_CALL), F.lit(0)).alias("whole"), F.regexp_extract_all("line", F.lit(_CALL), F.lit(1)).alias("call"), F.regexp_extract_all("line", F.lit(_CALL), F.lit(2)).alias("target")))
-    found = lines.select("path", "row", "offset", "line", calls.alias("c"))
-    column = F.instr(F.col("line"), F.col("c")["whole"])
-    return found.select(
-        F.col("path").alias("source"),
-        F.col("c")["target"].alias("target"),
-        kind_of(F.col("c")["call"], F.col("c")["target"]).alias("kind"),
-        F.struct((F.col("offset") + column - 1).cast("long").alias("byte_offset"), (F.col("row") + 1).cast("long").alias("line"), column.cast("long").alias("column")).alias("location"),
-    )
+    import bisect
+
+    def make(path, content, found):
+        starts = _lines(content)
+        out = []
+        for call, target, at, end, tested in found.calls:
+            row = bisect.bisect_right(starts, at)
+            out.append((path, call, target, at, row, at - starts[row - 1] + 1, bisect.bisect_right(starts, end - 1), tested))
+        return out
+
+    found = _map_files(rows, make, "source string, call string, target string, byte_offset long, line long, column long, last_line long, in_test boolean", strict)
+    return found.select("source", "target", kind_of(F.col("call"), F.col("target")).alias("kind"), F.struct("byte_offset", "line", "column").alias("location"), "last_line", "in_test")
+
+
+def directives(rows: DataFrame, marker: str = MARKER, strict: bool = False) -> DataFrame:
+    """(path, line, trailing, targets) of each ignore comment, "// marker: ignore [targets]"; a malformed one fails the job.
+
+    targets, separated by commas or white space, is empty for all. trailing tells whether code
+    stands before it on its line.
+    """
+    import bisect
+
+    start = re.compile(rf"\s*{re.escape(marker)}(?![\w-])")
+    shape = re.compile(rf"\s*{re.escape(marker)}:\s*ignore(?:\s+(?P<targets>[^\s,]+(?:(?:\s*,\s*|\s+)[^\s,]+)*))?\s*")
+
+    def make(path, content, found):
+        starts, out = _lines(content), []
+        for text, at, trailing in found.comments:
+            if not start.match(text):
+                continue
+            line = bisect.bisect_right(starts, at)
+            m = shape.fullmatch(text)
+            if not m:
+                raise ValueError(f"{path}:{line}: malformed ignore comment: //{text}")
+            out.append((path, line, trailing, re.split(r"[\s,]+", m["targets"]) if m["targets"] else []))
+        return out
+
+    return _map_files(rows, make, "path string, line long, trailing boolean, targets array<string>", strict)
+
+
+def drop_ignored(refs: DataFrame, ignored: DataFrame) -> DataFrame:
+    """References without those that a directive takes out: a trailing one on its lines, one of its own on the next."""
+    d = ignored.select(F.col("path").alias("d_path"), F.col("line").alias("d_line"), "trailing", "targets")
+    first = F.col("location.line")
+    on_line = F.when(F.col("trailing"), F.col("d_line").between(first, F.col("last_line"))).otherwise(first == F.col("d_line") + 1)
+    return refs.join(d, (F.col("source") == F.col("d_path")) & on_line & ((F.size("targets") == 0) | F.array_contains("targets", F.col("target"))), "left_anti")
+
+
+def option_filters(refs: DataFrame, include_resources: bool = True, include_c: bool = True, include_tests: bool = True) -> DataFrame:
+    """References without resources, C headers or those inside tests, as the options say."""
+    for wanted, of in ((include_resources, F.col("kind") == "embedded_file"), (include_c, F.col("kind") == "c_header"), (include_tests, F.col("in_test"))):
+        refs = refs if wanted else refs.where(~of)
+    return refs
+
+
+# Resolution and classification
 
 
 def fold_path(path: Column) -> Column:
@@ -77,42 +330,95 @@ def fold_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def resolve(refs: DataFrame, listing: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """References as normalize takes them: resolved against listing(path) and aliases(alias, path).
+def module_status(kind: Column, declared: Column, origin: Column, mapped: Column, listed: Column) -> Column:
+    """The status of a module reference: an alias of its unit first, then what the compiler provides."""
+    return (
+        F.when(declared & (origin == "package"), "resolved_package").when(declared & mapped.isNull(), "outside_project").when(declared & listed, "resolved_project")
+        .when(declared, "missing").when(kind.isin("standard_library", "builtin_module"), "compiler_provided").otherwise("unresolved")
+    )
+
+
+def classify_module(kind: Column, status: Column) -> tuple[Column, Column, Column]:
+    """(class, availability, external) of a module reference by its status."""
+    compiler = (status == "compiler_provided") | ((status == "unresolved") & kind.isin("root_module", "standard_library", "builtin_module"))
+    kind_class = F.when(status == "resolved_project", "internal").when(compiler, "compiler").otherwise("external")
+    return kind_class, F.when(status.isin("unresolved", "missing", "outside_project"), status).otherwise("resolved"), status != "resolved_project"
 
-    Relative targets are folded and joined with the listing: found ones are resolved, absent ones
+
+def default_metadata(external: Column, kinds: Column) -> tuple[Column, Column]:
+    """(classes, availabilities) masks of an edge made by hand, from its kinds."""
+    has = lambda *names: kinds.bitwiseAND(sum(1 << KINDS.index(n) for n in names)) != 0
+    one = lambda name, when: F.when(when, 1 << CLASSES.index(name)).otherwise(0)
+    outside = (
+        one("compiler", has("standard_library", "builtin_module", "root_module"))
+        .bitwiseOR(one("resource", has("embedded_file"))).bitwiseOR(one("c_header", has("c_header"))).bitwiseOR(one("external", has("named_module", "zig_file", "zon_file")))
+    )
+    outside = F.when(outside == 0, 1 << CLASSES.index("external")).otherwise(outside)
+    known = ~external | has("standard_library", "builtin_module")
+    return F.when(external, outside).otherwise(1), F.when(known, 1).otherwise(1 << AVAILABILITIES.index("unresolved"))
+
+
+def resolve(refs: DataFrame, listed: DataFrame, aliases: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+    """References as normalize takes them: resolved against listed(path) and aliases(alias, path[, unit]).
+
+    Relative targets are folded and joined with listed: found ones are resolved, absent ones
     missing, absolute and escaping ones outside of the project. A named module's alias gives its file
-    (internal) or, with a null path, a package (external); others are unresolved.
+    or, with a null path, a package (external). units(unit, root) are compilation units: a source
+    that is a unit's root has that unit's aliases; otherwise a single unit serves all sources, and of
+    several none. Without units the aliases hold for all sources.
     """
     relative = F.col("kind").isin("zig_file", "zon_file", "embedded_file")
     joined = F.when(F.startswith("target", F.lit("/")), F.lit(None)).otherwise(fold_path(F.when(F.instr("source", "/") > 0, F.concat(folder(F.col("source")), F.lit("/"), "target")).otherwise(F.col("target"))))
     rows = refs.withColumn("at", F.when(relative, joined))
-    rows = rows.join(listing.select(F.col("path").alias("at"), F.lit(True).alias("listed")).distinct(), "at", "left")
     if aliases is not None:
-        rows = rows.join(aliases.select(F.col("alias").alias("target"), F.col("path").alias("module"), F.lit(True).alias("declared")), "target", "left")
+        known = aliases.select(F.col("alias").alias("target"), F.col("path").alias("module"), F.lit(True).alias("declared"), *(["unit"] if units is not None else []))
+        if units is not None:
+            only = units.agg(F.when(F.count("*") == 1, F.min("unit")).alias("only"))
+            rows = rows.join(units.select(F.col("root").alias("source"), F.col("unit").alias("own")), "source", "left").join(F.broadcast(only))
+            rows = rows.withColumn("unit", F.coalesce("own", "only")).join(known, ["target", "unit"], "left").drop("own", "only", "unit")
+        else:
+            rows = rows.join(known, "target", "left")
     else:
         rows = rows.withColumns({"module": F.lit(None).cast("string"), "declared": F.lit(None).cast("boolean")})
-    named, kind = F.col("kind") == "named_module", F.col("kind")
-    status = (
-        F.when(relative & F.col("at").isNull(), "outside_project").when(relative & F.col("listed"), "resolved").when(relative, "missing")
-        .when(kind.isin("standard_library", "builtin_module") | (named & F.col("declared")), "resolved").otherwise("unresolved")
-    )
-    internal = (relative & F.col("listed").isNotNull()) | (named & F.col("module").isNotNull())
-    kind_class = (
-        F.when(kind == "embedded_file", "resource").when(kind == "c_header", "c_header").when(kind.isin("standard_library", "builtin_module", "root_module"), "compiler")
-        .when(internal, "internal").otherwise("external")
-    )
-    return rows.select(
+    declared = F.coalesce("declared", F.lit(False)) & ~relative & (F.col("kind") != "c_header")
+    rows = rows.withColumn("wanted", F.when(relative, F.col("at")).otherwise(F.when(declared, fold_path(F.col("module")))))
+    rows = rows.join(listed.select(F.col("path").alias("wanted"), F.lit(True).alias("listed")).distinct(), "wanted", "left")
+    return _classified(rows, relative, declared, F.when(F.col("module").isNull(), "package").otherwise("project"))
+
+
+def _classified(rows: DataFrame, relative: Column, declared: Column, origin: Column) -> DataFrame:
+    """rows(source, target, kind, location, at, wanted, listed) with the masks of their edges."""
+    kind, listed = F.col("kind"), F.coalesce("listed", F.lit(False))
+    status = F.when(relative & F.col("at").isNull(), "outside_project").when(relative & listed, "resolved_project").when(relative, "missing").otherwise(module_status(kind, declared, origin, F.col("wanted"), listed))
+    module_class, availability, external = classify_module(kind, F.col("status"))
+    of_kind = F.when(kind == "embedded_file", "resource").when(kind == "c_header", "c_header").otherwise(module_class)
+    outside = external | (kind == "c_header")
+    return rows.withColumn("status", status).select(
         "source",
-        F.coalesce(F.when(F.col("at") != "", F.col("at")), F.col("module"), F.col("target")).alias("target"),
-        (~internal).alias("external"),
+        F.when(F.col("status").isin("resolved_project") | (relative & (F.col("wanted") != "")), F.col("wanted")).otherwise(F.col("target")).alias("target"),
+        outside.alias("external"),
         bit_of(KINDS, kind).alias("kind"),
-        bit_of(CLASSES, kind_class).alias("class"),
-        bit_of(AVAILABILITIES, status).alias("availability"),
+        bit_of(CLASSES, of_kind).alias("class"),
+        bit_of(AVAILABILITIES, availability).alias("availability"),
         "location",
     )
 
 
-def self_edge_files(listing: DataFrame) -> DataFrame:
+def self_edge_files(rows: DataFrame) -> DataFrame:
     """Only code gets a self-edge."""
-    return listing.where(F.endswith("path", F.lit(".zig"))).select("path")
+    return rows.where(F.endswith("path", F.lit(".zig"))).select("path")
+
+
+def graph_of(rows: DataFrame, aliases: DataFrame | None = None, units: DataFrame | None = None, *, listed: DataFrame | None = None, marker: str = MARKER, include_resources: bool = True, include_c: bool = True, include_tests: bool = True, strict: bool = False) -> DataFrame:
+    """The normalized edges of files(path, content): scan, ignore comments, options, resolution, self-edges.
+
+    listed(path) is what references may resolve to, the files themselves if it is not given.
+    """
+    refs = drop_ignored(references(rows, strict), directives(rows, marker, strict))
+    refs = option_filters(refs, include_resources, include_c, include_tests)
+    return normalize(resolve(refs, rows.select("path") if listed is None else listed, aliases, units), self_edge_files(rows))
+
+
+def project_graph(spark: SparkSession, root: str, aliases: DataFrame | None = None, units: DataFrame | None = None, *, exclusions: tuple[str, ...] = (), **options) -> DataFrame:
+    """The normalized edges of the project under root, in one call."""
+    return graph_of(files(spark, root, exclusions), aliases, units, listed=listing(spark, root), **options)

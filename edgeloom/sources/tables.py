@@ -34,16 +34,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("c_custkey", F.concat_ws("/", "r_name", "n_name", "c_mktsegment", "c_name").alias("path"))
 
 
-def internal_references(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
-    """References between customers of consecutive orders (of keys below a bound, if one is given)."""
+def _successions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, o_orderpriority, source, target): customers of consecutive orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
-    if below is not None:
-        orders = orders.where(F.col("o_orderkey") <= below)
     following = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("to"))
     known = files(spark, sf_dir)
     rows = orders.join(following, "o_orderkey").join(known.select(F.col("c_custkey").alias("o_custkey"), F.col("path").alias("source")), "o_custkey")
-    rows = rows.join(known.select(F.col("c_custkey").alias("to"), F.col("path").alias("target")), "to")
-    return rows.select(
+    return rows.join(known.select(F.col("c_custkey").alias("to"), F.col("path").alias("target")), "to").select("o_orderkey", "o_orderpriority", "source", "target")
+
+
+def internal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between customers of consecutive orders."""
+    return _successions(spark, sf_dir).select(
         "source",
         "target",
         F.lit(False).alias("external"),
@@ -54,6 +56,31 @@ def internal_references(spark: SparkSession, sf_dir: str, below: int | None = No
     )
 
 
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): each customer's file as source text, a line or a test for each order's reference.
+
+    By priority: an import; an import with an ignore comment after it (even keys) or on the line
+    before; one inside a test; an embedded file (even keys) or a named module; and a reference that stands only in a comment (even
+    keys) or in a string of several lines.
+    """
+    to = F.concat(F.lit('"../../../'), "target", F.lit('.zig"'))
+    name, even = F.concat(F.lit("const o"), F.col("o_orderkey").cast("string"), F.lit(" = ")), F.col("o_orderkey") % 2 == 0
+    call = F.concat(F.lit("@import("), to, F.lit(")"))
+    kind = F.col("o_orderpriority")
+    line = (
+        F.when(kind == "1-URGENT", F.concat(name, call, F.lit(";")))
+        .when((kind == "2-HIGH") & even, F.concat(name, call, F.lit("; // edgeloom: ignore")))
+        .when(kind == "2-HIGH", F.concat(F.lit("// edgeloom: ignore\n"), name, call, F.lit(";")))
+        .when(kind == "3-MEDIUM", F.concat(F.lit('test "o" {\n    _ = '), call, F.lit(";\n}")))
+        .when((kind == "4-NOT SPECIFIED") & even, F.concat(name, F.lit("@embedFile("), to, F.lit(");")))
+        .when(kind == "4-NOT SPECIFIED", F.concat(name, F.lit('@import("shared");')))
+        .when(even, F.concat(F.lit("// see "), call)).otherwise(F.concat(name, F.lit("\n    \\\\"), call, F.lit("\n;")))
+    )
+    written = _successions(spark, sf_dir).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    known = files(spark, sf_dir).join(written, F.col("path") == F.col("source"), "left")
+    return known.select(F.concat("path", F.lit(".zig")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+
 def external_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References from customers to the brands they order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
@@ -76,8 +103,3 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph, normalized."""
     references = internal_references(spark, sf_dir).unionByName(external_references(spark, sf_dir))
     return normalize(references, files(spark, sf_dir))
-
-
-def bounded_edges(spark: SparkSession, sf_dir: str, below: int = 200) -> DataFrame:
-    """The internal graph of the first orders, whose cycles can be listed."""
-    return normalize(internal_references(spark, sf_dir, below))

@@ -1,10 +1,13 @@
+import itertools
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidDiagram, InvalidLayer, InvalidOptions
-from edgeloom.functions.patterns import collapse_folder, glob
-from edgeloom.operators import graph, layers, metrics, rules, slices, traversal
+from edgeloom.functions.patterns import collapse_folder, glob, regex
+from edgeloom.operators import graph, layers, metrics, ordering, rules, slices, traversal, violations
 from edgeloom.operators.components import components
 
 REFERENCES = "source string, target string, external boolean, kind int, class int, availability int, location struct<byte_offset: bigint, line: bigint, column: bigint>"
@@ -34,6 +37,7 @@ def test_conflicting_externality_fails(spark):
 
 def test_empty_graph(spark):
     none = graph.normalize(spark.createDataFrame([], REFERENCES))
+    assert layers.assign(none, []).count() == 0
     assert none.count() == graph.project_nodes(none).count() == graph.project_edges(none).count() == traversal.cycles(none).count() == 0
     assert traversal.strong_components(none).count() == 0
     assert metrics.coupling_summary(metrics.coupling(none)).first().subjects == 0
@@ -58,40 +62,134 @@ def test_rules(spark):
     assert pairs(rules.have_field(edges, glob("core/*"), should=False), "path") == [("core/b",), ("core/d",)]
 
 
-SELECTION = [("src/a", "src/b"), ("src/b", "src/c"), ("src/c", "src/a"), ("src/d", "src/c"), ("other/x", "other/y")]
-
-
-def test_selection(spark):
-    edges = edges_of(spark, SELECTION, [("src/a", "std")], ["isolated"])
-    chosen = lambda *q: pairs(traversal.select_nodes(edges, traversal.Options(tuple(q))), "label")
-    assert chosen(traversal.Query("focus", (glob("src/a"),), 0)) == [("src/a",)]
-    assert chosen(traversal.Query("focus", (glob("src/a"),), 1)) == [("src/a",), ("src/b",), ("src/c",)]
-    assert chosen(traversal.Query("reachable", (glob("src/d"),))) == [("src/a",), ("src/b",), ("src/c",), ("src/d",)]
-    assert chosen(traversal.Query("dependents", (glob("other/y"),)), traversal.Query("focus", (glob("isolated"),), 3)) == [("isolated",), ("other/x",), ("other/y",)]
-    assert len(chosen()) == 7
+def random_graph(seed, n=14, per_node=2):
+    """(nodes, pairs) of a random graph with two halves, some nodes of which stay alone."""
+    r = random.Random(seed)
+    names = [f"{'red' if k % 2 else 'blue'}/{k:02}" for k in range(n)]
+    return names, sorted({(a, b) for a in names[: n - 2] for b in r.sample(names[: n - 2], per_node) if a != b})
+
+
+def walk(pairs_, seeds, both=False, back=False, depth=99):
+    steps = [(b, a) for a, b in pairs_] if back else list(pairs_)
+    steps += [(b, a) for a, b in pairs_] if both else []
+    known = set(seeds)
+    for _ in range(depth):
+        known |= {b for a, b in steps if a in known}
+    return known
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_selection(spark, seed):
+    names, pairs_ = random_graph(seed)
+    edges = edges_of(spark, pairs_, [(names[0], "outside")], names)
+    chosen = lambda *q: {r.label for r in traversal.select_nodes(edges, traversal.Options(tuple(q))).collect()}
+    some, other = names[3], names[-1]
+    for depth in (0, 1, 2):
+        assert chosen(traversal.Query("focus", (glob(some),), depth)) == walk(pairs_, {some}, both=True, depth=depth)
+    ahead, behind = walk(pairs_, {some}), walk(pairs_, {some}, back=True)
+    assert chosen(traversal.Query("reachable", (glob(some),))) == ahead
+    assert chosen(traversal.Query("dependents", (glob(some),)), traversal.Query("focus", (glob(other),), 3)) == behind | {other}
+    assert chosen() == set(names)
     with pytest.raises(InvalidOptions):
-        chosen(traversal.Query("focus", (glob("a"),), -1))
+        chosen(traversal.Query("focus", (glob("x"),), -1))
 
 
 def test_snapshot(spark):
-    edges = edges_of(spark, SELECTION, [("src/a", "std")], ["isolated"])
+    names, pairs_ = random_graph(3)
+    edges = edges_of(spark, pairs_, [(names[0], "outside")], names)
     nodes, merged, summary = traversal.snapshot(edges, traversal.Options(external=True, collapse=collapse_folder(F.col("label"), 1)))
-    assert pairs(nodes, "id", "label") == [("n0", "isolated"), ("n1", "other"), ("n2", "src"), ("n3", "std")]
-    assert pairs(merged, "source_label", "target_label", "count", "external") == [("src", "std", 1, True)]
-    assert tuple(summary.first()) == (4, 1, 6, 1)
-
-
-def test_cycles_and_components(spark):
-    k4 = [(a, b) for a in "wxyz" for b in "wxyz" if a != b]
-    assert traversal.cycles(edges_of(spark, k4)).count() == 20
-    edges = edges_of(spark, [("0", "1"), ("1", "2"), ("2", "0"), ("2", "3"), ("3", "4"), ("4", "3"), ("4", "5"), ("5", "5")])
-    assert pairs(traversal.cycles(edges), "path") == [("0 -> 1 -> 2 -> 0",), ("3 -> 4 -> 3",)]
-    assert pairs(traversal.strong_components(edges), "label", "component") == [("0", "0"), ("1", "0"), ("2", "0"), ("3", "3"), ("4", "3")]
-    assert {r.component for r in components(edges, "source", "target").collect()} == {"0"}
+    assert pairs(nodes, "id", "label") == [("n0", "blue"), ("n1", "outside"), ("n2", "red")]
+    halves = [(a.split("/")[0], b.split("/")[0]) for a, b in pairs_]
+    want = {(a, b, halves.count((a, b)), False) for a, b in halves if a != b} | {("blue", "outside", 1, True)}
+    assert set(pairs(merged, "source_label", "target_label", "count", "external")) == want
+    assert tuple(summary.first()) == (3, len(want), len(pairs_) + 1, 1)
+    alone = traversal.snapshot(edges, traversal.Options((traversal.Query("focus", (glob(names[-1]),), 1),)))
+    assert [alone[0].count(), alone[1].count()] == [1, 0]
+
+
+def loops(pairs_):
+    """All elementary cycles, by trying every sequence of nodes from its smallest on."""
+    nodes, out = sorted({x for p in pairs_ for x in p}), set()
+    for n in range(2, len(nodes) + 1):
+        for path in itertools.permutations(nodes, n):
+            if path[0] == min(path) and all(p in pairs_ for p in zip(path, path[1:] + path[:1], strict=True)):
+                out.add(path)
+    return out
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_cycles_and_components(spark, seed):
+    r = random.Random(seed)
+    pairs_ = {(a, b) for a in "abcdefg" for b in r.sample("abcdefg", 2) if a != b} | {("x", "y"), ("y", "x"), ("y", "a"), ("z", "z")}
+    edges = edges_of(spark, sorted(pairs_))
+    want = loops(pairs_)
+    found = traversal.elementary_cycles(edges)
+    assert {tuple(x.nodes) for x in found.collect()} == want
+    assert {x.path for x in traversal.cycles(edges).collect()} == {" -> ".join([*p, p[0]]) for p in want}
+    rows = traversal.cycle_edges(found, edges.select(F.col("source").alias("source_label"), F.col("target").alias("target_label"), "kinds")).collect()
+    again = {}
+    for x in sorted(rows, key=lambda x: (x.cycle, x.step)):
+        again.setdefault(x.cycle, []).append((x.source_label, x.target_label))
+    assert [tuple(a for a, _ in again[k]) for k in sorted(again)] == sorted(want)
+    assert all(p in pairs_ for steps in again.values() for p in steps)
+    reach = {x: walk(pairs_, {b for a, b in pairs_ if a == x}) for x in "abcdefgxyz"}
+    strong = {x: min(y for y in reach if y == x or (y in reach[x] and x in reach[y])) for x in reach if any(x in reach[y] and y in reach[x] for y in reach if y != x)}
+    assert dict(pairs(traversal.strong_components(edges), "label", "component")) == strong
+    with pytest.raises(InvalidOptions):
+        traversal.cycles(edges, limit=1)
+    with pytest.raises(PySparkException):
+        traversal.cycle_edges(found, edges.limit(0).select(F.col("source").alias("source_label"), F.col("target").alias("target_label"))).collect()
+
+
+def test_components_of_links(spark, monkeypatch):
+    from edgeloom.operators import components as module
+
+    r = random.Random(8)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(900, 900 + k) for k in range(1, 90)] + [(k, k + 1) for k in range(500, 560)] + [(5, 5), (None, 7)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    least = {}
+    for a, b in links:
+        if a is not None and a != b:
+            least[a] = least[b] = None
+    least = {x: x for x in least}
+    for _ in range(400):
+        for a, b in links:
+            if a in least and b in least and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert dict(pairs(components(frame), "node", "component")) == least
+    monkeypatch.setattr(module, "SMALL", 10)
+    assert dict(pairs(components(frame), "node", "component")) == least
+    assert components(frame.limit(0)).count() == 0
+
+
+def test_selected_cycles(spark):
+    edges = edges_of(spark, [("in/p", "out/q"), ("out/q", "in/p"), ("in/p", "in/r"), ("in/r", "in/p")], files=["in/p", "in/r", "out/q"])
+    assert pairs(rules.have_no_cycles(edges, [[glob("in/*")]]), "path") == [("in/p -> in/r -> in/p",)]
+
+
+def test_positions_and_orders(spark):
+    r = random.Random(9)
+    rows = [(r.choice("pqr"), r.randrange(50)) for _ in range(200)]
+    found = ordering.numbered(spark.createDataFrame(rows, "label string, x int").repartition(7), "label").collect()
+    assert [(x.label, x.x) for x in sorted(found, key=lambda x: x.position)] == sorted(rows) and sorted(x.position for x in found) == list(range(200))
+    assert ordering.numbered(spark.createDataFrame([], "label string"), "label").count() == 0
+    assert [x.label for x in ordering.ordered(spark.createDataFrame([("é",), ("z",), ("Z",), (None,)], "label string"), "nodes").collect()] == [None, "Z", "z", "é"]
+
+
+def test_violations_as_text(spark):
+    edges = edges_of(spark, [("app/a", "core/b")], files=["app/a", "core/b"])
+    rule = violations.sentence([[glob("app/*"), glob("x").excluding(regex("y+"))]], should=False, predicate="be in folder \"app\"")
+    assert rule == 'project files, in path ("app/*" or "x"), except in path regex "y+" should not be in folder "app"'
+    found = violations.as_text(rules.have_field(edges, glob("app/*"), should=False), "matching", rule, "path", {"File": "path", "Note": F.lit(None).cast("string")})
+    assert [tuple(x) for x in found.collect()] == [("matching", "app/a", "File pattern violation", f"Rule: {rule}\nFile: app/a")]
+    none = rules.subjects(edges, [[glob("gone/*")]])
+    assert tuple(violations.result(violations.checked(found.limit(0), none, "id", rule)).first()) == (False, 1)
+    assert tuple(violations.result(violations.checked(found.limit(0), none, "id", rule, allow_empty=True)).first()) == (True, 0)
+    assert violations.checked(found, rules.subjects(edges), "id", rule).count() == 1
+    with pytest.raises(InvalidOptions):
+        violations.as_text(found, "other", rule, "sort_key", {})
     with pytest.raises(InvalidOptions):
-        traversal.cycles(edges_of(spark, k4), limit=5)
-    selected = rules.have_no_cycles(edges_of(spark, [("a/x", "b/y"), ("b/y", "a/x"), ("a/x", "a/z"), ("a/z", "a/x")], files=["a/x", "a/z", "b/y"]), [[glob("a/*")]])
-    assert pairs(selected, "path") == [("a/x -> a/z -> a/x",)]
+        violations.as_text(found, "cycle", " ", "sort_key", {})
 
 
 def test_cycles_limit_holds_for_strong_components_only(spark):
@@ -114,33 +212,57 @@ def test_layers(spark):
 
 
 def test_slices_and_diagrams(spark):
-    edges = edges_of(spark, [("api/a", "services/b"), ("api/c", "services/d"), ("api/a", "api/h"), ("main", "api/a")], [("api/a", "std")])
+    edges = edges_of(spark, [("ui/menu", "data/store"), ("ui/form", "data/cache"), ("ui/menu", "ui/form"), ("start", "ui/menu")], [("ui/menu", "curses")])
     label = lambda c: slices.by_pattern(c, "(**)/")
-    assert pairs(slices.slice_edges(edges, label), "source_label", "target_label", "count") == [("api", "services", 2), ("api", "std", 1)]
-    assert pairs(slices.slice_labels(edges, label), "label") == [("api",), ("services",)]
-    assert slices.contain_dependency(edges, label, "api", "services").count() == 0
-    assert slices.contain_dependency(edges, label, "services", "api").count() == 1
+    assert pairs(slices.slice_edges(edges, label), "source_label", "target_label", "count") == [("ui", "curses", 1), ("ui", "data", 2)]
+    assert pairs(slices.slice_edges(edges, label, ~F.endswith("source", F.lit("form"))), "source_label", "target_label", "count") == [("ui", "curses", 1), ("ui", "data", 1)]
+    assert pairs(slices.slice_labels(edges, label), "label") == [("data",), ("ui",)]
+    assert slices.contain_dependency(edges, label, "ui", "data").count() == 0
+    assert slices.contain_dependency(edges, label, "data", "ui").count() == 1
     text = slices.diagram_of(edges, label)
-    assert slices.parse_diagram(text) == (["api", "services"], [("api", "services")])
+    assert slices.parse_diagram(text) == (["data", "ui"], [("ui", "data")])
     inside = graph.per_internal_edge(edges)
     assert slices.adhere_to_diagram(inside, label, text).count() == 0
-    assert pairs(slices.adhere_to_diagram(edges, label, "@startuml\n[services] --> [api]\n@enduml"), "source_label", "target_label", "rule") == [("api", "services", "unexpected"), ("api", "std", "unexpected"), ("services", "api", "missing")]
+    assert pairs(slices.adhere_to_diagram(edges, label, "@startuml\n[data] --> [ui]\n@enduml"), "source_label", "target_label", "rule") == [("data", "ui", "missing"), ("ui", "curses", "unexpected"), ("ui", "data", "unexpected")]
     assert slices.adhere_to_diagram(edges, label, text, ignore_external=True).count() == 0
-    for bad in ("", "@startuml\n", "@startuml\na --> b\n@enduml", "@startuml\n???\n@enduml"):
+    for bad in ("", "@startuml\n", "@startuml\np --> q\n@enduml", "@startuml\n???\n@enduml"):
         with pytest.raises(InvalidDiagram):
             slices.parse_diagram(bad)
 
 
 def test_coupling(spark):
-    edges = edges_of(spark, [("a", "b"), ("a", "c"), ("b", "c")], [("a", "std")], ["a", "b", "c", "isolated", "build"])
+    names, pairs_ = random_graph(6)
+    edges = edges_of(spark, pairs_, [(names[0], "outside")], names)
     found = {r.label: tuple(r)[1:] for r in metrics.coupling(edges).collect()}
-    assert found["a"] == (0, 2, 1.0, 0.25) and found["isolated"] == (0, 0, 0.0, 0.0)
-    assert pairs(metrics.threshold(metrics.coupling(edges), "efferent", "below", 2), "label") == [("a",)]
+    for x in names:
+        ca, ce = sum(b == x for _, b in pairs_), sum(a == x for a, _ in pairs_)
+        assert found[x] == (ca, ce, ce / (ca + ce) if ca + ce else 0.0, (ca + ce) / (2 * (len(names) - 1)))
+    assert {r.label for r in metrics.threshold(metrics.coupling(edges), "efferent", "below", 2).collect()} == {x for x in names if found[x][1] >= 2}
     for bad in (("efferent", "below", 2.0), ("instability", "below", 1), ("efferent", "near", 2)):
         with pytest.raises(InvalidOptions):
             metrics.threshold(metrics.coupling(edges), *bad)
 
 
+def test_projected_coupling(spark):
+    names, pairs_ = random_graph(7)
+    edges = edges_of(spark, pairs_, [(names[0], "outside")], names)
+    found = {r.label: tuple(r)[1:] for r in metrics.projected_coupling(edges, lambda c: slices.by_regex(c, "^(red|blue)/")).collect()}
+    assert found == {h: (7, 1, 1, 0.5, 1.0) for h in ("red", "blue")}
+    label = lambda c: F.when(F.startswith(c, F.lit("red")), "red").otherwise("loose")
+    part = edges.where("source != target OR source LIKE 'red%'")
+    with pytest.raises(PySparkException):  # an internal edge ends at a label without a file
+        metrics.projected_coupling(part, label).collect()
+
+
+def test_projected_labels(spark):
+    edges = edges_of(spark, [("ui/a", "data/b"), ("ui/c", "data/b"), ("ui/a", "ui/c")])
+    top = lambda c: F.regexp_extract(F.col(c), "^([^/]+)", 1)
+    assert pairs(graph.project_edges(edges, top("source"), top("target")), "source_label", "target_label", "n_evidence") == [("ui", "data", 2), ("ui", "ui", 1)]
+    assert len(pairs(graph.evidence(edges, top("source"), F.when(top("target") == "data", "data")), "source")) == 2
+    with pytest.raises(PySparkException):
+        graph.project_edges(edges, F.lit(""), F.lit("x")).collect()
+
+
 def test_line_counts(spark):
     rows = spark.createDataFrame([(1, "a\n\n b\n"), (2, ""), (3, None), (4, "x\r\n \t\ny")], "id int, t string")
     assert pairs(metrics.line_counts(rows, "id", "t"), "id", "source_lines", "non_blank_lines") == [(1, 3, 2), (2, 0, 0), (3, 0, 0), (4, 3, 2)]
