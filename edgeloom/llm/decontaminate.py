@@ -6,8 +6,12 @@ window's end may move on before any pattern could end there. Many cursors, one f
 a document, step through a batch together; where the shift is 0, the suffix block's bucket (told
 apart further by the prefix block) gives the patterns to test, and comparing the words confirms them.
 
-Documents are never shuffled. Benchmark patterns are broadcast in chunks of at most ``chunk_bytes``
-of item text, one map over the documents for each chunk, so no broadcast grows with the benchmark.
+A window that many items or places share is one pattern with a list of its items.
+
+Documents are never shuffled. Benchmark patterns are compiled and broadcast in chunks of at most
+``chunk_bytes`` of item text. One map over the documents goes through all chunks of ``PASS_BYTES`` in
+one worker; only a benchmark of more than that takes a second map, so no worker's memory and no
+broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from edgeloom.llm.common import small_batches
 
 WINDOW = 10
 CHUNK_BYTES = 2 << 20
+PASS_BYTES = 32 << 20
 _STRETCH = 256
 _PLAIN = bytes(int(K.LOWER[b]) if K.ALPHANUMERIC[K.LOWER[b]] else 0x20 for b in range(256))
 
@@ -38,50 +43,53 @@ def _block(words: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarra
 
 @dataclass
 class PatternClass:
-    """The patterns of one length: tables and, for each pattern in bucket order, its item and first word."""
+    """The patterns of one length: tables and, in bucket order, each pattern's words and items."""
 
     length: int
     block: int
     shift: np.ndarray
     bucket: np.ndarray
     suffix: np.ndarray
-    item: np.ndarray
-    first: np.ndarray
+    texts: list[bytes]
+    items: list[list[int]]
 
 
 @dataclass
 class Patterns:
     ids: list[str]
-    words: list[list[bytes]]
     classes: list[PatternClass] = field(default_factory=list)
 
 
 def compile_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> Patterns:
     """Tables for the windows of (id, text) items; items without words give none."""
     split = [text.encode().translate(_PLAIN).split() for _, text in items]
-    out = Patterns([i for i, _ in items], split)
-    by_length: dict[int, list[tuple[int, int]]] = {}
+    out = Patterns([i for i, _ in items])
+    sizes = [len(w) for w in split]
+    base = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64).tolist()
+    #: by length: the words of each window, with its first place among all words and its items
+    by_length: dict[int, dict[bytes, tuple[int, list[int]]]] = {}
     for k, words in enumerate(split):
         m = min(window, len(words))
-        if m:
-            by_length.setdefault(m, []).extend((k, i) for i in range(len(words) - m + 1))
-    sizes = np.array([len(w) for w in split])
-    base = np.concatenate(([0], np.cumsum(sizes)))
+        known = by_length.setdefault(m, {}) if m else {}
+        for i in range(len(words) - m + 1 if m else 0):
+            own = known.setdefault(b" ".join(words[i : i + m]), (base[k] + i, []))[1]
+            if not own or own[-1] != k:
+                own.append(k)
     data = np.frombuffer(b" ".join(b" ".join(w) for w in split if w), np.uint8)
     found = K.find_words(data, np.array([0, len(data)]), K.ALPHANUMERIC)
     hashes = K.word_hashes(data, found.start, found.end)
-    for m, places in sorted(by_length.items()):
-        item, first = np.array(places).T
-        start = base[item] + first
+    for m, windows in sorted(by_length.items()):
+        start = np.array([place for place, _ in windows.values()])
         block = min(2, m)
-        bits = max(12, int(8 * len(places)).bit_length())
+        bits = max(12, int(8 * len(start)).bit_length())
         shift = np.full(1 << bits, m - block + 1, np.uint8 if m < 250 else np.int64)
         for j in range(block, m + 1):
             np.minimum.at(shift, (_block(hashes, start + j - 1, block, 0) >> K.U64(64 - bits)).astype(np.int64), m - j)
         suffix = _block(hashes, start + m - 1, block, 0)
         bucket = K.mix(suffix ^ _block(hashes, start + block - 1, block, 5))
         order = np.argsort(bucket, kind="stable")
-        out.classes.append(PatternClass(m, block, shift, bucket[order], np.unique(suffix), item[order], first[order]))
+        texts, owners = list(windows), [own for _, own in windows.values()]
+        out.classes.append(PatternClass(m, block, shift, bucket[order], np.unique(suffix), [texts[k] for k in order.tolist()], [owners[k] for k in order.tolist()]))
     return out
 
 
@@ -92,6 +100,7 @@ def search(patterns: Patterns, data: np.ndarray, offs: np.ndarray):
     doc_of, n = words.doc_of_word, len(words.start)
     hit, pairs, raw = np.zeros(n, bool), set(), data.tobytes()
     for c in patterns.classes:
+        seen = set()
         m, top = c.length, K.U64(64 - (len(c.shift).bit_length() - 1))
         counts = np.maximum(np.diff(words.doc) - m + 1, 0)
         pieces = -(-counts // _STRETCH)
@@ -117,23 +126,27 @@ def search(patterns: Patterns, data: np.ndarray, offs: np.ndarray):
         key = K.mix(_block(hashes, end, c.block, 0) ^ _block(hashes, end - m + c.block, c.block, 5))
         lo, hi = np.searchsorted(c.bucket, key, "left"), np.searchsorted(c.bucket, key, "right")
         for e, a, b in zip(end[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            text = raw[words.start[e - m + 1] : words.end[e]].translate(_PLAIN).split()
+            text = b" ".join(raw[words.start[e - m + 1] : words.end[e]].translate(_PLAIN).split())
             for k in range(a, b):
-                item, first = int(c.item[k]), int(c.first[k])
-                if patterns.words[item][first : first + m] == text:
+                if c.texts[k] == text:
                     hit[e - m + 1 : e + 1] = True
-                    pairs.add((int(doc_of[e]), item))
+                    seen.add((int(doc_of[e]), k))
+        pairs.update((doc, item) for doc, k in seen for item in c.items[k])
     return words, hit, pairs
 
 
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_bytes: int, window: int):
-    """Compiled patterns, chunk by chunk; items are dealt to chunks by hash."""
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, chunk_bytes: int, window: int):
+    """Lists of broadcast patterns of some ``PASS_BYTES`` each, chunk by chunk; items are dealt to chunks by hash."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(compile_patterns(sorted((r.item, r.text) for r in rows), window))
+    at_once = max(1, PASS_BYTES // chunk_bytes)
+    for a in range(0, n, at_once):
+        chunks = []
+        for k in range(a, min(n, a + at_once)):
+            rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
+            chunks.append(benchmark.sparkSession.sparkContext.broadcast(compile_patterns(sorted((r.item, r.text) for r in rows), window)))
+        yield chunks
 
 
 def contamination(
@@ -158,26 +171,30 @@ def contamination(
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<string>").alias("items"))
     kind = docs.schema[id_col].dataType.simpleString()
-    for patterns in _chunks(benchmark, item_col, item_text_col, chunk_bytes, window):
-        rows = rows.mapInArrow(_marker(patterns), f"id {kind}, text string, bits binary, items array<string>")
+    for chunks in _passes(benchmark, item_col, item_text_col, chunk_bytes, window):
+        rows = rows.mapInArrow(_marker(chunks), f"id {kind}, text string, bits binary, items array<string>")
     return rows.mapInArrow(_spans, f"id {kind}, n_words long, spans array<struct<first: long, last: long>>, items array<string>").withColumnRenamed("id", id_col)
 
 
-def _marker(patterns):
-    """A map over (id, text, bits, items) that adds the hits of these patterns."""
+def _marker(chunks):
+    """A map over (id, text, bits, items) that adds the hits of the patterns of these chunks."""
 
     def run(batches):
         for batch in batches:
             data, offs = K.text_bytes(batch.column(1))
             bits, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi in K.slices(batch.num_rows, offs):
-                words, hit, pairs = search(patterns.value, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                for d in np.unique(np.searchsorted(words.doc, np.flatnonzero(hit), side="right") - 1).tolist():
-                    mask = np.packbits(hit[words.doc[d] : words.doc[d + 1]])
-                    old = bits[lo + d]
-                    bits[lo + d] = (mask if old is None else mask | np.frombuffer(old, np.uint8)).tobytes()
-                for d, item in pairs:
-                    items[lo + d] = sorted({*(items[lo + d] or ()), patterns.value.ids[item]})
+                for patterns in chunks:
+                    words, hit, pairs = search(patterns.value, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                    for d in np.unique(np.searchsorted(words.doc, np.flatnonzero(hit), side="right") - 1).tolist():
+                        mask = np.packbits(hit[words.doc[d] : words.doc[d + 1]])
+                        old = bits[lo + d]
+                        bits[lo + d] = (mask if old is None else mask | np.frombuffer(old, np.uint8)).tobytes()
+                    found: dict[int, set] = {}
+                    for d, item in pairs:
+                        found.setdefault(d, set()).add(patterns.value.ids[item])
+                    for d, own in found.items():
+                        items[lo + d] = sorted(own.union(items[lo + d] or ()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "bits", "items"])
 
     return run
@@ -201,19 +218,25 @@ def _spans(batches):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, in which no benchmark window occurs; null texts stay."""
+    """The rows of docs, with all their columns, in which no benchmark window occurs.
+
+    Null and empty texts stay, long ones are searched whole, and rows that repeat an id are judged
+    each for itself. An empty benchmark, or one of null and empty items, drops nothing; an empty table
+    stays empty. Only the text column is looked at, whatever the others are named.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     out = docs
-    for patterns in _chunks(benchmark, item_col, item_text_col, chunk_bytes, window):
+    for chunks in _passes(benchmark, item_col, item_text_col, chunk_bytes, window):
 
-        def run(batches, patterns=patterns):
+        def run(batches, chunks=chunks):
             for batch in batches:
                 data, offs = K.text_bytes(batch.column(at).cast(pa.string()))
                 clean = np.ones(batch.num_rows, bool)
                 for lo, hi in K.slices(batch.num_rows, offs):
-                    _, _, pairs = search(patterns.value, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                    clean[[lo + d for d, _ in pairs]] = False
+                    for patterns in chunks:
+                        _, _, pairs = search(patterns.value, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                        clean[[lo + d for d, _ in pairs]] = False
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
