@@ -145,11 +145,11 @@ j AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM u),
 t AS (
-  SELECT text, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS a, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS r FROM j GROUP BY text),
-pos AS (SELECT text, a, r, substring(repeat(chr(2), {order - 1}) || text || chr(3), i, {order}) AS w FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)),
+  SELECT text, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS a, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS r, md5(text)[1] IN ('0', '1', '2') AS held FROM j GROUP BY text),
+pos AS (SELECT text, CASE WHEN held THEN 0 ELSE a END AS a, CASE WHEN held THEN 0 ELSE r END AS r, substring(repeat(chr(2), {order - 1}) || text || chr(3), i, {order}) AS w FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)),
 {", ".join(levels)},
-s AS (SELECT text, pos.a, pos.r, sum(ln(t{order}.a) - ln(t{order}.r)) / count(*) AS score FROM pos JOIN t{order} ON gram = w GROUP BY text, pos.a, pos.r),
-b AS (SELECT floor(score / 0.01) AS bin, sum(a) AS a, sum(r) AS r FROM s GROUP BY 1 HAVING sum(a) + sum(r) > 0),
+s AS (SELECT text, sum(ln(t{order}.a) - ln(t{order}.r)) / count(*) AS score FROM pos JOIN t{order} ON gram = w GROUP BY text),
+b AS (SELECT floor(score / 0.01) AS bin, sum(t.a) AS a, sum(t.r) AS r FROM s JOIN t USING (text) WHERE held GROUP BY 1 HAVING sum(a) + sum(r) > 0),
 h AS (
   SELECT bin, (sum(a) OVER () - coalesce(sum(a) OVER before, 0)) / nullif(sum(a) OVER (), 0)::DOUBLE + coalesce(sum(r) OVER before, 0) / nullif(sum(r) OVER (), 0)::DOUBLE AS gain
   FROM b WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -5,7 +5,8 @@ models learn from, over all rows. A model of order n interpolates down to the un
 (Witten-Bell): P(c | context) = (n(context c) + t(context) P(c | shorter context)) / (n(context) +
 t(context)), t being the number of different characters seen there, so unseen contexts fall through
 to shorter ones. A URL's score is the mean log-likelihood difference over its characters and an end
-mark. The threshold is the one that tells accepted from rejected URLs best (sum of both hit rates).
+mark. Three sixteenths of the distinct URLs, by hash, are held out of the models; the threshold is the
+one that tells accepted from rejected URLs among these best (sum of both hit rates).
 
 Each distinct URL is cut into windows once; window counts are aggregated before any join, models
 are tables of distinct windows that grow with the corpus and are joined, never broadcast by request.
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import cut, lower_ascii
 
 ORDER, BIN = 5, 0.01
+#: First hex digits of the MD5 of texts that the threshold is set on and the models don't see.
+HELD_OUT = ("0", "1", "2")
+#: A text of one row in so many or more is hot; that many texts can be hot at most.
+HOT_SHARE = 200
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _PAD, _STOP = "\x02", "\x03"
@@ -88,21 +93,27 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host stands after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path follows
     up to "?", "#" or the end; both are empty for a null URL or one without "://". The longest rule
     whose host is the URL's or a parent domain of it, and whose path starts the URL's, gives rule and
-    verdict; otherwise rule is null and the models decide: allow from the threshold on. Every URL has
-    a score; a null URL scores as an empty one. Repeated rows are answered alike.
+    verdict; otherwise rule is null and the models decide: allow from the threshold on, which is 0
+    unless both accepted and rejected URLs are held out. Every URL has a score, long ones over their
+    whole length; a null URL scores as an empty one. Repeated rows are answered alike; an empty table
+    gives no rows; other columns are ignored.
     """
     text = F.coalesce(lower_ascii(F.col(url_col).cast("string")), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.regexp_replace(text, "^[^:/?#]*://", "").alias("text"))
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.col("rule")["verdict"]
-    texts = rows.groupBy("text").agg(F.count_if(verdict == "allow").alias("accepted"), F.count_if(verdict == "block").alias("rejected"))
-    texts = cut(texts.withColumn("key", F.struct(F.xxhash64("text"), F.hash("text"))))
-    cuts = _windows(texts, order)
+    texts = rows.groupBy("text").agg(F.count_if(verdict == "allow").alias("accepted"), F.count_if(verdict == "block").alias("rejected"), F.count("*").alias("n"))
+    texts = cut(texts.withColumns({"key": F.struct(F.xxhash64("text"), F.hash("text")), "held": F.substring(F.md5("text"), 1, 1).isin(*HELD_OUT)}))
+    seen = [F.when(F.col("held"), 0).otherwise(F.col(c)).alias(c) for c in ("accepted", "rejected")]
+    cuts = _windows(texts.select("key", "text", *seen), order)
     ratios = log_ratios(cuts.groupBy("window").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), order)
     scores = cuts.select("key", "window").join(ratios, "window").groupBy("key").agg((F.sum("ratio") / F.count("*")).alias("score"))
-    scored = cut(texts.join(scores, "key").select("text", "accepted", "rejected", "score"))
-    at = F.lit(_threshold(scored))
-    judged = rows.join(scored.select("text", "score"), "text")
+    scored = cut(texts.join(scores, "key").select("text", "accepted", "rejected", "held", "n", "score"))
+    at = F.lit(_threshold(scored.where("held")))
+    total = scored.agg(F.sum("n")).first()[0] or 0
+    hot = scored.where(F.col("n") * HOT_SHARE >= total).select("text", F.col("score").alias("hot"))
+    found = rows.join(F.broadcast(hot), "text", "left")  # so that no task gets all rows of a frequent URL
+    judged = found.where("hot IS NOT NULL").withColumn("score", F.col("hot")).unionByName(found.where("hot IS NULL").join(scored.select("text", "score"), "text"))
     return judged.select(
         F.col("id").alias(id_col),
         "host",

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import textwrap
@@ -154,8 +155,6 @@ def test_conversations_read_back(spark):
     rows += [(4, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(3000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(frame)).collect()}
-    import hashlib
-
     for key in (1, 2, 3, 4, None):
         own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or ""))
         turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
@@ -206,7 +205,7 @@ def test_urls(spark):
         text = (u or "").translate(brute.AZ)
         text = text.split("://", 1)[1] if "://" in text and not set("/?#:") & set(text.split("://", 1)[0]) else text
         sides = texts.setdefault(text, {"a": 0, "r": 0})
-        if r.rule:
+        if r.rule and hashlib.md5(text.encode()).hexdigest()[0] not in url_filter.HELD_OUT:
             sides["a" if r.verdict == "allow" else "r"] += 1
     score = ratio_by_hand(texts)
     for r, u in zip(rows, URLS, strict=True):
