@@ -1,20 +1,21 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block when the block holds at least ``containment`` of the
-template's distinct words. The join is exact and uses DataFrame functions only:
-
-- words are ordered by how many blocks of the corpus hold them, rarest first, over all documents;
-- prefix filter: a block with ``need`` of a template's n words holds one of its n - need + 1 rarest;
-- length filter: it holds ``need`` words of the templates' vocabulary at all;
-- positional filter: behind the first common word both sides still have enough words to reach ``need``;
-- what passes is compared word by word.
-
-``runs=True`` also looks in runs of words that span line ends, as wrapped notices need: a run is a little
-longer than the template. A document that has a template in a line or a run passes the same filters as
-one block; then the lines and runs of what passes are compared.
-
-Templates come from a parameter, so their table is small by construction: it and their vocabulary are
-the only things broadcast. Texts are never shuffled.
+A block is a run of consecutive words, floor(n / containment) of them for a template of n words; line
+ends do not count, so notices may be wrapped. A template is found in a block that holds at least
+``containment`` of its distinct words and all of its naming words, without which the rest is common
+wording. The join is exact and uses DataFrame functions only:
+
+- words are ordered by how often the corpus has them, rarest first, over all documents;
+- prefix filter: a block with ``need`` of a template's n distinct words holds one of its n - need + 1
+  rarest, so only places of these meet the templates, in an equi-join on the word;
+- length filter: the words within a block's reach of the place hold ``need`` of the template's at all,
+  and its naming words;
+- positional filter: a place answers for the blocks whose rarest common word it is, so only words from
+  there on in the order count, and ``need`` of them have to be in reach;
+- the blocks around what passes are compared word by word.
+
+Templates come from a parameter, so their table is small by construction and the only thing that is
+broadcast. Texts are read twice (counts, then places) and never shuffled.
 """
 
 from __future__ import annotations
@@ -24,22 +25,22 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import lower_ascii
+from edgeloom.llm.common import cut, lower_ascii
 
 CONTAINMENT = 0.8
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-# Opening sentences of the public license texts and their usual notices.
+# Opening sentences of the public license texts and their usual notices, each with its naming words.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "gnu lesser general public license as published by the free software foundation"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "obtaining associated"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc", "creative commons attribution noncommercial license", "creative commons noncommercial"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general 3"),
+    ("lgpl", "gnu lesser general public license as published by the free software foundation", "gnu lesser"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary"),
+    ("all-rights-reserved", "all rights reserved", "rights reserved"),
 )
 
 
@@ -78,80 +79,65 @@ def phrase_places(docs: DataFrame, text_col: str = "text", phrases=PHRASES) -> D
     ).drop("__plain")
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str]) -> DataFrame:
-    """(id, words): of each line with words of the vocabulary, those words, distinct."""
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
-    words = F.array_intersect(F.split(_plain(F.col("line")), " "), F.array(*[F.lit(w) for w in vocabulary]))
-    return lines.select("id", words.alias("words")).where(F.size("words") > 0)
-
-
-def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(id, label, score): one row per block and template found there, score being the share of its words."""
-    spark = docs.sparkSession
-    sets = [(label, frozenset(text.split())) for label, text in templates]
-    vocabulary = sorted(frozenset().union(*(s for _, s in sets)))
-    blocks = _blocks(docs, id_col, text_col, vocabulary)
-    counted = {r.word: r["count"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()}  # a row per word of the templates
-    order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
-    entries = []
-    for k, (label, words) in enumerate(sets):
-        ranks, need = sorted(order[w] for w in words), max(1, ceil(containment * len(words) - 1e-9))
-        entries += [(rank, place, k, label, ranks, need) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
-    index = spark.createDataFrame(entries, "rank int, place int, template int, label string, ranks array<int>, need int")
-    rank_of = F.create_map(*[F.lit(x) for w, k in order.items() for x in (w, k)])
-    least, prefixes = min(e[5] for e in entries), sorted({e[0] for e in entries})
-    ranked = blocks.where(F.size("words") >= least).select("id", F.array_sort(F.transform("words", lambda w: rank_of[w])).alias("own"))
-    ranked = ranked.where(F.arrays_overlap("own", F.array(*[F.lit(p) for p in prefixes])))
-    met = ranked.select("id", "own", F.posexplode("own").alias("at", "rank")).join(F.broadcast(index), "rank")
-    met = met.where((F.size("own") >= F.col("need")) & (1 + F.least(F.size("ranks") - F.col("place") - 1, F.size("own") - F.col("at") - 1) >= F.col("need")))
-    common = F.size(F.array_intersect("own", "ranks"))
-    return met.where(common >= F.col("need")).select("id", "label", (common / F.size("ranks")).alias("score"))
-
-
-def run_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(id, label, score): one row per document row and template found in a line or a run of its words.
-
-    A run is floor(n / containment) consecutive words, n being the template's length; line ends don't count.
-    """
-    spark = docs.sparkSession
-    lists = [(label, text.split()) for label, text in templates]
-    vocabulary = sorted({w for _, words in lists for w in words})
-    words = F.split(_plain(F.col("text")), " ")
-    blocks = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = blocks.withColumn("own", F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]))).where(F.size("own") > 0)
-    counted = {r.word: r["count"] for r in blocks.select(F.explode("own").alias("word")).groupBy("word").count().collect()}  # a row per word of the templates
-    entries = []
-    for k, (label, listed) in enumerate(lists):
-        own = sorted(set(listed), key=lambda w: (counted.get(w, 0), w))
-        need = max(1, ceil(containment * len(own) - 1e-9))
-        entries.append((k, label, own, own[: len(own) - need + 1], need, max(len(listed), int(len(listed) / containment + 1e-9))))
-    index = spark.createDataFrame(entries, "template int, label string, words array<string>, rare array<string>, need int, length int")
-    met = blocks.join(F.broadcast(index), F.arrays_overlap("own", "rare") & (F.size(F.array_intersect("own", "words")) >= F.col("need")))
-
-    def in_runs(every: Column) -> Column:
-        at = F.array_compact(F.transform(every, lambda w, i: F.when(F.array_contains("words", w), i + 1)))
-        return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(F.slice(every, i, F.col("length")), F.col("words")))))
-
-    in_run = F.get(F.transform(F.array(words), in_runs), F.lit(0))  # a lambda's argument is split once, not for each run
-    in_line = F.transform(F.split("text", "\n"), lambda line: F.size(F.array_intersect(F.split(_plain(line), " "), F.col("words"))))
-    common = F.greatest(in_run, F.array_max(in_line))
-    met = met.select("id", "label", "words", "need", common.alias("common")).where("common >= need")
-    return met.select("id", "label", (F.col("common") / F.size("words")).alias("score"))
+def block_length(n_words: int, containment: float) -> int:
+    """Words of a block that is compared with a template of so many words."""
+    return max(n_words, int(n_words / containment + 1e-9))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT, runs: bool = False) -> DataFrame:
+def _template_index(docs: DataFrame, text_col: str, templates, containment: float) -> list[tuple]:
+    """(word, label, own, needed, need, length): each prefix word with the template's words from it on, rarest first."""
+    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
+    words = docs.select(F.explode(F.split(_plain(F.col(text_col).cast("string")), " ")).alias("word"))
+    counted = {r.word: r["count"] for r in words.where(F.col("word").isin(vocabulary)).groupBy("word").count().collect()}  # a row per word of the templates
+    index = []
+    for label, text, names in templates:
+        own = sorted(set(text.split()), key=lambda w: (counted.get(w, 0), w))
+        need = max(1, ceil(containment * len(own) - 1e-9))
+        length = block_length(len(text.split()), containment)
+        index += [(own[k], label, own[k:], names.split(), need, length, len(own)) for k in range(len(own) - need + 1)]
+    return index
+
+
+def template_matches(places: DataFrame, index: list[tuple]) -> DataFrame:
+    """(row, label, score): the templates found around each place of rows(row, words), score being the share of their words."""
+    wide = max(e[5] for e in index)
+    table = places.sparkSession.createDataFrame(index, "word string, label string, own array<string>, names array<string>, need int, length int, size int")
+    at = F.posexplode("words").alias("at", "word")
+    met = places.select("row", "words", at).where(F.col("word").isin([e[0] for e in index]))
+    first = F.greatest(F.lit(1), F.col("at") - wide + 2)
+    met = met.select("row", "word", F.slice("words", first, F.lit(2 * wide - 1)).alias("near"), (F.col("at") + 2 - first).alias("here"))
+    met = met.join(F.broadcast(table), "word")
+    low = F.greatest(F.lit(1), F.col("here") - F.col("length") + 1)
+    met = met.withColumn("near", F.slice("near", low, F.col("here") + F.col("length") - low))
+    holds = lambda block: (F.size(F.array_intersect(block, F.col("own"))) >= F.col("need")) & (F.size(F.array_except("names", block)) == 0)
+    met = met.where(holds(F.col("near")))
+    blocks = F.transform(F.sequence(F.lit(1), F.size("near")), lambda i: F.slice("near", i, F.col("length")))
+    common = F.array_max(F.transform(F.filter(blocks, holds), lambda block: F.size(F.array_intersect(block, F.col("own")))))
+    return met.withColumn("common", common).where("common IS NOT NULL").select("row", "label", (F.col("common") / F.col("size")).alias("score"))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document row: (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     n_base counts all places where a phrase's words stand consecutively, first_word and last_word are
     the smallest and largest word they start at (from 0; null without any). labels adds those of the
-    templates found in a line (with runs, also in words that span lines); both lists are distinct, sorted and comma-joined. score is the largest
-    share of a template found, 1 where a phrase stands, else 0. Null and empty texts have no words
-    and no labels. Rows that repeat an id, null included, share the templates found in any of them.
+    templates found in any block; both lists are distinct, sorted and comma-joined. score is the largest
+    share of a template found, 1 where a phrase stands, else 0. Null and empty texts have no words and
+    no labels, long ones are looked at whole. Repeated rows are answered alike, rows that repeat an id
+    each for itself, null included. An empty table gives no rows; other columns are ignored.
     """
-    base = phrase_places(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", phrases).drop("text")
-    more = (run_matches if runs else template_matches)(docs, id_col, text_col, templates=templates, containment=containment)
-    more = more.groupBy(F.col("id").alias("other")).agg(F.collect_set("label").alias("more"), F.max("score").alias("most"))
-    both = base.join(more, base["id"].eqNullSafe(more["other"]), "left")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    index = _template_index(rows, "text", templates, containment)
+    words = F.split(_plain(F.col("text")), " ")
+    some = F.coalesce(F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted({e[0] for e in index})])), F.lit(False))
+    row = F.struct("id", F.xxhash64("text").alias("h"))
+    more = template_matches(rows.select(row.alias("row"), words.alias("words")), index)
+    more = cut(more.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("most")))
+    more = more.select(F.col("row.id").alias("other"), F.col("row.h").alias("key"), F.lit(True).alias("some"), "more", "most")
+    # a row without any prefix word joins with nothing; its key is a number of its own, so that no value gathers such rows
+    key = F.when(F.col("some"), F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
+    base = phrase_places(rows.withColumn("some", some).withColumn("key", key), "text", phrases).drop("text")
+    both = base.join(more, (base["key"] == more["key"]) & (base["some"] == more["some"]) & base["id"].eqNullSafe(more["other"]), "left")
     every = F.array_sort(F.array_distinct(F.concat("found", F.coalesce("more", F.array().cast("array<string>")))))
     return both.select(
         F.col("id").alias(id_col),

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express over whole tables."""
 
+from math import ceil
+
 from edgeloom.llm import license_scan
 
 ORACLES: dict[str, str] = {}
@@ -164,19 +166,25 @@ ORACLES["op8_url_filter"] = _url_oracle()
 
 
 def _license_oracle(templates, phrases, containment: float) -> str:
-    values = ", ".join(f"({k}, '{label}', {sorted(set(text.split()))})" for k, (label, text) in enumerate(templates))
+    rows = []
+    for k, (label, text, names) in enumerate(templates):
+        own = sorted(set(text.split()))
+        rows.append(f"({k}, '{label}', {own}, {names.split()}, {max(1, ceil(containment * len(own) - 1e-9))}, {license_scan.block_length(len(text.split()), containment)})")
     fixed = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in phrases)
     return f"""
-WITH templates(k, label, t) AS (VALUES {values}), phrases(p, label, m) AS (VALUES {fixed}),
-d AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_PLAIN}) AS w FROM documents),
+WITH templates(k, label, t, names, need, m) AS (VALUES {", ".join(rows)}), phrases(p, label, m) AS (VALUES {fixed}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_PLAIN}) AS w FROM documents),
 places AS (
   SELECT doc_id, label, i - 1 AS i
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON array_to_string(w[i:i + m - 1], ' ') = p AND i + m - 1 <= len(w)),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(line, {_AZ}), {_PLAIN})) AS own FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+able AS (
+  SELECT doc_id, w, label, t, names, need, m FROM (SELECT doc_id, w, list_distinct(w) AS own FROM d), templates
+  WHERE len(list_intersect(own, t)) >= need AND len(list_intersect(own, names)) = len(names)),
+blocks AS (SELECT doc_id, label, t, names, need, w[i:i + m - 1] AS block FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM able) WHERE list_contains(t, w[i])),
 found AS (
-  SELECT doc_id, label, len(list_intersect(own, t))::DOUBLE / len(t) AS score FROM lines, templates
-  WHERE len(list_intersect(own, t)) >= {containment} * len(t) - 1e-9),
+  SELECT doc_id, label, max(len(list_intersect(block, t))::DOUBLE / len(t)) AS score FROM blocks
+  WHERE len(list_intersect(block, t)) >= need AND len(list_intersect(block, names)) = len(names) GROUP BY doc_id, label),
 names AS (SELECT doc_id, label, true AS base, 1.0::DOUBLE AS score FROM places UNION ALL SELECT doc_id, label, false, score FROM found),
 sums AS (
   SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
@@ -187,4 +195,4 @@ FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN sums ON sums.doc_id =
 """
 
 
-ORACLES["op10_license_scan"] = _license_oracle(license_scan.TEMPLATES, license_scan.PHRASES, license_scan.CONTAINMENT)
+ORACLES["op10_license_scan"] = ORACLES["op10_license_scan_runs"] = _license_oracle(license_scan.TEMPLATES, license_scan.PHRASES, license_scan.CONTAINMENT)
