@@ -118,7 +118,12 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """The training order itself: the rows of docs, each as often as it is taken, range-sorted by position."""
+    """The training order itself: the rows of docs, each as often as it is taken, range-sorted by position.
+
+    Null, empty and blank texts are never taken, long ones whole or not at all; a null source, null
+    ids and rows that repeat an id as in mixing_plan; ties in position stand in order of id. An empty
+    table stays empty. All columns are carried, whatever their names.
+    """
     out = _planned(docs, id_col, text_col, source_col, weights, share, repeats, schedules, [F.col(c) for c in docs.columns])
     rows = out.select("carry", F.explode("positions").alias("position"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -220,7 +220,11 @@ _encoders: dict[str, Encoder] = {}
 
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID) -> DataFrame:
-    """(doc, n, ids): the ids of each text and the end id, packed; a null text counts as empty."""
+    """(doc, n, ids): the ids of each text and the end id, packed; a null text counts as empty.
+
+    One row for each row of docs, null and repeated ids included; long texts are encoded whole. An
+    empty table gives no rows; other columns are ignored.
+    """
     small_batches(docs.sparkSession, 500)
 
     def run(batches):
@@ -404,14 +408,19 @@ def document_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     """(id, start, n_tokens, ids_crc32) of each document of the files at path.
 
     start counts the ids of all documents before. The checksum is taken before the join, so that no
-    ids are shuffled.
+    ids are shuffled. Null and repeated ids have a row each, documents without words one with the end
+    id alone; files of an empty table give no rows.
     """
     rows = read_token_files(spark, path).select("part", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return rows.join(part_starts(spark, path), "part").select(F.col("doc_id").alias(id_col), (F.col("part_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID) -> DataFrame:
-    """Write token files and read them back as document_index does."""
+    """Write token files and read them back as document_index does.
+
+    One row for each row of docs; nulls, empty and long texts, repeated rows, empty tables and other
+    columns as in write_token_files.
+    """
     path = path or scratch_path(docs.sparkSession)
     write_token_files(docs, path, tokenizer, id_col, text_col, end_id=end_id)
     return document_index(docs.sparkSession, path, id_col)
