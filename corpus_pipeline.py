@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm import curriculum, decontaminate, minhash_dedup, quality, token_files
@@ -31,6 +30,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as token files, read back: a row for each time that a document is taken."""
+    import public_tokenizers  # only this stage needs it
+
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
