@@ -39,6 +39,26 @@ def test_quality_learns_nothing_from_the_held_out_fold(spark):
     assert a.bias == b.bias and (a.factors == b.factors).all() and (a.linear == b.linear).all()
 
 
+def test_quality_is_fitted_to_the_labels():
+    """The fit on rows that a word and a pair of words decide, against a plain sum over all pairs of features."""
+    r = np.random.default_rng(8)
+    words = r.integers(0, 40, (400, 6))
+    label = ((words == 3).any(axis=1) | ((words == 7).any(axis=1) & (words == 9).any(axis=1))).astype(float)
+    words[label == 1, 0], words[label == 0, 0] = r.choice([3, 41], (label == 1).sum()), r.choice([20, 21], (label == 0).sum())
+    hashed = np.repeat(np.arange(400), 6), words.ravel(), np.full(2400, 6**-0.5)
+    stats = r.normal(size=(400, 2))
+    machine = quality._fit(stats, hashed, label, label.mean(), 30, 4)
+    bins = quality._with_bins((np.zeros(0, int),) * 3, stats, machine.edges)[1].reshape(400, 2)
+    z = np.full(400, machine.bias)
+    for k in range(400):
+        slots, value = np.concatenate([words[k], bins[k]]), np.concatenate([np.full(6, 6**-0.5), np.full(2, 2**-0.5)])
+        z[k] += (machine.linear[slots] * value).sum()
+        z[k] += sum(machine.factors[slots[i]] @ machine.factors[slots[j]] * value[i] * value[j] for i in range(8) for j in range(i))
+    assert ((z > 0) == label).mean() > 0.98
+    loss = np.log1p(np.exp(-np.where(label == 1, z, -z))).mean()
+    assert loss < 0.3 * -(label.mean() * np.log(label.mean()) + (1 - label.mean()) * np.log(1 - label.mean()))
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "x"), (2, "", 3, "x"), (3, "word " * 30000, 5, "x"), (None, "a b", -4, "x")], "doc_id long, text string, n_chars long, score string")
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (None, 1), (4, None), (5, 7)], "doc_id long, quality int")
@@ -154,6 +174,7 @@ def test_conversations_read_back(spark):
     rows = [(1, 1, "assistant", "</s>b\\"), (1, 0, "user", "a<|im_end|>"), (2, 0, None, None), (2, None, "system", "s"), (3, 0, "assistant", "x" * 70000), (None, 0, "user", "n"), (1, 2, "assistant", "c"), (1, 2, "assistant", "c")]
     rows += [(4, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(3000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame = frame.selectExpr("*", "1 AS id", "2 AS seq", "'x' AS piece", "role AS loss")
     found = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(frame)).collect()}
     for key in (1, 2, 3, 4, None):
         own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or ""))
