@@ -104,6 +104,40 @@ def json_lines(nodes: DataFrame, edges: DataFrame, title: str = "") -> DataFrame
     return _lines(0, nodes, F.col("label"), F.to_json(F.struct("id", "label"))).union(_lines(1, edges, pair, edge))
 
 
+def _json_set(members: tuple[str, ...], mask: Column) -> Column:
+    names = F.filter(F.split(names_of(members, mask), r"\|"), lambda x: x != "")
+    joined = F.array_join(F.transform(names, lambda x: F.concat(F.lit('        "'), x, F.lit('"'))), ",\n")
+    return F.when(F.size(names) == 0, "[]").otherwise(F.concat(F.lit("[\n"), joined, F.lit("\n      ]")))
+
+
+def _json_object(rows: DataFrame, fields: dict[str, Column], last: Column) -> Column:
+    inside = F.concat_ws(",\n", *[F.concat(F.lit(f'      "{name}": '), value) for name, value in fields.items()])
+    return F.concat(F.lit("    {\n"), inside, F.lit("\n    }"), F.when(last, "").otherwise(","))
+
+
+def json_document(nodes: DataFrame, edges: DataFrame, summary: DataFrame, title: str = "") -> DataFrame:
+    """The whole report as one JSON document with an indent of 2; summary is the snapshot's, one row."""
+    text = lambda c: F.col(c).cast("string")
+    counts = summary.select([F.col(c) for c in ("node_count", "edge_count", "raw_edge_count", "external_edge_count")])
+    opens = lambda n: F.when(F.col(n) == 0, "[],").otherwise("[")
+    closes = lambda n: F.when(F.col(n) == 0, "").otherwise("  ],\n")
+    head = F.concat(F.lit('{\n  "title": '), quoted(F.lit(title)), F.lit(',\n  "nodes": '), opens("node_count"))
+    middle = F.concat(closes("node_count"), F.lit('  "edges": '), opens("edge_count"))
+    tail = F.concat_ws(",\n", *[F.concat(F.lit(f'    "{c}": '), text(c)) for c in counts.columns])
+    tail = F.concat(closes("edge_count"), F.lit('  "summary": {\n'), tail, F.lit("\n  }\n}"))
+    # the last of each list has no comma: the greatest label, found by an aggregate of one row
+    last_node = nodes.agg(F.max("label").alias("last"))
+    last_edge = edges.agg(F.max(F.struct("source_label", "target_label")).alias("last"))
+    node = _json_object(nodes, {"id": quoted(F.col("id")), "label": quoted(F.col("label"))}, F.col("label") == F.col("last"))
+    sets = {"import_kinds": (KINDS, "kinds"), "target_classes": (CLASSES, "classes"), "target_availabilities": (AVAILABILITIES, "availabilities")}
+    fields = {"source": quoted(F.col("source_label")), "target": quoted(F.col("target_label")), "count": text("count"), "external": text("external")} | {k: _json_set(m, F.col(c)) for k, (m, c) in sets.items()}
+    pair = F.concat("source_label", F.lit("\x00"), "target_label")
+    edge = _json_object(edges, fields, F.struct("source_label", "target_label") == F.col("last"))
+    out = _lines(0, counts, F.lit(""), head).union(_lines(1, nodes.join(F.broadcast(last_node)), F.col("label"), node))
+    out = out.union(_lines(2, counts, F.lit(""), middle)).union(_lines(3, edges.join(F.broadcast(last_edge)), pair, edge))
+    return out.union(_lines(4, counts, F.lit(""), tail))
+
+
 def write(lines: DataFrame, path: str) -> None:
-    """One text file, in order; a report's lines pass one task, which sorts and spills."""
-    lines.orderBy("part", "label").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Text files in order: lines are range-partitioned, so no task sees a whole report; joined by name they are it."""
+    lines.repartitionByRange("part", "label").sortWithinPartitions("part", "label").select("line").write.mode("overwrite").text(path)

@@ -22,5 +22,10 @@ def streaming_edges(references: DataFrame) -> DataFrame:
 
 
 def watch(references: DataFrame, check, sink, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Run check (a rule over edges) on the edges that each batch changed; sink gets (violations, batch id)."""
+    """Run check on the edges that each batch changed; sink gets (violations, batch id).
+
+    check sees these edges alone, so it has to judge row by row, such as a layer policy, a name or an
+    external target. Rules that look at other edges too (subjects, cycles, coupling) need the whole
+    table: write streaming_edges out and check that.
+    """
     return streaming_edges(references).writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda edges, k: sink(check(edges), k)).start()

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -182,6 +184,12 @@ def test_reports(spark, tmp_path):
     assert text(reports.mermaid(nodes, edges, "t")) == '%% t\nflowchart LR\n  n0["a&quot;b"]\n  n1["c"]\n  n0 -.->|2| n1'
     assert text(reports.csv(nodes, edges)).split("\n")[1] == '"a""b",c,2,true,"zig_file|embedded_file","resource","resolved"'
     assert '"kinds":["zig_file","embedded_file"]' in text(reports.json_lines(nodes, edges))
+    document = "\n".join(r.line for r in reports.json_document(nodes, edges, spark.createDataFrame([(2, 1, 2, 2)], "node_count long, edge_count long, raw_edge_count long, external_edge_count long"), 't"').orderBy("part", "label").collect())
+    edge = {"source": 'a"b', "target": "c", "count": 2, "external": True, "import_kinds": ["zig_file", "embedded_file"], "target_classes": ["resource"], "target_availabilities": ["resolved"]}
+    whole = {"title": 't"', "nodes": [{"id": "n0", "label": 'a"b'}, {"id": "n1", "label": "c"}], "edges": [edge], "summary": {"node_count": 2, "edge_count": 1, "raw_edge_count": 2, "external_edge_count": 2}}
+    assert document == json.dumps(whole, indent=2)
+    none = spark.createDataFrame([(0, 0, 0, 0)], "node_count long, edge_count long, raw_edge_count long, external_edge_count long")
+    assert json.loads("\n".join(r.line for r in reports.json_document(nodes.limit(0), edges.limit(0), none).orderBy("part", "label").collect()))["edges"] == []
     with pytest.raises(PySparkException):
         reports.mermaid(nodes.where("id = 'n0'"), edges, "t").collect()
     reports.write(reports.csv(nodes, edges), str(tmp_path / "out"))
