@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidOptions
-from edgeloom.functions.patterns import all_of
+from edgeloom.functions.patterns import all_of, extension, folder, stem
 
 COMPARISONS = {
     "below": lambda a, b: a < b,
@@ -123,6 +123,14 @@ def line_counts(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return files.select(F.col(id_col), F.octet_length(text).cast("long").alias("bytes"), lines.cast("long").alias("source_lines"), non_blank.cast("long").alias("non_blank_lines"))
 
 
+def file_view(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """(path, stem, extension, directory, bytes, source_lines, non_blank_lines): all that is known of a file, in one pass."""
+    path = F.col(path_col)
+    counts = line_counts(files, path_col, text_col)
+    names = [stem(path).alias("stem"), extension(path).alias("extension"), F.when(F.instr(path, "/") > 0, folder(path)).otherwise("").alias("directory")]
+    return counts.select(path.alias("path"), *names, "bytes", "source_lines", "non_blank_lines")
+
+
 def import_summary(references: DataFrame, kinds: list[str]) -> DataFrame:
     """(source, total, one count per kind) in one aggregation."""
     return references.groupBy("source").agg(F.count("*").alias("total"), *[F.count_if(F.col("kind_name") == k).alias(k) for k in kinds])

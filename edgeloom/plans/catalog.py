@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.patterns import FILENAME, FOLDER, all_of, collapse_folder, collapse_pattern, glob, normalize_path, regex
 from edgeloom.model import CATEGORIES, CLASSES, KINDS, names_of
-from edgeloom.operators import graph, layers, metrics, ordering, rules, slices, traversal, violations
+from edgeloom.operators import checks, graph, layers, metrics, ordering, rules, slices, traversal, violations
 from edgeloom.sources import projects, tables, workspaces
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,3 +597,33 @@ def violation_text(spark, sf_dir):
 def component_order(spark, sf_dir):
     found = traversal.strong_components(_as_edges(_regions(spark, sf_dir))).groupBy("component").agg(F.count("*").alias("n"))
     return ordering.numbered(found, "component")
+
+
+@query("""SELECT lang || '/' || coalesce(source, '') || '/' || doc_id || '.txt' AS path, CAST(doc_id AS VARCHAR) AS stem, '.txt' AS extension, lang || '/' || coalesce(source, '') AS directory, strlen(coalesce(text, '')) AS bytes,
+  len(string_split(coalesce(text, ''), chr(10))) - CASE WHEN coalesce(text, '') = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS source_lines,
+  len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \\t\\r\\x0B\\f]'))) AS non_blank_lines FROM documents""")
+def file_view(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat("lang", F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return metrics.file_view(rows.select(path.alias("path"), F.col("text").alias("content")))
+
+
+@query("""SELECT kind, heading, count(*) AS n, min(details) AS first_details FROM (
+  SELECT 'matching' AS kind, 'File pattern violation' AS heading, 'Rule: project files, in path "ASIA/**" should match filename "Customer#*6"' || chr(10) || 'File: ' || path AS details FROM files WHERE path LIKE 'ASIA/%' AND NOT regexp_matches(path, '6$')
+  UNION ALL SELECT 'empty_test', 'Empty test violation', 'Rule: project files, in path "ATLANTIS/**" should only depend on files, in path "ASIA/**"' || chr(10) || 'Rule id: files.depend_on_files' || chr(10) || 'Reason: no files matched the rule scope'
+  UNION ALL SELECT 'layer_dependency', 'Layer dependency violation', 'Rule: layers top, middle, base should hold their policies' || chr(10) || 'Dependency: ' || source || ' -> ' || target || chr(10) || 'Source layer: ' || source_layer || chr(10) || 'Target layer: ' || target_layer || chr(10) || 'Policy: may_only_depend_on_layers'
+    FROM placed WHERE source_layer = 'top' AND target_layer = 'base'
+  UNION ALL SELECT 'metric', 'Metric threshold violation', 'Rule: efferent should be below or equal 10' || chr(10) || 'Subject: ' || label || chr(10) || 'Expected: below or equal 10' || chr(10) || 'Actual: ' || efferent FROM coupled WHERE efferent > 10
+  UNION ALL SELECT 'slice_dependency', 'Slice dependency violation', 'Rule: slices should not contain dependency "ASIA" -> "EUROPE"' || chr(10) || 'Dependency: ASIA -> EUROPE' || chr(10) || 'Edges: ' || count(*) FROM edges WHERE NOT external AND source LIKE 'ASIA/%' AND target LIKE 'EUROPE/%' HAVING count(*) > 0)
+  GROUP BY kind, heading""", _PLACED + _COUPLING)
+def checked_rules(spark, sf_dir):
+    """Five checks together, one of which selects nothing: as many violations of each kind, and the first."""
+    edges = _edges(spark, sf_dir)
+    found = checks.all_checks(
+        checks.have_field(edges, SIX, [[ASIA]]),
+        checks.depend_on_files(edges, [[glob("ATLANTIS/**")]], [[ASIA]]),
+        checks.adhere_to_layers(edges, LAYERS, [layers.Policy("top", ("middle",))]),
+        checks.threshold(metrics.coupling(edges), "efferent", "below_or_equal", 10),
+        checks.contain_dependency(edges, lambda c: slices.by_regex(c, "^([^/]+)/"), "ASIA", "EUROPE", should=False),
+    )
+    return found.groupBy("kind", "heading").agg(F.count("*").alias("n"), F.min("details").alias("first_details"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidDiagram, InvalidLayer, InvalidOptions
 from edgeloom.functions.patterns import collapse_folder, glob, regex
-from edgeloom.operators import graph, layers, metrics, ordering, rules, slices, traversal, violations
+from edgeloom.operators import checks, graph, layers, metrics, ordering, rules, slices, traversal, violations
 from edgeloom.operators.components import components
 
 REFERENCES = "source string, target string, external boolean, kind int, class int, availability int, location struct<byte_offset: bigint, line: bigint, column: bigint>"
@@ -199,6 +199,41 @@ def test_cycles_limit_holds_for_strong_components_only(spark):
     assert traversal.cycles(edges_of(spark, acyclic), limit=2).count() == 0
 
 
+def test_every_check_has_the_guard(spark):
+    edges = edges_of(spark, [("ui/a", "db/b"), ("db/b", "ui/a")], [("ui/a", "curses")], files=["ui/a", "db/b"])
+    gone, label = [[glob("gone/*")]], lambda c: slices.by_regex(c, "^([a-z]+)/")
+    stack = [layers.Layer("ui", (glob("ui/*"),)), layers.Layer("lost", (glob("lost/*"),))]
+    empty = edges.limit(0)
+    guarded = [
+        lambda **k: checks.have_field(edges, glob("x"), gone, **k),
+        lambda **k: checks.depend_on_files(edges, gone, [[glob("ui/*")]], **k),
+        lambda **k: checks.depend_on_external(edges, [glob("x")], gone, **k),
+        lambda **k: checks.have_no_cycles(edges, gone, **k),
+        lambda **k: checks.adhere_to(edges.select(F.col("source").alias("path")), F.lit(False), "x", gone, **k),
+        lambda **k: checks.adhere_to_layers(edges, stack, [layers.Policy("lost", ("ui",))], **k),
+        lambda **k: checks.contain_dependency(empty, label, "ui", "db", should=False, **k),
+        lambda **k: checks.adhere_to_diagram(empty, label, "@startuml\n@enduml", **k),
+        lambda **k: checks.threshold(metrics.coupling(empty), "efferent", "below", 2, **k),
+        lambda **k: checks.satisfy(metrics.coupling(empty), F.lit(True), "x", **k),
+    ]
+    for check in guarded:
+        assert [r.kind for r in check().collect()] == ["empty_test"] and check(allow_empty=True).count() == 0
+    found = checks.all_checks(
+        checks.have_field(edges, glob("ui/*")),
+        checks.depend_on_files(edges, [[glob("ui/*")]], [[glob("ui/*")]]),
+        checks.depend_on_external(edges, [glob("curses")], should=False),
+        checks.have_no_cycles(edges),
+        checks.contain_dependency(edges, label, "db", "none"),
+        checks.adhere_to_diagram(edges, label, "@startuml\n[ui] --> [db]\n@enduml", ignore_external=True),
+        checks.threshold(metrics.coupling(edges), "efferent", "below", 1),
+        checks.satisfy(metrics.coupling(edges), F.col("label") == "ui/a", "being a"),
+    ).collect()
+    assert sorted(r.kind for r in found) == ["cycle", "external_dependency", "file_dependency", "matching", "metric", "metric", "metric_predicate", "slice_dependency", "slice_dependency"]
+    assert [(r.sort_key, r.heading, r.details) for r in found] == sorted((r.sort_key, r.heading, r.details) for r in found)
+    with pytest.raises(InvalidOptions):
+        checks.all_checks()
+
+
 def test_layers(spark):
     edges = edges_of(spark, [("ui/a", "app/b"), ("app/b", "db/c"), ("db/c", "ui/a"), ("ui/a", "loose")], files=["ui/a"])
     stack = [layers.Layer(n, (glob(f"{n}/*"),)) for n in ("ui", "app", "db")]
