@@ -24,6 +24,8 @@ from edgeloom.llm import textkernels as K
 from edgeloom.llm.common import small_batches
 
 HASH_BITS, BINS, FACTORS, SAMPLE, EPOCHS = 14, 12, 8, 6000, 12
+#: Text that is worked on at a time; the temporaries take some 80 bytes a byte.
+SLICE_BYTES = 1 << 20
 
 _UPPER, _LETTER, _DIGIT = (np.array([a <= b < a + n for b in range(256)]) for a, n in ((0x41, 26), (0x61, 26), (0x30, 10)))
 _SIGN = np.array([0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) not in ".,'-" for b in range(256)])
@@ -196,21 +198,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            data, offs = K.text_bytes(batch.column(2))
-            stats, words, hashes = statistics(data, offs)
-            doc, slot, value = _hashed(words, hashes, len(stats))
-            cuts = np.searchsorted(doc, np.arange(len(stats) + 1))
-            full = np.column_stack([stats, _meta(batch.columns[3:])]) if meta_cols else stats
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([x.tobytes() for x in full], pa.binary()),
-                    pa.array([slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    pa.array([value[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                ],
-                names=["id", "label", "stats", "slots", "counts"],
-            )
+            for lo, hi in K.slices(batch.num_rows, K.text_bytes(batch.column(2))[1], SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                data, offs = K.text_bytes(part.column(2))
+                stats, words, hashes = statistics(data, offs)
+                doc, slot, value = _hashed(words, hashes, len(stats))
+                cuts = np.searchsorted(doc, np.arange(len(stats) + 1))
+                full = np.column_stack([stats, _meta(part.columns[3:])]) if meta_cols else stats
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array([x.tobytes() for x in full], pa.binary()),
+                        pa.array([slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                        pa.array([value[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    ],
+                    names=["id", "label", "stats", "slots", "counts"],
+                )
 
     features = rows.mapInArrow(run, f"id {kind}, label int, stats binary, slots binary, counts binary")
     got = features.groupBy("id", "label").agg(F.min(F.struct("stats", "slots", "counts")).alias("f")).select("label", "f.*").collect()  # at most 2 * sample rows
@@ -237,7 +241,7 @@ def scorer(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols:
         columns, out = _meta(meta), [np.zeros(0)]
         if not len(shared.value.edges):
             return pa.array(np.full(len(text), 0.5))
-        for lo, hi in K.slices(len(text), offs):
+        for lo, hi in K.slices(len(text), offs, SLICE_BYTES):
             part = columns[lo:hi] if meta else np.zeros((hi - lo, 0))
             out.append(shared.value.score(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], part))
         return pa.array(np.concatenate(out))
