@@ -20,8 +20,9 @@ def quote(text: str) -> str:
 
 
 def normalize_path(path: Column) -> Column:
-    """Separators as single slashes; . and .. stay."""
-    return F.regexp_replace(path, r"[/\\]+", "/")
+    """Separators as single slashes; . and .. stay. Paths that are normal already meet no regex."""
+    odd = F.contains(path, F.lit("\\")) | F.contains(path, F.lit("//"))
+    return F.when(odd, F.regexp_replace(path, r"[/\\]+", "/")).otherwise(path)
 
 
 def basename(path: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidDiagram, InvalidPattern
 from edgeloom.functions.patterns import check_regex, glob_regex, stem
-from edgeloom.operators.graph import per_internal_edge
 
 
 def by_pattern(path: Column, pattern: str) -> Column:
@@ -142,6 +141,3 @@ def diagram_of(edges: DataFrame, label) -> str:
     names = slice_labels(edges, label).collect()
     return render_diagram(sorted(r.label for r in names), sorted((r.source_label, r.target_label) for r in found))
 
-
-def internal_slice_edges(edges: DataFrame, label) -> DataFrame:
-    return slice_edges(per_internal_edge(edges), label)

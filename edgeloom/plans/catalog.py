@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -555,6 +556,20 @@ def projected_coupling(spark, sf_dir):
     return metrics.projected_coupling(_edges(spark, sf_dir), lambda c: slices.by_regex(c, "^[^/]+/([^/]+)/"))
 
 
+@query(f"""SELECT l AS label, n * 1000 + (SELECT count(*) FROM np WHERE a = l) AS weighted FROM (SELECT {_NATION.format('path')} AS l, count(*) AS n FROM files GROUP BY l) WHERE l LIKE 'NATION_1%'""", f""",
+np AS (SELECT DISTINCT {_NATION.format('source')} AS a, {_NATION.format('target')} AS b FROM edges WHERE NOT external AND {_NATION.format('source')} <> {_NATION.format('target')})""")
+def projected_custom_metric(spark, sf_dir):
+    """A metric of the caller's over projected subjects, as a pandas UDF, and the subjects that a predicate rejects."""
+
+    @F.pandas_udf("long")
+    def weigh(files: pd.Series, efferent: pd.Series) -> pd.Series:
+        return files * 1000 + efferent
+
+    found = metrics.projected_coupling(_edges(spark, sf_dir), lambda c: slices.by_regex(c, "^[^/]+/([^/]+)/"))
+    weighted = metrics.custom_metric(found, "weighted", weigh("source_file_count", "efferent"))
+    return metrics.satisfy(weighted, ~F.startswith("label", F.lit("NATION_1"))).select("label", "weighted")
+
+
 @query("SELECT source AS source_label, target AS target_label, count(*) AS count, bool_and(external) AS external FROM edges WHERE source LIKE 'ASIA/%' AND NOT source LIKE '%/FURNITURE/%' AND (external OR (source <> target AND target LIKE 'ASIA/%' AND NOT target LIKE '%/FURNITURE/%')) GROUP BY source, target")
 def slice_identity_except(spark, sf_dir):
     furniture = glob("**/FURNITURE/**")

@@ -6,6 +6,7 @@ ignore comments, resolution and normalization are DataFrame operations on its ro
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -119,24 +120,43 @@ def within_boundary(rows: DataFrame, everything: DataFrame | None = None) -> Dat
     return rows.join(inner, "path", "left_anti")
 
 
+def _without_links(base: str, paths: list[str]) -> list[str]:
+    """The paths below a local folder that no symbolic link leads to."""
+    known: dict[str, bool] = {"": False}
+
+    def linked(p: str) -> bool:
+        if p not in known:
+            known[p] = linked(p.rpartition("/")[0]) or os.path.islink(f"{base}/{p}")
+        return known[p]
+
+    return [p for p in paths if not linked(p)]
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path) of all files under root, of whatever kind, relative to it: what a reference may resolve to."""
+    """(path) of all files under root, of whatever kind, relative to it: what a reference may resolve to.
+
+    In a local file system, the only one that has them, symbolic links to files and directories are
+    passed over.
+    """
     base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
-    return spark.createDataFrame([(re.sub("^[a-z0-9]+:/+", "/", unquote(p))[len(base) + 1 :],) for p in found], "path string")
+    paths = [re.sub("^[a-z0-9]+:/+", "/", unquote(p))[len(base) + 1 :] for p in found]
+    if root.startswith(("file:", "/")):
+        paths = _without_links(base, paths)
+    return spark.createDataFrame([(p,) for p in paths], "path string")
 
 
 def files(spark: SparkSession, root: str, exclusions: tuple[str, ...] = (), default: bool = True, boundary: bool = True, ignore_file: bool = True) -> DataFrame:
     """(path, content) of the .zig and .zon files under root, paths relative to it, empty files included.
 
     Left out are files below a default-excluded directory, those of nested projects, and what the
-    root's ignore file or the given patterns exclude. Links are followed as Spark's listing does.
+    root's ignore file or the given patterns exclude, and what symbolic links lead to.
     """
     base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
     relative = lambda c: F.substring(F.regexp_replace(c, "^[a-z0-9]+:/+", "/"), F.lit(len(base) + 2), F.length(c))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = found.select(relative(F.col("path")).alias("path"), "content")
-    listed = listing(spark, root)  # Spark reads no files of 0 bytes, but lists them
+    listed = listing(spark, root)  # with the files of 0 bytes, which Spark lists but does not read
     rows = rows.unionByName(listed.join(rows.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content")))
     keep = default_exclusions(listed) if default else listed
     keep = exclude(keep, (*exclusions, *(read_ignore_file(spark, root) if ignore_file else ())))

@@ -61,6 +61,13 @@ def test_listing(spark, root):
     assert info["src/api/a.zig"][:3] == ("a", ".zig", "src/api") and info["up.zig"][2] == "" and info["src/empty.zig"][3] == 0
 
 
+def test_links_are_passed_over(spark, root, tmp_path):
+    (tmp_path / "src" / "linked.zig").symlink_to(tmp_path / "up.zig")
+    (tmp_path / "also").symlink_to(tmp_path / "src")
+    assert not [r.path for r in projects.files(spark, root).collect() if "linked" in r.path or r.path.startswith("also")]
+    assert projects.listing(spark, root).where("path LIKE 'also/%'").count() == 0
+
+
 @pytest.mark.parametrize(
     ("pattern", "gone"),
     [
