@@ -29,3 +29,9 @@ def lower_ascii(c: Column) -> Column:
 def partitions_for(spark: SparkSession, n_bytes: float, per_partition: float) -> int:
     """Enough partitions for so many bytes each, never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // per_partition) + 1)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark uses for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

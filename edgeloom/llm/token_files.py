@@ -360,7 +360,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(part, doc_id, offset, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
 
-    offset counts the part's ids before the document; part_starts has those of all parts before.
+    offset counts the part's ids before the document.
     """
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()  # bounded by the vocabulary
     shared = spark.sparkContext.broadcast(np.array([r.id for r in ranks], "<u4"))
@@ -387,18 +387,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "part int, doc_id long, offset long, n_tokens long, ids binary")
 
 
-def part_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, part_start): ids of all parts before, from block heads alone; one row a file is windowed."""
-
-    def run(batches):
-        for batch in batches:
-            sizes = [sum(int(s.sum(dtype=np.int64)) for _, s, _, _ in _blocks(c.as_buffer().to_pybytes())) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["part", "n"])
-
-    totals = _files(spark, path).mapInArrow(run, "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    return totals.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS part_start")
-
-
 def scratch_path(spark: SparkSession) -> str:
     """A new place for token files in the folder that driver and executors share."""
     return f"{shared_folder(spark).rstrip('/')}/{unique_name('token-files')}"
@@ -407,12 +395,15 @@ def scratch_path(spark: SparkSession) -> str:
 def document_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document of the files at path.
 
-    start counts the ids of all documents before. The checksum is taken before the join, so that no
-    ids are shuffled. Null and repeated ids have a row each, documents without words one with the end
-    id alone; files of an empty table give no rows.
+    start counts the ids of all documents before: those of the parts before, of which there is one sum
+    a part, and the offset within. Files are decoded once; a checkpoint holds a narrow row a document
+    and no ids. Null and repeated ids have a row each, documents without words one with the end id
+    alone; files of an empty table give no rows.
     """
-    rows = read_token_files(spark, path).select("part", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return rows.join(part_starts(spark, path), "part").select(F.col("doc_id").alias(id_col), (F.col("part_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    rows = cut(read_token_files(spark, path).select("part", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    starts = totals.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS part_start")  # a row a file
+    return rows.join(starts, "part").select(F.col("doc_id").alias(id_col), (F.col("part_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID) -> DataFrame:
