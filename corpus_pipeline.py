@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm import curriculum, decontaminate, minhash_dedup, quality, token_files
-from edgeloom.llm.common import shared_folder, unique_name
+from edgeloom.llm.common import remove_folder, shared_folder, unique_name
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +47,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written as Parquet and reread by the next."""
+def run(spark: SparkSession, sf_dir: str, keep_tables: bool = False) -> DataFrame:
+    """All stages over documents, each stage's rows written as Parquet and reread by the next.
+
+    A stage's table goes once the next one is written, unless it is to be kept, so that two stand on
+    disk at a time; a stage that fails can be run again on the table before it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark).rstrip('/')}/{unique_name('pipeline')}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        at = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if k and not keep_tables:
+            remove_folder(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
+    return STAGES[-1][1](spark, docs, sf_dir)
