@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.functions.patterns import Filter, all_of, any_of
+from edgeloom.functions.patterns import Filter, all_of, any_of, normalize_path
 from edgeloom.model import AVAILABILITIES, CATEGORIES, CLASSES, KINDS, bit
 from edgeloom.operators.graph import per_external_edge, per_internal_edge
 from edgeloom.operators.traversal import cycles
@@ -15,8 +15,15 @@ from edgeloom.operators.traversal import cycles
 DEFAULT_CATEGORIES = ("package_module", "unresolved_module", "unavailable_module")
 
 
-def subjects(edges: DataFrame, selectors=()) -> DataFrame:
-    """(path) of internal self-edges that all selector calls match."""
+def subjects(edges: DataFrame, selectors=(), files: DataFrame | None = None) -> DataFrame:
+    """(path) of internal self-edges that all selector calls match.
+
+    files(path), where it is at hand, is the same rows without a look at the references: every file
+    has a self-edge, and no other node.
+    """
+    if files is not None:
+        path = normalize_path(F.col("path"))
+        return files.where(all_of(selectors, path)).select(path.alias("path")).distinct()
     return edges.where((~F.col("external")) & (F.col("source") == F.col("target")) & all_of(selectors, F.col("source"))).select(F.col("source").alias("path"))
 
 
@@ -31,19 +38,19 @@ def empty_guard(selected: DataFrame, rule_id: str, negated: bool = False, allow_
     return none.select(F.lit(rule_id).alias("rule_id"), F.lit(negated).alias("is_negated"))
 
 
-def have_field(edges: DataFrame, pattern: Filter, selectors=(), should: bool = True) -> DataFrame:
+def have_field(edges: DataFrame, pattern: Filter, selectors=(), should: bool = True, files: DataFrame | None = None) -> DataFrame:
     """(path) of subjects whose field does not match (should) or does (should not)."""
     holds = pattern.matches(F.col("path"))
-    return subjects(edges, selectors).where(~holds if should else holds)
+    return subjects(edges, selectors, files).where(~holds if should else holds)
 
 
 def _grouped(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.count("*").alias("n_edges"), F.array_join(F.array_sort(F.collect_set("target")), "|").alias("targets"))
 
 
-def depend_on_files(edges: DataFrame, subject_selectors=(), object_selectors=(), should: bool = True) -> DataFrame:
+def depend_on_files(edges: DataFrame, subject_selectors=(), object_selectors=(), should: bool = True, files: DataFrame | None = None) -> DataFrame:
     """(source, n_edges, targets): direct internal edges outside the objects (should) or into them (should not)."""
-    of_subjects = per_internal_edge(edges).join(subjects(edges, subject_selectors).select(F.col("path").alias("source")), "source", "left_semi")
+    of_subjects = per_internal_edge(edges).join(subjects(edges, subject_selectors, files).select(F.col("path").alias("source")), "source", "left_semi")
     allowed = objects(edges, object_selectors).select(F.col("path").alias("target"))
     return _grouped(of_subjects.join(allowed, "target", "left_anti" if should else "left_semi"))
 
@@ -63,17 +70,17 @@ def category(edge_kinds: Column, edge_classes: Column, availabilities: Column) -
     return compiler.bitwiseOR(header).bitwiseOR(resource).bitwiseOR(package).bitwiseOR(unresolved).bitwiseOR(away)
 
 
-def external_candidates(edges: DataFrame, subject_selectors=(), categories=DEFAULT_CATEGORIES) -> DataFrame:
+def external_candidates(edges: DataFrame, subject_selectors=(), categories=DEFAULT_CATEGORIES, files: DataFrame | None = None) -> DataFrame:
     """External edges of the subjects within the enabled categories, with their category mask."""
-    of_subjects = per_external_edge(edges).join(subjects(edges, subject_selectors).select(F.col("path").alias("source")), "source", "left_semi")
+    of_subjects = per_external_edge(edges).join(subjects(edges, subject_selectors, files).select(F.col("path").alias("source")), "source", "left_semi")
     found = of_subjects.withColumn("category", category(F.col("kinds"), F.col("classes"), F.col("availabilities")))
     return found.where(F.col("category").bitwiseAND(bit(CATEGORIES, *categories)) != 0)
 
 
-def depend_on_external(edges: DataFrame, filters, subject_selectors=(), categories=DEFAULT_CATEGORIES, should: bool = True) -> DataFrame:
+def depend_on_external(edges: DataFrame, filters, subject_selectors=(), categories=DEFAULT_CATEGORIES, should: bool = True, files: DataFrame | None = None) -> DataFrame:
     """(source, n_edges, targets): external edges outside the filters (should) or within (should not)."""
     holds = any_of(filters, F.col("target"))
-    return _grouped(external_candidates(edges, subject_selectors, categories).where(~holds if should else holds))
+    return _grouped(external_candidates(edges, subject_selectors, categories, files).where(~holds if should else holds))
 
 
 def have_no_cycles(edges: DataFrame, selectors=(), limit: int = 20_000) -> DataFrame:

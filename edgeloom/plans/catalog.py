@@ -112,17 +112,17 @@ def project_nodes(spark, sf_dir):
 
 @query("SELECT source AS path FROM edges WHERE NOT external AND source = target AND NOT regexp_matches(source, '6$')")
 def have_name(spark, sf_dir):
-    return rules.have_field(_edges(spark, sf_dir), SIX)
+    return rules.have_field(_edges(spark, sf_dir), SIX, files=tables.files(spark, sf_dir))
 
 
 @query("SELECT source AS path FROM edges WHERE NOT external AND source = target AND source LIKE 'ASIA/%' AND source LIKE '%/MACHINERY/%'")
 def be_in_folder(spark, sf_dir):
-    return rules.have_field(_edges(spark, sf_dir), MACHINERY, [[ASIA]], should=False)
+    return rules.have_field(_edges(spark, sf_dir), MACHINERY, [[ASIA]], should=False, files=tables.files(spark, sf_dir))
 
 
 @query("SELECT source AS path FROM edges WHERE NOT external AND source = target AND NOT regexp_matches(source, 'NATION_1[0-4]/')")
 def be_in_path(spark, sf_dir):
-    return rules.have_field(_edges(spark, sf_dir), regex("NATION_1[0-4]/"))
+    return rules.have_field(_edges(spark, sf_dir), regex("NATION_1[0-4]/"), files=tables.files(spark, sf_dir))
 
 
 _GROUPED = "SELECT source, count(*) AS n_edges, string_agg(DISTINCT target, '|' ORDER BY target) AS targets FROM edges WHERE {} GROUP BY source"
@@ -130,12 +130,12 @@ _GROUPED = "SELECT source, count(*) AS n_edges, string_agg(DISTINCT target, '|'
 
 @query(_GROUPED.format("NOT external AND source <> target AND source LIKE 'ASIA/%' AND NOT (target LIKE 'ASIA/%' OR target LIKE 'EUROPE/%')"))
 def depend_on_files_allow(spark, sf_dir):
-    return rules.depend_on_files(_edges(spark, sf_dir), [[ASIA]], [[ASIA, EUROPE]])
+    return rules.depend_on_files(_edges(spark, sf_dir), [[ASIA]], [[ASIA, EUROPE]], files=tables.files(spark, sf_dir))
 
 
 @query(_GROUPED.format("NOT external AND source <> target AND source LIKE 'ASIA/%' AND target LIKE 'EUROPE/%'"))
 def depend_on_files_block(spark, sf_dir):
-    return rules.depend_on_files(_edges(spark, sf_dir), [[ASIA]], [[EUROPE]], should=False)
+    return rules.depend_on_files(_edges(spark, sf_dir), [[ASIA]], [[EUROPE]], should=False, files=tables.files(spark, sf_dir))
 
 
 _PACKAGE = "external AND (kinds & 4) <> 0 AND (classes & 2) <> 0"
@@ -143,13 +143,13 @@ _PACKAGE = "external AND (kinds & 4) <> 0 AND (classes & 2) <> 0"
 
 @query(_GROUPED.format(f"{_PACKAGE} AND source LIKE 'ASIA/%' AND NOT regexp_matches(target, '^Brand#1[^/]*$')"))
 def external_allow(spark, sf_dir):
-    return rules.depend_on_external(_edges(spark, sf_dir), [glob("Brand#1*")], [[ASIA]])
+    return rules.depend_on_external(_edges(spark, sf_dir), [glob("Brand#1*")], [[ASIA]], files=tables.files(spark, sf_dir))
 
 
 @query(_GROUPED.format("external AND (classes & 28) <> 0 AND source LIKE 'ASIA/%' AND target IN ('Brand#3', 'Brand#7')"))
 def external_block(spark, sf_dir):
     wider = ("compiler_module", "c_header", "resource")
-    return rules.depend_on_external(_edges(spark, sf_dir), [glob("Brand#[37]")], [[ASIA]], wider, should=False)
+    return rules.depend_on_external(_edges(spark, sf_dir), [glob("Brand#[37]")], [[ASIA]], wider, should=False, files=tables.files(spark, sf_dir))
 
 
 @query("""SELECT c AS category, count(*) AS n_edges FROM (
