@@ -30,15 +30,16 @@ END_ID = 2
 PART_BYTES = 16 << 20
 BLOCK_IDS = 1 << 20
 CACHED_PIECES = 800_000
-_RECENT = 1 << 16
 _MAGIC = b"ELT1"
 _NULL_ID = -(2**63)
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
-# Where a text may be cut without any token crossing the cut: at white space, and between ASCII
-# letters, digits and other ASCII signs. Bytes from 0x80 on (they may combine), the apostrophe
+# Where a text may be cut without any token crossing the cut: at white space, and between letters,
+# digits and other ASCII signs. Letters are those of ASCII and the Latin ones of two bytes that the
+# tokenizer is found to take like them. All other bytes from 0x80 on (they may combine), the apostrophe
 # (contractions) and < and | (names of special tokens) stay with both neighbours.
 _SPACE, _LETTER, _DIGIT, _SIGN, _GLUE = range(5)
+_LATIN = range(0xC0, 0x250)
 
 
 def _kind(b: int) -> int:
@@ -52,13 +53,20 @@ def _kind(b: int) -> int:
 _KIND = np.array([_kind(b) for b in range(256)], np.uint8)
 
 
-def _pieces(data: np.ndarray, offs: np.ndarray) -> tuple[K.Words, np.ndarray]:
-    """Pieces that can be encoded each for itself; whether a piece holds bytes that stay glued."""
+def _pieces(data: np.ndarray, offs: np.ndarray, latin: np.ndarray) -> tuple[K.Words, np.ndarray]:
+    """Pieces that can be encoded each for itself; whether a piece holds bytes that stay glued.
+
+    latin tells, by the lead byte less 0xC0 and the six bits of the second, which letters of two bytes
+    count as letters.
+    """
     n = len(data)
     if n == 0:
         zero = np.zeros(0, np.int64)
         return K.Words(zero, zero, np.zeros(len(offs), np.int64)), np.zeros(0, bool)
     kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    lead = lead[latin[data[lead] - 0xC0, data[lead + 1] & 0x3F]]
+    kind[lead] = kind[lead + 1] = _LETTER
     before, here = kind[:-1], kind[1:]
     new = np.ones(n, bool)
     new[1:] = (before != here) & (before != _GLUE) & (here != _GLUE) | (before == _SPACE) | ((here == _DIGIT) & (before == _DIGIT))
@@ -70,10 +78,39 @@ def _pieces(data: np.ndarray, offs: np.ndarray) -> tuple[K.Words, np.ndarray]:
     stop[offs[(offs > 0) & (offs < n)]] = True
     cuts = np.append(np.flatnonzero(stop), n)
     end = cuts[np.searchsorted(cuts, start, side="right")]
-    glue = np.concatenate(([0], np.cumsum(kind == _GLUE)))
+    glue = np.concatenate(([0], np.cumsum(kind == _GLUE, dtype=np.int32)))
     return K.Words(start, end, np.searchsorted(start, offs)), glue[end] > glue[start]
 
 
+class _Table:
+    """Slots by 64-bit key, in open addressing: a place, then the ones behind it."""
+
+    def __init__(self, most: int):
+        bits = max(8, int(2 * most).bit_length())
+        self.keys, self.slots, self.mask = np.zeros(1 << bits, K.U64), np.full(1 << bits, -1, np.int32), K.U64((1 << bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for an absent one."""
+        out, open_, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), keys & self.mask
+        while len(open_):
+            slots, same = self.slots[at], self.keys[at] == keys[open_]
+            found = same & (slots >= 0)
+            out[open_[found]] = slots[found]
+            on = ~same & (slots >= 0)
+            open_, at = open_[on], (at[on] + K.U64(1)) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Enter different keys, none of which is there."""
+        open_, at = np.arange(len(keys)), keys & self.mask
+        while len(open_):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = slots[open_[free]]  # of several for one place, the last stays
+            entered = free & (self.slots[at] == slots[open_])
+            self.keys[at[entered]] = keys[open_[entered]]
+            open_, at = open_[~entered], (at[~entered] + K.U64(1)) & self.mask
+
+
 class Encoder:
     """A tokenizer of the tokenizers library with the ids of recent pieces kept, at most so many."""
 
@@ -87,15 +124,27 @@ class Encoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.latin = self._latin_letters() if suffix else np.zeros((16, 64), bool)
         self.splits = bool(suffix) and self._cuts_hold()
         self.clear()
 
+    def _latin_letters(self) -> np.ndarray:
+        """The letters of two bytes that stand in a word like those of ASCII: not cut there, but before and behind a sign."""
+        out = np.zeros((16, 64), bool)
+        for code in (c for c in _LATIN if chr(c).isalpha()):
+            c = chr(code)
+            ids = self._ids([f"a{c}b", f"{c}", f"{c},", f",{c}", ",", f"1{c}", f"{c}1", "1"])
+            one = all(self.ends[x].sum() == 1 and self.ends[x[-1]] for x in (ids[0], ids[1]) if x) and ids[0] and ids[1]
+            if one and ids[2] == ids[1] + ids[4] and ids[3] == ids[4] + ids[1] and ids[5] == ids[7] + ids[1] and ids[6] == ids[1] + ids[7]:
+                out[(0xC0 | code >> 6) - 0xC0, code & 0x3F] = True
+        return out
+
     def _cuts_hold(self) -> bool:
         """Whether this tokenizer drops white space and cuts where _pieces does, tried at each ASCII sign."""
         signs = [chr(b) for b in range(0x21, 0x7F) if _KIND[b] == _SIGN]
         probe = "Ab, cd!! 12x e3.\n(f) gh " + " ".join(f"a{c}B {c}1{c}2{c}{c}z {d}{c}" for c, d in zip(signs, signs[1:] + signs[:1], strict=True))
         data = np.frombuffer(probe.encode(), np.uint8)
-        words, _ = _pieces(data, np.array([0, len(data)]))
+        words, _ = _pieces(data, np.array([0, len(data)]), self.latin)
         parts = [probe[a:b].lower() for a, b in zip(words.start, words.end, strict=True)]
         return self._ids([probe])[0] == [i for x in self._ids(parts) for i in x]
 
@@ -103,57 +152,38 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        """Slots hold a piece's ids; keys find slots in two sorted tables, a long one and a recent one."""
-        none, slots = np.zeros(0, K.U64), np.zeros(0, np.int32)
-        self.tables = [(none, slots), (none, slots)]
-        self.size, self.at, self.slots = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
+        """A slot holds a piece: its ids and, to compare, its length, its bytes and whether it is glued."""
+        self.table, self.slots = _Table(self.cached), 0
+        self.size, self.at = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.length, self.byte = np.zeros(1024, np.int32), np.zeros(1024, np.int64)
+        self.length, self.byte, self.glued = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(1024, bool)
         self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 for a new one."""
-        out = np.full(len(keys), -1, np.int32)
-        for known, slots in self.tables:
-            if len(known):
-                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[i] == keys
-                out[hit] = slots[i[hit]]
-        return out
-
-    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, content: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, content: np.ndarray, glued: np.ndarray) -> None:
         k, n = self.slots, len(keys)
         while k + n > len(self.size):
-            for name in ("size", "at", "length", "byte"):
-                setattr(self, name, np.resize(getattr(self, name), 2 * len(self.size)))
+            for name in ("size", "at", "length", "byte", "glued"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * len(getattr(self, name))))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while self.filled + len(content) > len(self.bytes):
             self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
         self.flat[self.used : self.used + len(ids)] = ids
         self.bytes[self.filled : self.filled + len(content)] = content
-        self.size[k : k + n], self.length[k : k + n] = sizes, lengths
+        self.size[k : k + n], self.length[k : k + n], self.glued[k : k + n] = sizes, lengths, glued
         self.at[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.byte[k : k + n] = self.filled + np.cumsum(lengths) - lengths
+        self.table.add(keys, np.arange(k, k + n, dtype=np.int32))
         self.slots, self.used, self.filled = k + n, self.used + len(ids), self.filled + len(content)
-        self.added.append((keys, np.arange(k, k + n, dtype=np.int32)))
-
-    def _file(self) -> None:
-        """Sort what was added into the recent table, and that into the long one once it has grown."""
-        merge = lambda parts: (lambda k, s: (lambda o: (k[o], s[o]))(np.argsort(k)))(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        self.tables[1] = merge([self.tables[1], *self.added])
-        if len(self.tables[1][0]) > _RECENT:
-            self.tables = [merge(self.tables), (self.tables[1][0][:0], self.tables[1][1][:0])]
 
     def _learn(self, keys: np.ndarray, lengths: np.ndarray, content: np.ndarray, glued: np.ndarray) -> None:
         """Encode new pieces: plain ones many at once, told apart by the ids that end a word."""
-        self.added: list[tuple[np.ndarray, np.ndarray]] = []
         cuts = np.concatenate(([0], np.cumsum(lengths)))
         raw = content.tobytes()
         pieces = [raw[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
         def add(some, sizes, ids):
-            self._add(keys[some], sizes, ids, lengths[some], content[_spans(cuts[:-1][some], lengths[some])])
+            self._add(keys[some], sizes, ids, lengths[some], content[_spans(cuts[:-1][some], lengths[some])], glued[some])
 
         def each(some):
             if some:
@@ -161,16 +191,15 @@ class Encoder:
                 add(some, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], np.uint32))
 
         plain = np.flatnonzero(~glued).tolist()
-        for a in range(0, len(plain), 512):
-            some = plain[a : a + 512]
-            ids = np.array(self._ids([" ".join([pieces[i] for i in some])])[0], np.uint32)
+        for a in range(0, len(plain), 4096):
+            some = plain[a : a + 4096]
+            ids = np.array([i for x in self._ids([" ".join([pieces[i] for i in some[b : b + 512]]) for b in range(0, len(some), 512)]) for i in x], np.uint32)
             sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(sizes) == len(some):
                 add(some, sizes, ids)
             else:
                 each(some)
         each(np.flatnonzero(glued).tolist())
-        self._file()
 
     def _whole(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids = self._ids([data[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
@@ -179,12 +208,14 @@ class Encoder:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count of each text): the library's ids of whole texts.
 
-        Pieces are looked up by hash, then compared byte by byte with the piece that was encoded; if
-        any differs from it, the texts are encoded whole.
+        Pieces are looked up by hash, then compared with the piece that was encoded: by length and
+        kind, and byte by byte over 8 bytes, up to which equal hashes of one length and kind are
+        equal bytes (one block is mixed, and mixing is one to one). If any piece differs, the texts
+        are encoded whole.
         """
         if not self.splits:
             return self._whole(data, offs)
-        words, glued = _pieces(data, offs)
+        words, glued = _pieces(data, offs, self.latin)
         lower = K.LOWER[data]
         keys = K.word_hashes(lower, words.start, words.end)
         keys[glued] = K.word_hashes(data, words.start[glued], words.end[glued], seed=1)
@@ -192,19 +223,27 @@ class Encoder:
         if self.slots + len(unique) > self.cached:
             self.clear()
         lengths = words.end - words.start
-        at = np.cumsum(lengths) - lengths
-        source = _spans(words.start, lengths)
-        content = np.where(np.repeat(glued, lengths), data[source], lower[source])
-        slots = self._find(unique)
+
+        def content(some):
+            """The bytes of some pieces, one after the other: lower-cased unless glued."""
+            at = _spans(words.start[some], lengths[some])
+            out, raw = lower[at], np.repeat(glued[some], lengths[some])
+            out[raw] = data[at[raw]]
+            return out
+
+        slots = self.table.find(unique)
         fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             place = np.zeros(len(unique), np.int64)
             place[code] = np.arange(len(code))
             place = place[fresh]
-            self._learn(unique[fresh], lengths[place], content[_spans(at[place], lengths[place])], glued[place])
-            slots = self._find(unique)
+            self._learn(unique[fresh], lengths[place], content(place), glued[place])
+            slots[fresh] = self.table.find(unique[fresh])
         slot = slots[code]
-        if (self.length[slot] != lengths).any() or (self.bytes[_spans(self.byte[slot], lengths)] != content).any():
+        if (self.length[slot] != lengths).any() or (self.glued[slot] != glued).any():
+            return self._whole(data, offs)
+        long = np.flatnonzero(lengths > 8)
+        if (self.bytes[_spans(self.byte[slot[long]], lengths[long])] != content(long)).any():
             return self._whole(data, offs)
         size = self.size[slot].astype(np.int64)
         return self.flat[_spans(self.at[slot], size)], np.diff(np.concatenate(([0], np.cumsum(size)))[words.doc])

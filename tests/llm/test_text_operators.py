@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -298,7 +299,7 @@ def test_codes_round_trip():
 
 def test_token_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 50)
-    texts = [None, "", "it's 3.5% 'S <|ENDOFTEXT|> x<|endoftext|>y a|b <a|b", "H\u0331 h\u0331 \u00c9 e\u0301 x\u0301. 12345 \u0663\u0664 \u212a \u0391\u03a3.a _x_ \u2260", "\x00\x1c a\x1db don't DON'T we'Ll 'llx", "New\nlines\n\n", "long " * 3000, "same", "same"]
+    texts = ["É, é.É1é naïve\u0301 ŽŠ,šž! İıſß ǅǆ×÷ café\u0327s «là» Œuvre", None, "", "it's 3.5% 'S <|ENDOFTEXT|> x<|endoftext|>y a|b <a|b", "H\u0331 h\u0331 \u00c9 e\u0301 x\u0301. 12345 \u0663\u0664 \u212a \u0391\u03a3.a _x_ \u2260", "\x00\x1c a\x1db don't DON'T we'Ll 'llx", "New\nlines\n\n", "long " * 3000, "same", "same"]
     docs = spark.createDataFrame([(97 * i % 11, t, 1) for i, t in enumerate(texts)] + [(None, "null id", 1), (3, "again", 1)], "doc_id long, text string, part int").repartition(3)
     path = str(tmp_path / "t")
     rows = token_files.round_trip(docs, BPE, path).collect()
@@ -319,9 +320,27 @@ def test_pieces_of_one_hash_are_compared(monkeypatch):
     real = token_files.K.word_hashes
     monkeypatch.setattr(token_files.K, "word_hashes", lambda data, start, end, seed=0: real(data, start, end, seed) % np.uint64(5))
     encoder, tokenizer = token_files.Encoder(BPE), Tokenizer.from_file(BPE)
-    for text in ("one two", "three four, five six seven", "two one don't", "eight"):
-        ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
-        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in ("onetwothree fourfivesix", "two of a kind, seveneightnine", "one don't", "fourfivesix seveneightnine é", "eight"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_on_odd_texts():
+    r, alphabet = random.Random(1), "aBé É ıİßſŉǅ×÷ªº'’<|1 2,.-_\nņ\u0301\u00adžŠøœ«»—日本  ﬁ\U0001f600"
+    encoder = token_files.Encoder(BPE)
+    for _ in range(300):
+        data, offs = token_files.K.text_bytes(pa.array(["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(5)], pa.string()))
+        ids, sizes = encoder.encode(data, offs)
+        whole, whole_sizes = encoder._whole(data, offs)
+        assert (sizes == whole_sizes).all() and (ids == whole).all()
+
+
+def test_slots_by_key():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 300, 900).astype(np.uint64) * np.uint64(64) + np.uint64(5))
+    table = token_files._Table(len(keys))
+    table.add(keys[::2], np.arange(len(keys[::2]), dtype=np.int32))
+    assert table.find(keys).tolist() == [k // 2 if k % 2 == 0 else -1 for k in range(len(keys))]
 
 
 def test_other_tokenizers_are_encoded_whole(spark):
