@@ -15,7 +15,8 @@ wording. The join is exact and uses DataFrame functions only:
 - the blocks around what passes are compared word by word.
 
 Templates come from a parameter, so their table is small by construction and the only thing that is
-broadcast. Texts are read twice (counts, then places) and never shuffled.
+broadcast. Texts are read twice, for the counts and for the phrases, and never shuffled; the words of
+documents that hold a prefix word at all are checkpointed beside the phrases, at most once the input.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
-def phrase_places(docs: DataFrame, text_col: str = "text", phrases=PHRASES) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word and found (an array of base labels)."""
+def phrase_places(docs: DataFrame, text_col: str = "text", phrases=PHRASES, plain_col: str = "plain") -> DataFrame:
+    """docs with n_words, n_base, first_word, last_word, found (an array of base labels) and the plain words."""
     out = docs.withColumn("__plain", F.concat(F.lit(" "), _plain(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(" ")))
     plain = F.col("__plain")
     counts, firsts, lasts, found = [], [], [], []
@@ -75,6 +76,7 @@ def phrase_places(docs: DataFrame, text_col: str = "text", phrases=PHRASES) -> D
             "first_word": pick(F.least, firsts),
             "last_word": pick(F.greatest, lasts),
             "found": F.array_compact(F.array(*found)),
+            plain_col: F.trim(plain),
         }
     ).drop("__plain")
 
@@ -128,15 +130,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     index = _template_index(rows, "text", templates, containment)
-    words = F.split(_plain(F.col("text")), " ")
+    words = F.split("plain", " ")
     some = F.coalesce(F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted({e[0] for e in index})])), F.lit(False))
-    row = F.struct("id", F.xxhash64("text").alias("h"))
-    more = template_matches(rows.select(row.alias("row"), words.alias("words")), index)
-    more = cut(more.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("most")))
-    more = more.select(F.col("row.id").alias("other"), F.col("row.h").alias("key"), F.lit(True).alias("some"), "more", "most")
+    base = phrase_places(rows, "text", phrases).withColumn("some", some)
     # a row without any prefix word joins with nothing; its key is a number of its own, so that no value gathers such rows
     key = F.when(F.col("some"), F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
-    base = phrase_places(rows.withColumn("some", some).withColumn("key", key), "text", phrases).drop("text")
+    base = cut(base.withColumns({"key": key, "plain": F.when(F.col("some"), F.col("plain"))}).drop("text"))
+    more = template_matches(base.where("some").select(F.struct("id", F.col("key").alias("h")).alias("row"), words.alias("words")), index)
+    more = cut(more.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("most")))
+    more = more.select(F.col("row.id").alias("other"), F.col("row.h").alias("key"), F.lit(True).alias("some"), "more", "most")
+    base = base.drop("plain")
     both = base.join(more, (base["key"] == more["key"]) & (base["some"] == more["some"]) & base["id"].eqNullSafe(more["other"]), "left")
     every = F.array_sort(F.array_distinct(F.concat("found", F.coalesce("more", F.array().cast("array<string>")))))
     return both.select(
