@@ -63,10 +63,7 @@ class _Group:
         one = K.window_hashes(hashes, size)[self.at]
         two = K.window_hashes(K.word_hashes(self.data, self.words.start, self.words.end, seed=1), size, seed=2)[self.at]
         doc = self.ids[self.words.doc_of_word[self.at]]
-        shard = (one % K.U64(shards)).astype(np.int64)
-        low = (one >> K.U64(32)).astype(np.uint32)
-        key = (shard.astype(K.U64) << K.U64(32)) | low.astype(K.U64)
-        by = np.lexsort((two, one, key))
+        by = np.argsort(one)
         new = np.ones(len(by), bool)
         new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
         start = np.flatnonzero(new)
@@ -78,12 +75,22 @@ class _Group:
         docs = doc[by]
         self.first = np.minimum.reduceat(docs, start) if len(start) else docs[:0]
         self.many = (np.maximum.reduceat(docs, start) if len(start) else docs[:0]) != self.first
-        self.doc, self.low = doc, low[by][start]
-        key, at = np.unique(shard[by][start], return_index=True)
+        self.doc = doc
+        shard, self.low = _place(self.one, shards)
+        key, at = np.unique(shard, return_index=True)
         ends = np.append(at, len(start))[1:]
         self.cuts = {s: (a, b) for s, a, b in zip(key.tolist(), at.tolist(), ends.tolist(), strict=True)}
 
 
+def _place(one: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, cell) of window hashes: equal ranges of the hash, and the 32 bits that follow; both rise with it."""
+    if shards < 2:
+        return np.zeros(len(one), np.int64), (one >> K.U64(32)).astype(np.uint32)
+    width = (1 << 64) // shards + 1
+    shard = one // K.U64(width)
+    return shard.astype(np.int64), ((one - shard * K.U64(width)) >> K.U64(max(0, width.bit_length() - 32))).astype(np.uint32)
+
+
 def _sketch(table: pa.Table, size: int, shards: int) -> pa.Table:
     """A group's partial sketch, by shard."""
     g, key = _Group(table, size, shards), table.column("g")[0].as_py()
@@ -133,7 +140,7 @@ def _group_exactly(table: pa.Table) -> pa.Table:
     sizes = np.array([len(x) for x in one])
     one, two = np.concatenate(one), np.frombuffer(b"".join(table.column("two").to_pylist()), np.uint32)
     first = np.concatenate([_unzip(b, np.int64) for b in table.column("first").to_pylist()])
-    by = np.lexsort((two, one))
+    by = np.lexsort((two, one))  # equal windows of several groups must stand together
     new = np.ones(len(by), bool)
     new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
     least = np.minimum.reduceat(first[by], np.flatnonzero(new))
