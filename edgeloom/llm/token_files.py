@@ -15,6 +15,7 @@ ranks (one row for each id in use, so bounded by the vocabulary), and read back
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -294,12 +295,10 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
 
 
 def _count(batches):
+    """How often each id occurs in a batch: all its documents counted at once."""
     for batch in batches:
-        total = np.zeros(0, np.int64)
-        for blob, n in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
-            more = np.bincount(_unpack(blob, n), minlength=len(total))
-            more[: len(total)] += total
-            total = more
+        parts = [_unpack(blob, n).astype(np.int64) for blob, n in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)]
+        total = np.bincount(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -396,13 +395,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"/part=(\d+)/", 1).cast("int").alias("part"), "content")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(part, doc_id, offset, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
-
-    offset counts the part's ids before the document.
-    """
+def _decoded(spark: SparkSession, path: str, column: str, value) -> DataFrame:
+    """(part, doc_id, offset, n_tokens, column): value makes the last column ("name type") from a document's ids."""
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()  # bounded by the vocabulary
     shared = spark.sparkContext.broadcast(np.array([r.id for r in ranks], "<u4"))
+    name, kind = column.split()
 
     def run(batches):
         for batch in batches:
@@ -417,13 +414,21 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                             pa.array(docs, mask=docs == _NULL_ID),
                             pa.array(offset + cuts[:-1]),
                             pa.array(sizes.astype(np.int64)),
-                            pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                            pa.array([value(ids[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary() if kind == "binary" else pa.int64()),
                         ],
-                        names=["part", "doc_id", "offset", "n_tokens", "ids"],
+                        names=["part", "doc_id", "offset", "n_tokens", name],
                     )
                     offset += int(cuts[-1])
 
-    return _files(spark, path).mapInArrow(run, "part int, doc_id long, offset long, n_tokens long, ids binary")
+    return _files(spark, path).mapInArrow(run, f"part int, doc_id long, offset long, n_tokens long, {column}")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(part, doc_id, offset, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
+
+    offset counts the part's ids before the document.
+    """
+    return _decoded(spark, path, "ids binary", lambda ids: ids.tobytes())
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -439,7 +444,7 @@ def document_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     and no ids. Null and repeated ids have a row each, documents without words one with the end id
     alone; files of an empty table give no rows.
     """
-    rows = cut(read_token_files(spark, path).select("part", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    rows = cut(_decoded(spark, path, "ids_crc32 long", lambda ids: zlib.crc32(ids.tobytes())))
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     starts = totals.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS part_start")  # a row a file
     return rows.join(starts, "part").select(F.col("doc_id").alias(id_col), (F.col("part_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -309,6 +309,7 @@ def test_token_files(spark, tmp_path, monkeypatch):
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
         want[(r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    assert Counter((r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in token_files.read_token_files(spark, path).collect()) == want
     rows.sort(key=lambda r: r.start)
     ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
     assert ids == sorted(ids)
