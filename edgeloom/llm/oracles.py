@@ -195,4 +195,53 @@ FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN sums ON sums.doc_id =
 """
 
 
-ORACLES["op10_license_scan"] = ORACLES["op10_license_scan_runs"] = _license_oracle(license_scan.TEMPLATES, license_scan.PHRASES, license_scan.CONTAINMENT)
+ORACLES["op10_license_scan"] = _license_oracle(license_scan.TEMPLATES, license_scan.PHRASES, license_scan.CONTAINMENT)
+
+
+ORACLES["op12_filter_audit"] = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+m AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (l.toxic = 1) AS toxic
+  FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY part, fails),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o),
+r AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, n, good, toxic, fails, contains(fails, filter_order[step]) AS here,
+    len(list_intersect(string_split(fails, ''), string_split(filter_order[1:step - 1], ''))) > 0 AND step > 1 AND fails <> '' AS before
+  FROM c, s),
+a AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT here AND NOT before), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT before), 0) AS removed,
+    coalesce(sum(n) FILTER (here AND before), 0) AS redundant, coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT before), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT before), 0) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM a
+"""
+
+# crc32 of a decimal, bit by bit: each step takes in a byte at the first of its eight bits
+_CRC = """xor(4294967295, list_reduce([4294967295] || list_transform(range(8 * length(s)), lambda k: CASE WHEN k % 8 = 0 THEN ord(s[k // 8 + 1]) ELSE 0 END::BIGINT),
+    lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))))"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, {_CRC} % 9 AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM own)),
+c AS (SELECT h.conv_id AS c, CASE WHEN h.conv_id % 5 = 0 THEN h.t ELSE coalesce(b.t[1:h.h], []) || h.t[h.h + 1:] END AS t FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT c, len(t) AS n, d, sha256(CAST(t[1:d] AS VARCHAR) || '#' || d) AS k, sha256(CAST(t[1:d - 1] AS VARCHAR) || '#' || d - 1) AS up, CASE WHEN d > 0 THEN strlen(t[d].text) ELSE 0 END AS size
+  FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM c)),
+v AS (SELECT k, min(up) AS up, d, min(size) AS size, min(c) AS c, count(*) AS n, coalesce(string_agg(c, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM p GROUP BY k, d),
+w AS (SELECT v.*, (SELECT count(*) FROM v x WHERE x.d > 0 AND x.up = v.k) AS children FROM v),
+below AS (SELECT a.k, sum(CASE WHEN w.children = 0 THEN 1 ELSE 0 END) AS leaves, sum((w.n - 1) * w.size) AS saved FROM w JOIN p a ON a.c = w.c AND a.d <= w.d GROUP BY a.k)
+SELECT w.c AS conv_id, w.d AS depth, CASE WHEN w.d > 0 THEN u.c END AS parent_conv_id, w.n AS n_convs, w.children AS n_children,
+  below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN below ON below.k = w.k LEFT JOIN v u ON w.d > 0 AND u.k = w.up
+"""

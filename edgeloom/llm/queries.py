@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import chat_format, curriculum, decontaminate, itq_dedup, license_scan, minhash_dedup, quality, substring_dedup, token_files, url_filter
+from edgeloom.llm import chat_format, curriculum, decontaminate, filter_audit, itq_dedup, license_scan, minhash_dedup, packing, prefix_trie, quality, substring_dedup, token_files, url_filter
 from edgeloom.llm.oracles import ORACLES as ORACLES
 
 
@@ -78,9 +78,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-def op10_license_scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The name of the scan by runs of words from before every scan was one."""
-    return op10_license_scan(spark, sf_dir)
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs it
+
+    found = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -94,5 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_license_scan": op10_license_scan,
-    "op10_license_scan_runs": op10_license_scan_runs,
+    "op11_packing": op11_packing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
