@@ -77,7 +77,8 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-lengths, kind="stable")
     out, tree, left = np.zeros(len(lengths), np.int64), Capacities(window), []
     sizes, starts = np.unique(-lengths[order], return_index=True)
-    for size, a, b in zip((-sizes).tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+    stops = np.append(starts[1:], len(order))[: len(starts)]
+    for size, a, b in zip((-sizes).tolist(), starts.tolist(), stops.tolist(), strict=True):
         while a < b:
             capacity = tree.tightest(size)
             if capacity is None:
