@@ -16,6 +16,7 @@ from edgeloom.functions.patterns import Filter, all_of
 from edgeloom.operators import layers, metrics, rules, slices, violations
 from edgeloom.operators.graph import per_internal_edge
 from edgeloom.operators.ordering import ordered
+from edgeloom.operators.traversal import LIMIT
 
 
 def _quoted(selectors) -> str:
@@ -43,7 +44,7 @@ def depend_on_external(edges: DataFrame, filters, subject_selectors=(), categori
     return violations.checked(text, rules.subjects(edges, subject_selectors), "files.depend_on_external", rule, allow_empty)
 
 
-def have_no_cycles(edges: DataFrame, selectors=(), limit: int = 20_000, allow_empty: bool = False) -> DataFrame:
+def have_no_cycles(edges: DataFrame, selectors=(), limit: int = LIMIT, allow_empty: bool = False) -> DataFrame:
     rule = violations.sentence(selectors, True, "have no cycles")
     found = rules.have_no_cycles(edges, selectors, limit)
     text = violations.as_text(found, "cycle", rule, F.substring_index("path", " -> ", 1), {"Cycle": "path"})

@@ -38,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """cut for loops: what is estimated of df goes too, and it has no more partitions than a shuffle.
+
+    A checkpoint keeps the estimated size of its plan, a join's being the product of its sides', so that in a
+    loop the estimate has twice the digits after each round; and unions and broadcast joins double the partitions.
+    """
+    spark = df.sparkSession
+    rows = cut(df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))._jdf
+    return type(df)(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of links(a, b): rows (node, component), component the smallest node.
 

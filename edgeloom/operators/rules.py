@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.patterns import Filter, all_of, any_of, normalize_path
 from edgeloom.model import AVAILABILITIES, CATEGORIES, CLASSES, KINDS, bit
 from edgeloom.operators.graph import per_external_edge, per_internal_edge
-from edgeloom.operators.traversal import cycles
+from edgeloom.operators.traversal import LIMIT, cycles
 
 DEFAULT_CATEGORIES = ("package_module", "unresolved_module", "unavailable_module")
 
@@ -83,11 +83,14 @@ def depend_on_external(edges: DataFrame, filters, subject_selectors=(), categori
     return _grouped(external_candidates(edges, subject_selectors, categories, files).where(~holds if should else holds))
 
 
-def have_no_cycles(edges: DataFrame, selectors=(), limit: int = 20_000) -> DataFrame:
-    """(length, path) of each elementary cycle among the selected files, edges between them only."""
+def have_no_cycles(edges: DataFrame, selectors=(), limit: int = LIMIT) -> DataFrame:
+    """(length, path) of each elementary cycle among the selected files, edges between them only.
+
+    A strong component with more than limit cycles, of whatever size, has one short cycle as a witness instead.
+    """
     chosen = subjects(edges, selectors)
     inside = per_internal_edge(edges).join(chosen.select(F.col("path").alias("source")), "source", "left_semi").join(chosen.select(F.col("path").alias("target")), "target", "left_semi")
-    return cycles(inside, limit)
+    return cycles(inside, limit, beyond="witness")
 
 
 def adhere_to(files: DataFrame, predicate: Column | Callable[[DataFrame], Column], description: str, selectors=(), should: bool = True) -> DataFrame:
