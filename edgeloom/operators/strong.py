@@ -1,7 +1,6 @@
 """Strong components in rounds that grow with the logarithm of the longest path, not with its length.
 
-Nodes get numbers, mixed so that their order has nothing to do with the graph: a colour that meets nothing
-smaller for a long way would come on a step a round. Then, until no edge is left: nodes without a way in or
+Nodes get numbers in an order of their own. Then, until no edge is left: nodes without a way in or
 a way out go; chains, runs of nodes with one way in and one way out, shrink to a single edge by pointer
 jumping; and what is left is split by two colours of each node, the smallest node that reaches it and the
 smallest that it reaches. Where both are the same node, that is the node's component; edges between
@@ -24,12 +23,19 @@ _FORWARD, _BACKWARD = 0, 1
 
 
 def number_nodes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((label, id), (s, t)): nodes of edges(source, target) numbered, and the distinct pairs without self-edges."""
-    pairs = cut(per_edge(edges).select("source", "target").distinct())
-    labels = pairs.select(F.col("source").alias("label")).union(pairs.select(F.col("target").alias("label"))).distinct()
-    ids = cut(numbered(labels, "label", name="id"))
-    from_, to = ids.select(F.col("label").alias("source"), F.col("id").alias("s")), ids.select(F.col("label").alias("target"), F.col("id").alias("t"))
-    return ids, cut(pairs.join(from_, "source").join(to, "target").select("s", "t"))
+    """((label, x), (s, t)): nodes of edges(source, target) with a number each, and the distinct pairs of numbers without self-edges.
+
+    A number is the label's 64-bit hash, which has nothing to do with the graph: a colour that meets nothing smaller for a long
+    way would come on a step a round. If two labels share one, positions are hashed instead, one to one.
+    """
+    hashed = lambda c: F.xxhash64(c)
+    plain = cut(per_edge(edges).select("source", "target", hashed("source").alias("s"), hashed("target").alias("t")).distinct())
+    nodes = cut(plain.select(F.col("source").alias("label"), F.col("s").alias("x")).union(plain.select("target", "t")).distinct())
+    if nodes.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return nodes, plain.select("s", "t")
+    nodes = cut(numbered(nodes.select("label"), "label", name="id").select("label", hashed("id").alias("x")))
+    from_, to = nodes.select(F.col("label").alias("source"), F.col("x").alias("s")), nodes.select(F.col("label").alias("target"), F.col("x").alias("t"))
+    return nodes, cut(plain.select("source", "target").join(from_, "source").join(to, "target").select("s", "t"))
 
 
 def trim(edges: DataFrame) -> DataFrame:
@@ -38,18 +44,17 @@ def trim(edges: DataFrame) -> DataFrame:
     return edges.join(before, "s", "left_semi").join(after, "t", "left_semi")
 
 
-def contract_chains(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(edges, chains, rings): chains shrunk to one edge each; None if no node has one way in and one way out.
+def contract_chains(edges: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(edges, chains, rings): chains shrunk to one edge each; None if fewer than least nodes have one way in and one way out.
 
     chains(x, a, b) are the nodes between a and b, rings(x, low) those of rings that touch nothing else,
-    with their smallest node. An edge from a node to itself stays out of edges, chains tells of it. The
-    nodes of keep(x) are never taken out. A pointer doubles its length each round, so there are as many
+    with their smallest node. An edge from a node to itself stays out of edges, chains tells of it. A pointer doubles its length each round, so there are as many
     rounds as the longest chain's length has bits.
     """
     ends = edges.select(F.col("s").alias("x"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("t", F.lit(0), F.lit(1)))
     unary = ends.groupBy("x").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 AND i = 1").select("x")
-    unary = cut(unary if keep is None else unary.join(keep.select("x").distinct(), "x", "left_anti"))
-    if unary.isEmpty():
+    unary = cut(unary)
+    if unary.count() < least:
         return None
     ahead = unary.join(edges, F.col("x") == F.col("s")).select("x", F.lit(_FORWARD).alias("way"), F.col("t").alias("to"))
     behind = unary.join(edges, F.col("x") == F.col("t")).select("x", F.lit(_BACKWARD).alias("way"), F.col("s").alias("to"))
@@ -104,7 +109,7 @@ def components_of(edges: DataFrame) -> DataFrame:
     while left:
         before = left
         edges = cut(trim(edges))
-        contracted = contract_chains(edges)
+        contracted = contract_chains(edges, max(1, before // 8))
         if contracted:
             edges, chains, own = contracted
             levels.append(chains)
@@ -133,7 +138,6 @@ def strong_components(edges: DataFrame) -> DataFrame:
     and for what no chain covers one for each doubling of a colour's reach, anew for each split. An edge
     table without cycles, or empty, gives no rows.
     """
-    ids, pairs = number_nodes(edges)
-    found = components_of(pairs.select(F.xxhash64("s").alias("s"), F.xxhash64("t").alias("t")))  # one to one on longs
-    rows = cut(found.join(ids.select(F.xxhash64("id").alias("x"), "label"), "x").select("label", "c"))
+    nodes, pairs = number_nodes(edges)
+    rows = cut(components_of(pairs).join(nodes, "x").select("label", "c"))
     return rows.join(rows.groupBy("c").agg(F.min("label").alias("component")), "c").select("label", "component")
