@@ -10,15 +10,17 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidPattern
 from edgeloom.functions.patterns import extension, folder, glob_regex, stem
 from edgeloom.model import AVAILABILITIES, CLASSES, KINDS, bit_of
+from edgeloom.operators.components import cut
 from edgeloom.operators.graph import normalize
 
 # Directories that no scan enters, files that start a project of their own, the root's ignore file.
@@ -28,6 +30,8 @@ EXCLUDED = (
 )
 MARKERS = ("build.zig.zon", "build.zig")
 IGNORE_FILE = ".archignore"
+#: Kinds whose targets are paths from the source's folder.
+RELATIVE = ("zig_file", "zon_file", "embedded_file")
 #: The word before the colon of an ignore comment.
 MARKER = "edgeloom"
 
@@ -120,50 +124,128 @@ def within_boundary(rows: DataFrame, everything: DataFrame | None = None) -> Dat
     return rows.join(inner, "path", "left_anti")
 
 
-def _without_links(base: str, paths: list[str]) -> list[str]:
-    """The paths below a local folder that no symbolic link leads to."""
-    known: dict[str, bool] = {"": False}
+class _Store:
+    """A root folder as tasks see it: its folders' entries and its files' bytes, symbolic links passed over.
 
-    def linked(p: str) -> bool:
-        if p not in known:
-            known[p] = linked(p.rpartition("/")[0]) or os.path.islink(f"{base}/{p}")
-        return known[p]
+    Paths are relative to the root. Local folders are read by the operating system, others by Arrow's file systems.
+    """
+
+    def __init__(self, root: str):
+        self.base, self.system = re.sub("^file:/+", "/", root.rstrip("/")), None
+        if not self.base.startswith("/"):
+            self.system, self.base = pafs.FileSystem.from_uri(root.rstrip("/"))
+        self.linked: dict[str, bool] = {"": False}
+
+    def at(self, path: str) -> str:
+        return f"{self.base}/{path}" if path else self.base
+
+    def entries(self, path: str) -> list[tuple[str, bool]]:
+        """(path, whether it is a folder) of what a folder holds."""
+        below = f"{path}/" if path else ""
+        if self.system:
+            found = self.system.get_file_info(pafs.FileSelector(self.at(path)))
+            return [(below + f.base_name, f.type == pafs.FileType.Directory) for f in found]
+        with os.scandir(self.at(path)) as found:
+            return [(below + f.name, f.is_dir(follow_symlinks=False)) for f in found if not f.is_symlink()]
+
+    def _is_linked(self, path: str) -> bool:
+        if path not in self.linked:
+            self.linked[path] = self._is_linked(path.rpartition("/")[0]) or os.path.islink(self.at(path))
+        return self.linked[path]
+
+    def is_file(self, path: str) -> bool:
+        if self.system:
+            return self.system.get_file_info(self.at(path)).type == pafs.FileType.File
+        return os.path.isfile(self.at(path)) and not self._is_linked(path)
+
+    def read(self, path: str) -> bytes:
+        if self.system:
+            with self.system.open_input_stream(self.at(path)) as f:
+                return f.read()
+        with open(self.at(path), "rb") as f:
+            return f.read()
+
+
+def tree(spark: SparkSession, root: str, exclusions: tuple[str, ...] = (), default: bool = False, boundary: bool = False) -> DataFrame:
+    """(path, is_folder, opened): what stands under root, folders listed level by level by the executors.
+
+    Folders of a name that no scan enters (default), those that a pattern excludes and, with boundary, those
+    within a folder that has a marker file of its own are not opened, so their contents have no rows.
+    The root has no row. One job a level of folders runs when this is called; no path reaches the driver.
+    """
+    workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    return [p for p in paths if not linked(p)]
+    def run(batches):
+        store = _Store(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = store.entries(path)
+                marked = bool(path) and any(not d and p.rpartition("/")[2] in MARKERS for p, d in found)
+                for k in range(0, len(found), 5000):
+                    part = found[k : k + 5000]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([d for _, d in part], pa.bool_()), pa.array([marked] * len(part), pa.bool_())], names=["path", "is_folder", "in_nested"])
+
+    levels, front = [], spark.createDataFrame([("",)], "path string")
+    while True:
+        found = front.repartition(workers).mapInArrow(run, "path string, is_folder boolean, in_nested boolean")
+        opened = F.col("is_folder")
+        if default:
+            opened &= ~F.element_at(F.split("path", "/"), -1).isin(*EXCLUDED)
+        for p in exclusions:
+            opened &= ~exclusion(p)
+        if boundary:
+            opened &= ~F.col("in_nested")
+        found = cut(found.select("path", "is_folder", opened.alias("opened")))
+        levels.append(found)
+        front = found.where("opened").select("path")
+        if front.isEmpty():
+            return reduce(DataFrame.union, levels)
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path) of all files under root, of whatever kind, relative to it: what a reference may resolve to.
+    """(path) of all files under root, of whatever kind, relative to it; symbolic links are passed over."""
+    return tree(spark, root).where("NOT is_folder").select("path")
 
-    In a local file system, the only one that has them, symbolic links to files and directories are
-    passed over.
-    """
-    base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
-    paths = [re.sub("^[a-z0-9]+:/+", "/", unquote(p))[len(base) + 1 :] for p in found]
-    if root.startswith(("file:", "/")):
-        paths = _without_links(base, paths)
-    return spark.createDataFrame([(p,) for p in paths], "path string")
+
+def present(rows: DataFrame, root: str) -> DataFrame:
+    """The paths of rows(path) that are files under root, each looked up by the task that has it."""
+
+    def run(batches):
+        store = _Store(root)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in batch.column(0).to_pylist() if store.is_file(p)], pa.string())], names=["path"])
+
+    return rows.select("path").where("path != '' AND path IS NOT NULL").mapInArrow(run, "path string")
+
+
+def _scanned(spark: SparkSession, root: str, exclusions: tuple[str, ...], default: bool, boundary: bool, ignore_file: bool) -> tuple[DataFrame, DataFrame]:
+    """((path) of the files that a scan's folders hold, (path) of those that it takes)."""
+    patterns = (*exclusions, *(read_ignore_file(spark, root) if ignore_file else ()))
+    listed = cut(tree(spark, root, patterns, default, boundary).where("NOT is_folder").select("path"))
+    keep = exclude(default_exclusions(listed) if default else listed, patterns)
+    if boundary:
+        keep = within_boundary(keep, listed)
+    return listed, keep.where(F.endswith("path", F.lit(".zig")) | F.endswith("path", F.lit(".zon")))
+
+
+def _read(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    def run(batches):
+        store = _Store(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([store.read(path)], pa.binary())], names=["path", "content"])
+
+    return paths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "path string, content binary")
 
 
 def files(spark: SparkSession, root: str, exclusions: tuple[str, ...] = (), default: bool = True, boundary: bool = True, ignore_file: bool = True) -> DataFrame:
     """(path, content) of the .zig and .zon files under root, paths relative to it, empty files included.
 
     Left out are files below a default-excluded directory, those of nested projects, and what the
-    root's ignore file or the given patterns exclude, and what symbolic links lead to.
+    root's ignore file or the given patterns exclude, and what symbolic links lead to. Folders that are left out
+    are not listed, and no other file is opened.
     """
-    base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
-    relative = lambda c: F.substring(F.regexp_replace(c, "^[a-z0-9]+:/+", "/"), F.lit(len(base) + 2), F.length(c))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = found.select(relative(F.col("path")).alias("path"), "content")
-    listed = listing(spark, root)  # with the files of 0 bytes, which Spark lists but does not read
-    rows = rows.unionByName(listed.join(rows.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content")))
-    keep = default_exclusions(listed) if default else listed
-    keep = exclude(keep, (*exclusions, *(read_ignore_file(spark, root) if ignore_file else ())))
-    if boundary:
-        keep = within_boundary(keep, listed)
-    keep = keep.where(F.endswith("path", F.lit(".zig")) | F.endswith("path", F.lit(".zon")))
-    return rows.join(keep, "path", "left_semi")
+    return _read(spark, root, _scanned(spark, root, exclusions, default, boundary, ignore_file)[1])
 
 
 def file_info(rows: DataFrame) -> DataFrame:
@@ -378,6 +460,18 @@ def default_metadata(external: Column, kinds: Column) -> tuple[Column, Column]:
     return F.when(external, outside).otherwise(1), F.when(known, 1).otherwise(1 << AVAILABILITIES.index("unresolved"))
 
 
+def relative_target(source: Column, target: Column) -> Column:
+    """Where a relative target of a source leads, from the root; null for an absolute one or one that leaves the root."""
+    joined = fold_path(F.when(F.instr(source, "/") > 0, F.concat(folder(source), F.lit("/"), target)).otherwise(target))
+    return F.when(F.startswith(target, F.lit("/")), F.lit(None)).otherwise(joined)
+
+
+def referred_paths(refs: DataFrame) -> DataFrame:
+    """(path): where the relative targets of references lead."""
+    found = refs.where(F.col("kind").isin(*RELATIVE)).select(relative_target(F.col("source"), F.col("target")).alias("path"))
+    return found.where("path IS NOT NULL").distinct()
+
+
 def resolve(refs: DataFrame, listed: DataFrame, aliases: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
     """References as normalize takes them: resolved against listed(path) and aliases(alias, path[, unit]).
 
@@ -387,9 +481,8 @@ def resolve(refs: DataFrame, listed: DataFrame, aliases: DataFrame | None = None
     that is a unit's root has that unit's aliases; otherwise a single unit serves all sources, and of
     several none. Without units the aliases hold for all sources.
     """
-    relative = F.col("kind").isin("zig_file", "zon_file", "embedded_file")
-    joined = F.when(F.startswith("target", F.lit("/")), F.lit(None)).otherwise(fold_path(F.when(F.instr("source", "/") > 0, F.concat(folder(F.col("source")), F.lit("/"), "target")).otherwise(F.col("target"))))
-    rows = refs.withColumn("at", F.when(relative, joined))
+    relative = F.col("kind").isin(*RELATIVE)
+    rows = refs.withColumn("at", F.when(relative, relative_target(F.col("source"), F.col("target"))))
     if aliases is not None:
         known = aliases.select(F.col("alias").alias("target"), F.col("path").alias("module"), F.lit(True).alias("declared"), *(["unit"] if units is not None else []))
         if units is not None:
@@ -440,5 +533,14 @@ def graph_of(rows: DataFrame, aliases: DataFrame | None = None, units: DataFrame
 
 
 def project_graph(spark: SparkSession, root: str, aliases: DataFrame | None = None, units: DataFrame | None = None, *, exclusions: tuple[str, ...] = (), **options) -> DataFrame:
-    """The normalized edges of the project under root, in one call."""
-    return graph_of(files(spark, root, exclusions), aliases, units, listed=listing(spark, root), **options)
+    """The normalized edges of the project under root, in one call.
+
+    A reference may lead into a folder that the scan does not list; such targets are looked up one by one.
+    """
+    listed, paths = _scanned(spark, root, exclusions, True, True, True)
+    rows = cut(_read(spark, root, paths))
+    wanted = referred_paths(references(rows, options.get("strict", False)))
+    if aliases is not None:
+        wanted = wanted.union(aliases.select(fold_path(F.col("path")).alias("path")))
+    more = present(wanted.distinct().join(listed, "path", "left_anti"), root)
+    return graph_of(rows, aliases, units, listed=listed.union(more), **options)

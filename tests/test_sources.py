@@ -61,6 +61,20 @@ def test_listing(spark, root):
     assert info["src/api/a.zig"][:3] == ("a", ".zig", "src/api") and info["up.zig"][2] == "" and info["src/empty.zig"][3] == 0
 
 
+def test_folders_that_are_left_out_are_not_opened(spark, root, tmp_path):
+    opened = lambda **k: {r.path for r in projects.tree(spark, root, **k).where("opened").collect()}
+    assert opened() == {"src", "src/api", "vendor", "tool", "tool/src", "gen", "gen/deep"}
+    assert opened(default=True, boundary=True, exclusions=("gen",)) == {"src", "src/api", "tool"}
+    seen = projects.tree(spark, root, default=True, boundary=True, exclusions=("/src/a*",)).collect()
+    assert {r.path for r in seen if r.is_folder and not r.opened} == {"vendor", "tool/src", "src/api"}
+    assert not [r for r in seen if r.path.startswith(("vendor/", "tool/src/", "src/api/"))]
+    (tmp_path / "src" / "_made.zig").write_text("")
+    assert "src/_made.zig" in {r.path for r in projects.files(spark, root).collect()}
+    (tmp_path / "src" / "vendored.zig").write_text('@import("../vendor/x.zig") @import("../vendor/none.zig") @import("../tool/src/t.zig")')
+    got = {r.target: (r.external, r.availabilities) for r in projects.project_graph(spark, root).where("source = 'src/vendored.zig' AND source != target").collect()}
+    assert got == {"vendor/x.zig": (False, 1), "vendor/none.zig": (True, 4), "tool/src/t.zig": (False, 1)}
+
+
 def test_links_are_passed_over(spark, root, tmp_path):
     (tmp_path / "src" / "linked.zig").symlink_to(tmp_path / "up.zig")
     (tmp_path / "also").symlink_to(tmp_path / "src")
