@@ -166,38 +166,51 @@ class _Store:
             return f.read()
 
 
+#: Folders that a task opens below one that it was given, before it hands the others back to be dealt out.
+DESCENT = 64
+
+
 def tree(spark: SparkSession, root: str, exclusions: tuple[str, ...] = (), default: bool = False, boundary: bool = False) -> DataFrame:
-    """(path, is_folder, opened): what stands under root, folders listed level by level by the executors.
+    """(path, is_folder, opened): what stands under root, folders listed by the executors.
 
     Folders of a name that no scan enters (default), those that a pattern excludes and, with boundary, those
     within a folder that has a marker file of its own are not opened, so their contents have no rows.
-    The root has no row. One job a level of folders runs when this is called; no path reaches the driver.
+    The root has no row. Each job opens the folders that the last one found, and unless there are patterns
+    a task opens DESCENT more below each, so that a small tree takes one job; no path reaches the driver.
+    Jobs run when this is called.
     """
-    workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    workers, more = int(spark.conf.get("spark.sql.shuffle.partitions")), 0 if exclusions else DESCENT
+    schema = "path string, is_folder boolean, enter boolean, pending boolean"
 
     def run(batches):
         store = _Store(root)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                found = store.entries(path)
-                marked = bool(path) and any(not d and p.rpartition("/")[2] in MARKERS for p, d in found)
-                for k in range(0, len(found), 5000):
-                    part = found[k : k + 5000]
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([d for _, d in part], pa.bool_()), pa.array([marked] * len(part), pa.bool_())], names=["path", "is_folder", "in_nested"])
+            for given in batch.column(0).to_pylist():
+                left, stack, out = more, [given], []
+                while stack:
+                    folder_ = stack.pop()
+                    found = store.entries(folder_)
+                    nested = boundary and bool(folder_) and any(not d and p.rpartition("/")[2] in MARKERS for p, d in found)
+                    for path, is_folder in found:
+                        enter = is_folder and not nested and not (default and path.rpartition("/")[2] in EXCLUDED)
+                        here = enter and left > 0
+                        if here:
+                            stack.append(path)
+                            left -= 1
+                        out.append((path, is_folder, enter, enter and not here))
+                    while len(out) > 5000 or (out and not stack):
+                        part, out = out[:5000], out[5000:]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), *[pa.bool_()] * 3), strict=True)], names=["path", "is_folder", "enter", "pending"])
 
     levels, front = [], spark.createDataFrame([("",)], "path string")
     while True:
-        found = front.repartition(workers).mapInArrow(run, "path string, is_folder boolean, in_nested boolean")
-        opened = F.col("is_folder")
-        if default:
-            opened &= ~F.element_at(F.split("path", "/"), -1).isin(*EXCLUDED)
+        opened = F.col("enter")
         for p in exclusions:
             opened &= ~exclusion(p)
-        if boundary:
-            opened &= ~F.col("in_nested")
-        found = cut(found.select("path", "is_folder", opened.alias("opened")))
-        levels.append(found)
-        front = found.where("opened").select("path")
+        found = front.repartition(workers).mapInArrow(run, schema)
+        found = cut(found.select("path", "is_folder", opened.alias("opened"), "pending"))
+        levels.append(found.drop("pending"))
+        front = found.where("opened AND pending").select("path")
         if front.isEmpty():
             return reduce(DataFrame.union, levels)
 

@@ -61,7 +61,9 @@ def test_listing(spark, root):
     assert info["src/api/a.zig"][:3] == ("a", ".zig", "src/api") and info["up.zig"][2] == "" and info["src/empty.zig"][3] == 0
 
 
-def test_folders_that_are_left_out_are_not_opened(spark, root, tmp_path):
+@pytest.mark.parametrize("descent", [64, 1])
+def test_folders_that_are_left_out_are_not_opened(spark, root, tmp_path, monkeypatch, descent):
+    monkeypatch.setattr(projects, "DESCENT", descent)
     opened = lambda **k: {r.path for r in projects.tree(spark, root, **k).where("opened").collect()}
     assert opened() == {"src", "src/api", "vendor", "tool", "tool/src", "gen", "gen/deep"}
     assert opened(default=True, boundary=True, exclusions=("gen",)) == {"src", "src/api", "tool"}
