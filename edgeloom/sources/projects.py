@@ -6,6 +6,7 @@ ignore comments, resolution and normalization are DataFrame operations on its ro
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 from collections.abc import Iterator
@@ -378,7 +379,6 @@ def references(rows: DataFrame, strict: bool = False) -> DataFrame:
     whose brackets or literals do not end gives no references, or fails the job if strict. Null and
     empty contents have none; a file is read whole by one task.
     """
-    import bisect
 
     def make(path, content, found):
         starts = _lines(content)
@@ -392,28 +392,34 @@ def references(rows: DataFrame, strict: bool = False) -> DataFrame:
     return found.select("source", "target", kind_of(F.col("call"), F.col("target")).alias("kind"), F.struct("byte_offset", "line", "column").alias("location"), "last_line", "in_test")
 
 
+def _directive(marker: str):
+    """A function of (path, line, comment, trailing): (line, trailing, targets) of an ignore comment, None for any other."""
+    start = re.compile(rf"\s*{re.escape(marker)}(?![\w-])")
+    shape = re.compile(rf"\s*{re.escape(marker)}:\s*ignore(?:\s+(?P<targets>[^\s,]+(?:(?:\s*,\s*|\s+)[^\s,]+)*))?\s*")
+
+    def read(path, line, text, trailing):
+        if not start.match(text):
+            return None
+        m = shape.fullmatch(text)
+        if not m:
+            raise ValueError(f"{path}:{line}: malformed ignore comment: //{text}")
+        return line, trailing, re.split(r"[\s,]+", m["targets"]) if m["targets"] else []
+
+    return read
+
+
 def directives(rows: DataFrame, marker: str = MARKER, strict: bool = False) -> DataFrame:
     """(path, line, trailing, targets) of each ignore comment, "// marker: ignore [targets]"; a malformed one fails the job.
 
     targets, separated by commas or white space, is empty for all. trailing tells whether code
     stands before it on its line.
     """
-    import bisect
-
-    start = re.compile(rf"\s*{re.escape(marker)}(?![\w-])")
-    shape = re.compile(rf"\s*{re.escape(marker)}:\s*ignore(?:\s+(?P<targets>[^\s,]+(?:(?:\s*,\s*|\s+)[^\s,]+)*))?\s*")
+    read = _directive(marker)
 
     def make(path, content, found):
-        starts, out = _lines(content), []
-        for text, at, trailing in found.comments:
-            if not start.match(text):
-                continue
-            line = bisect.bisect_right(starts, at)
-            m = shape.fullmatch(text)
-            if not m:
-                raise ValueError(f"{path}:{line}: malformed ignore comment: //{text}")
-            out.append((path, line, trailing, re.split(r"[\s,]+", m["targets"]) if m["targets"] else []))
-        return out
+        starts = _lines(content)
+        said = (read(path, bisect.bisect_right(starts, at), text, trailing) for text, at, trailing in found.comments)
+        return [(path, *x) for x in said if x]
 
     return _map_files(rows, make, "path string, line long, trailing boolean, targets array<string>", strict)
 
@@ -426,6 +432,78 @@ def drop_ignored(refs: DataFrame, ignored: DataFrame) -> DataFrame:
     return refs.join(d, (F.col("source") == F.col("d_path")) & on_line & ((F.size("targets") == 0) | F.array_contains("targets", F.col("target"))), "left_anti")
 
 
+_CALL = "struct<call: string, target: string, byte_offset: bigint, line: bigint, column: bigint, last_line: bigint, in_test: boolean>"
+_COMMENT = "struct<line: bigint, trailing: boolean, targets: array<string>>"
+
+
+def scan(rows: DataFrame, marker: str = MARKER, strict: bool = False) -> DataFrame:
+    """(path, calls, comments): what references() and directives() find in each code file, in one row and one pass over it.
+
+    A file that gives no references has empty arrays, whose lengths the file bounds otherwise.
+    """
+    matching = _directive(marker)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        call_type = pa.list_(pa.struct([("call", pa.string()), ("target", pa.string()), *((n, pa.int64()) for n in ("byte_offset", "line", "column", "last_line")), ("in_test", pa.bool_())]))
+        comment_type = pa.list_(pa.struct([("line", pa.int64()), ("trailing", pa.bool_()), ("targets", pa.list_(pa.string()))]))
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _tokenize(content or b"")
+                if found.problem and strict:
+                    raise ValueError(f"{path}: {found.problem}")
+                starts = _lines(content or b"")
+                line = lambda at: bisect.bisect_right(starts, at)  # noqa: B023, E731
+                own = [] if found.problem else [dict(call=c, target=t, byte_offset=at, line=line(at), column=at - starts[line(at) - 1] + 1, last_line=line(end - 1), in_test=tested) for c, t, at, end, tested in found.calls]
+                said = [] if found.problem else [x for x in (matching(path, line(at), text, trailing) for text, at, trailing in found.comments) if x]
+                out.append((path, own, [dict(line=n, trailing=t, targets=names) for n, t, names in said]))
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), call_type, comment_type), strict=True)], names=["path", "calls", "comments"])
+
+    code = rows.where(F.endswith("path", F.lit(".zig"))).select("path", F.col("content").cast("binary").alias("content"))
+    return code.mapInArrow(run, f"path string, calls array<{_CALL}>, comments array<{_COMMENT}>")
+
+
+def kept_references(scanned: DataFrame) -> DataFrame:
+    """The references of scanned(path, calls, comments) that no ignore comment takes out, as drop_ignored gives them."""
+
+    def taken_out(call: Column, comment: Column) -> Column:
+        on_line = F.when(comment["trailing"], comment["line"].between(call["line"], call["last_line"])).otherwise(call["line"] == comment["line"] + 1)
+        return on_line & ((F.size(comment["targets"]) == 0) | F.array_contains(comment["targets"], call["target"]))
+
+    kept = F.filter("calls", lambda c: ~F.exists("comments", lambda d: taken_out(c, d)))
+    rows = scanned.select(F.col("path").alias("source"), F.explode(kept).alias("c")).select("source", "c.*")
+    return rows.select("source", "target", kind_of(F.col("call"), F.col("target")).alias("kind"), F.struct("byte_offset", "line", "column").alias("location"), "last_line", "in_test")
+
+
+def with_digest(rows: DataFrame) -> DataFrame:
+    return rows.where(F.endswith("path", F.lit(".zig"))).select("path", "content", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+def new_contents(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(digest, content): each content of the code files of rows(path, content) that known(digest, ...) does not have, once."""
+    keyed = with_digest(rows)
+    if known is not None:
+        keyed = keyed.join(known.select("digest"), "digest", "left_anti")
+    return keyed.groupBy("digest").agg(F.first("content").alias("content"))
+
+
+def content_table(rows: DataFrame, known: DataFrame | None = None, marker: str = MARKER, strict: bool = False) -> DataFrame:
+    """(digest, calls, comments) of the contents of rows, to be kept beside the graph: known's rows and those of new contents.
+
+    Only contents that known lacks are tokenized: none of an unchanged, moved or copied file. Rows of contents
+    that no file has any longer stay out of a scan's way and may be kept.
+    """
+    new = new_contents(rows, known).select(F.concat("digest", F.lit(".zig")).alias("path"), "content")
+    fresh = scan(new, marker, strict).select(F.substring_index("path", ".", 1).alias("digest"), "calls", "comments")
+    return fresh if known is None else known.select("digest", "calls", "comments").unionByName(fresh)
+
+
+def scan_with(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """scan() of rows from the table that content_table made of them."""
+    return with_digest(rows).drop("content").join(table, "digest").select("path", "calls", "comments")
+
+
 def option_filters(refs: DataFrame, include_resources: bool = True, include_c: bool = True, include_tests: bool = True) -> DataFrame:
     """References without resources, C headers or those inside tests, as the options say."""
     for wanted, of in ((include_resources, F.col("kind") == "embedded_file"), (include_c, F.col("kind") == "c_header"), (include_tests, F.col("in_test"))):
@@ -535,25 +613,32 @@ def self_edge_files(rows: DataFrame) -> DataFrame:
     return rows.where(F.endswith("path", F.lit(".zig"))).select("path")
 
 
-def graph_of(rows: DataFrame, aliases: DataFrame | None = None, units: DataFrame | None = None, *, listed: DataFrame | None = None, marker: str = MARKER, include_resources: bool = True, include_c: bool = True, include_tests: bool = True, strict: bool = False) -> DataFrame:
+def graph_of(rows: DataFrame, aliases: DataFrame | None = None, units: DataFrame | None = None, *, listed: DataFrame | None = None, scanned: DataFrame | None = None, marker: str = MARKER, include_resources: bool = True, include_c: bool = True, include_tests: bool = True, strict: bool = False) -> DataFrame:
     """The normalized edges of files(path, content): scan, ignore comments, options, resolution, self-edges.
 
-    listed(path) is what references may resolve to, the files themselves if it is not given.
+    listed(path) is what references may resolve to, the files themselves if it is not given; scanned is scan() of
+    the rows, or scan_with() a table of their contents, where that is at hand. A file is tokenized once.
     """
-    refs = drop_ignored(references(rows, strict), directives(rows, marker, strict))
+    refs = kept_references(scan(rows, marker, strict) if scanned is None else scanned)
     refs = option_filters(refs, include_resources, include_c, include_tests)
     return normalize(resolve(refs, rows.select("path") if listed is None else listed, aliases, units), self_edge_files(rows))
 
 
-def project_graph(spark: SparkSession, root: str, aliases: DataFrame | None = None, units: DataFrame | None = None, *, exclusions: tuple[str, ...] = (), **options) -> DataFrame:
+def project_graph(spark: SparkSession, root: str, aliases: DataFrame | None = None, units: DataFrame | None = None, *, exclusions: tuple[str, ...] = (), table: DataFrame | None = None, marker: str = MARKER, strict: bool = False, **options) -> DataFrame:
     """The normalized edges of the project under root, in one call.
 
-    A reference may lead into a folder that the scan does not list; such targets are looked up one by one.
+    table is a content_table of the same marker, for a project that has been scanned before: only contents
+    that it lacks are tokenized. A reference may lead into a folder that the scan does not list; such targets
+    are looked up one by one.
     """
     listed, paths = _scanned(spark, root, exclusions, True, True, True)
-    rows = cut(_read(spark, root, paths))
-    wanted = referred_paths(references(rows, options.get("strict", False)))
+    rows = _read(spark, root, paths)
+    if table is not None:
+        scanned = cut(scan_with(rows, content_table(rows, table, marker, strict)))
+    else:
+        scanned = cut(scan(rows, marker, strict))
+    wanted = referred_paths(kept_references(scanned))
     if aliases is not None:
         wanted = wanted.union(aliases.select(fold_path(F.col("path")).alias("path")))
     more = present(wanted.distinct().join(listed, "path", "left_anti"), root)
-    return graph_of(rows, aliases, units, listed=listed.union(more), **options)
+    return graph_of(paths, aliases, units, listed=listed.union(more), scanned=scanned, **options)

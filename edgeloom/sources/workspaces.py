@@ -147,7 +147,7 @@ def graph_of(rows: DataFrame, packages: tuple[Package, ...], units: tuple[Unit,
     if exclusions:
         kept = projects.exclude(own.select(qualified(F.col("package"), F.col("inner")).alias("path"), F.col("path").alias("whole")), exclusions)
         own = own.join(kept.select(F.col("whole").alias("path")), "path", "left_semi")
-    refs = projects.drop_ignored(projects.references(own, strict), projects.directives(own, marker, strict))
+    refs = projects.kept_references(projects.scan(own, marker, strict))
     refs = projects.option_filters(refs, include_resources, include_c, include_tests)
     known = own.select("path", "package", "inner") if listed is None else assign(listed, packages)
     named = own.select(qualified(F.col("package"), F.col("inner")).alias("path"))

@@ -134,6 +134,32 @@ def test_references(spark, root):
     assert projects.references(nothing).count() == projects.directives(nothing).count() == 0
 
 
+def test_one_pass_gives_the_same_references(spark, root):
+    rows = projects.files(spark, root)
+    columns = ("source", "target", "kind", "location", "last_line", "in_test")
+    plain = projects.drop_ignored(projects.references(rows), projects.directives(rows)).select(*columns)
+    assert sorted(map(str, projects.kept_references(projects.scan(rows)).select(*columns).collect())) == sorted(map(str, plain.collect()))
+    with pytest.raises(PySparkException):
+        projects.scan(rows, strict=True).collect()
+    assert projects.scan(rows.limit(0)).count() == 0
+
+
+def test_a_rescan_tokenizes_new_contents_only(spark, root, tmp_path):
+    first = projects.files(spark, root)
+    table = projects.cut(projects.content_table(first))
+    again = lambda: projects.files(spark, root)
+    assert projects.new_contents(again(), table).count() == 0
+    edges = lambda t=None: sorted(map(str, projects.project_graph(spark, root, table=t).collect()))
+    assert edges(table) == edges()
+    (tmp_path / "src" / "api" / "a.zig").rename(tmp_path / "src" / "api" / "moved.zig")
+    assert projects.new_contents(again(), table).count() == 0 and edges(table) == edges()
+    (tmp_path / "up.zig").write_text('@import("src/main.zig")')
+    (tmp_path / "copy.zig").write_text('@import("src/main.zig")')
+    (tmp_path / "src" / "empty.zig").unlink()
+    assert [bytes(r.content) for r in projects.new_contents(again(), table).collect()] == [b'@import("src/main.zig")']
+    assert edges(table) == edges()
+
+
 def test_project_graph(spark, root):
     aliases = spark.createDataFrame([("data", "up.zig"), ("pkg", None)], "alias string, path string")
     edges = projects.project_graph(spark, root, aliases)
