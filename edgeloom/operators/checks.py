@@ -26,14 +26,14 @@ def _quoted(selectors) -> str:
 def have_field(edges: DataFrame, pattern: Filter, selectors=(), should: bool = True, allow_empty: bool = False) -> DataFrame:
     rule = violations.sentence(selectors, should, f'match {pattern.target} "{pattern.source}"')
     found = violations.as_text(rules.have_field(edges, pattern, selectors, should), "matching", rule, "path", {"File": "path"})
-    return violations.checked(found, rules.subjects(edges, selectors), "files.match", rule, allow_empty)
+    return violations.checked(found, rules.subjects(edges, selectors), "files.match", rule, allow_empty, selectors)
 
 
 def depend_on_files(edges: DataFrame, subject_selectors=(), object_selectors=(), should: bool = True, allow_empty: bool = False) -> DataFrame:
     rule = violations.sentence(subject_selectors, should, f"{'only ' if should else ''}depend on {_quoted(object_selectors)}")
     found = rules.depend_on_files(edges, subject_selectors, object_selectors, should)
     text = violations.as_text(found, "file_dependency", rule, "source", {"File": "source", "Dependencies": "targets"})
-    return violations.checked(text, rules.subjects(edges, subject_selectors), "files.depend_on_files", rule, allow_empty)
+    return violations.checked(text, rules.subjects(edges, subject_selectors), "files.depend_on_files", rule, allow_empty, subject_selectors)
 
 
 def depend_on_external(edges: DataFrame, filters, subject_selectors=(), categories=rules.DEFAULT_CATEGORIES, should: bool = True, allow_empty: bool = False) -> DataFrame:
@@ -41,20 +41,27 @@ def depend_on_external(edges: DataFrame, filters, subject_selectors=(), categori
     rule = violations.sentence(subject_selectors, should, f"{'only ' if should else ''}depend on external modules {names}")
     found = rules.depend_on_external(edges, filters, subject_selectors, categories, should)
     text = violations.as_text(found, "external_dependency", rule, "source", {"File": "source", "Dependencies": "targets"})
-    return violations.checked(text, rules.subjects(edges, subject_selectors), "files.depend_on_external", rule, allow_empty)
+    return violations.checked(text, rules.subjects(edges, subject_selectors), "files.depend_on_external", rule, allow_empty, subject_selectors)
 
 
 def have_no_cycles(edges: DataFrame, selectors=(), limit: int = LIMIT, allow_empty: bool = False) -> DataFrame:
     rule = violations.sentence(selectors, True, "have no cycles")
     found = rules.have_no_cycles(edges, selectors, limit)
     text = violations.as_text(found, "cycle", rule, F.substring_index("path", " -> ", 1), {"Cycle": "path"})
-    return violations.checked(text, rules.subjects(edges, selectors), "files.have_no_cycles", rule, allow_empty)
+    return violations.checked(text, rules.subjects(edges, selectors), "files.have_no_cycles", rule, allow_empty, selectors)
 
 
 def adhere_to(files: DataFrame, predicate: Column, description: str, selectors=(), should: bool = True, allow_empty: bool = False) -> DataFrame:
     rule = violations.sentence(selectors, should, f"adhere to {description}")
     found = violations.as_text(rules.adhere_to(files, predicate, description, selectors, should), "custom_file", rule, "path", {"File": "path", "Expected": "description"})
-    return violations.checked(found, files.where(all_of(selectors, F.col("path"))), "files.adhere_to", rule, allow_empty)
+    return violations.checked(found, files.where(all_of(selectors, F.col("path"))), "files.adhere_to", rule, allow_empty, selectors)
+
+
+def _layer_scopes(stack: list[layers.Layer]) -> Column:
+    out = F.lit(None).cast("string")
+    for one in stack:
+        out = F.when(F.col("layer") == one.name, violations.scope([one.filters])).otherwise(out)
+    return out
 
 
 def adhere_to_layers(edges: DataFrame, stack: list[layers.Layer], policies: list[layers.Policy], strict: bool = False, allow_empty: bool = False) -> DataFrame:
@@ -66,7 +73,7 @@ def adhere_to_layers(edges: DataFrame, stack: list[layers.Layer], policies: list
     text = violations.as_text(found, "layer_dependency", rule, "source", details)
     if allow_empty:
         return text
-    unused = violations.as_text(layers.unused_sources(edges, stack, policies), "empty_test", rule, "layer", {"Rule id": F.concat(F.lit("layers."), "layer"), "Reason": F.lit("no files matched the rule scope")})
+    unused = violations.as_text(layers.unused_sources(edges, stack, policies), "empty_test", rule, "layer", {"Rule id": F.concat(F.lit("layers."), "layer"), "Reason": F.lit("no files matched the rule scope"), "Selectors": _layer_scopes(stack)})
     return text.unionByName(unused)
 
 

@@ -35,6 +35,16 @@ def normalize(references: DataFrame, files: DataFrame | None = None) -> DataFram
     return merged.select("source", "target", checked.alias("external"), "kinds", "classes", "availabilities", "locations")
 
 
+def locations(references: DataFrame) -> DataFrame:
+    """(source, target, location): where references stand, each place once, as rows and not as an array of the pair.
+
+    For pairs with more places than a row should hold; normalize without its locations goes with it, since Spark
+    leaves out columns that nobody reads. References without a place have no row.
+    """
+    ends = [normalize_path(F.col(c)).alias(c) for c in ("source", "target")]
+    return references.where("location IS NOT NULL").select(*ends, "location").distinct()
+
+
 def find(edges: DataFrame, source: str, target: str) -> DataFrame:
     return edges.where((F.col("source") == source) & (F.col("target") == target))
 

@@ -48,11 +48,16 @@ def _grouped(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.count("*").alias("n_edges"), F.array_join(F.array_sort(F.collect_set("target")), "|").alias("targets"))
 
 
-def depend_on_files(edges: DataFrame, subject_selectors=(), object_selectors=(), should: bool = True, files: DataFrame | None = None) -> DataFrame:
-    """(source, n_edges, targets): direct internal edges outside the objects (should) or into them (should not)."""
+def file_dependencies(edges: DataFrame, subject_selectors=(), object_selectors=(), should: bool = True, files: DataFrame | None = None) -> DataFrame:
+    """The edges that depend_on_files gathers by source, as rows: for sources with more targets than a row should hold."""
     of_subjects = per_internal_edge(edges).join(subjects(edges, subject_selectors, files).select(F.col("path").alias("source")), "source", "left_semi")
     allowed = objects(edges, object_selectors).select(F.col("path").alias("target"))
-    return _grouped(of_subjects.join(allowed, "target", "left_anti" if should else "left_semi"))
+    return of_subjects.join(allowed, "target", "left_anti" if should else "left_semi")
+
+
+def depend_on_files(edges: DataFrame, subject_selectors=(), object_selectors=(), should: bool = True, files: DataFrame | None = None) -> DataFrame:
+    """(source, n_edges, targets): direct internal edges outside the objects (should) or into them (should not)."""
+    return _grouped(file_dependencies(edges, subject_selectors, object_selectors, should, files))
 
 
 def category(edge_kinds: Column, edge_classes: Column, availabilities: Column) -> Column:
@@ -77,10 +82,15 @@ def external_candidates(edges: DataFrame, subject_selectors=(), categories=DEFAU
     return found.where(F.col("category").bitwiseAND(bit(CATEGORIES, *categories)) != 0)
 
 
+def external_dependencies(edges: DataFrame, filters, subject_selectors=(), categories=DEFAULT_CATEGORIES, should: bool = True, files: DataFrame | None = None) -> DataFrame:
+    """The edges that depend_on_external gathers by source, as rows."""
+    holds = any_of(filters, F.col("target"))
+    return external_candidates(edges, subject_selectors, categories, files).where(~holds if should else holds)
+
+
 def depend_on_external(edges: DataFrame, filters, subject_selectors=(), categories=DEFAULT_CATEGORIES, should: bool = True, files: DataFrame | None = None) -> DataFrame:
     """(source, n_edges, targets): external edges outside the filters (should) or within (should not)."""
-    holds = any_of(filters, F.col("target"))
-    return _grouped(external_candidates(edges, subject_selectors, categories, files).where(~holds if should else holds))
+    return _grouped(external_dependencies(edges, filters, subject_selectors, categories, should, files))
 
 
 def have_no_cycles(edges: DataFrame, selectors=(), limit: int = LIMIT) -> DataFrame:

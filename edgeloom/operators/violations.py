@@ -38,6 +38,28 @@ def sentence(selectors=(), should: bool = True, predicate: str = "", subject: st
     return subject + "".join(_selector(tuple(s)) for s in selectors if s) + (" should " if should else " should not ") + predicate
 
 
+# What a filter's target is called among the selectors of an empty check.
+_TARGETS = {FILENAME: "filename", PATH: "path", FOLDER: "folder", NAME: "declaration name"}
+
+
+def scope(selectors=()) -> str:
+    """The selectors of a rule one by one: alternatives of a call, calls that all hold, and exclusions behind what they take from."""
+
+    def one(f: Filter) -> str:
+        quoted = f.source.replace("\\", "\\\\").replace('"', '\\"')
+        return f'{_TARGETS[f.target]} {"glob" if f.is_glob else "regex"} "{quoted}" ({"exact" if f.exact else "partial"})'
+
+    calls = []
+    for alternatives in (s for s in selectors if s):
+        out = one(alternatives[0])
+        for k, f in enumerate(alternatives):
+            if k:  # after an exclusion, the next alternative is written like a new call
+                out += (" AND " if alternatives[k - 1].exclusions else " OR ") + one(f)
+            out += "".join(f" EXCEPT {one(e)}" for e in f.exclusions)
+        calls.append(out)
+    return " AND ".join(calls) or "unfiltered project scope"
+
+
 def as_text(rows: DataFrame, kind: str, rule: str, sort_key: Column | str, details: dict[str, Column | str]) -> DataFrame:
     """(kind, sort_key, heading, details) of each violation row: the rule's sentence, then a line for each detail that is not null."""
     if kind not in HEADINGS:
@@ -49,15 +71,15 @@ def as_text(rows: DataFrame, kind: str, rule: str, sort_key: Column | str, detai
     return rows.select(F.lit(kind).alias("kind"), column(sort_key).cast("string").alias("sort_key"), F.lit(HEADINGS[kind]).alias("heading"), F.concat_ws("\n", *lines).alias("details"))
 
 
-def empty_test(selected: DataFrame, rule_id: str, rule: str) -> DataFrame:
+def empty_test(selected: DataFrame, rule_id: str, rule: str, selectors=()) -> DataFrame:
     """One violation, as text, if selected has no row; else none."""
     none = selected.agg(F.count("*").alias("n")).where("n = 0")
-    return as_text(none, "empty_test", rule, F.lit(rule_id), {"Rule id": F.lit(rule_id), "Reason": F.lit("no files matched the rule scope")})
+    return as_text(none, "empty_test", rule, F.lit(rule_id), {"Rule id": F.lit(rule_id), "Reason": F.lit("no files matched the rule scope"), "Selectors": F.lit(scope(selectors))})
 
 
-def checked(violations: DataFrame, selected: DataFrame, rule_id: str, rule: str, allow_empty: bool = False) -> DataFrame:
-    """The violations (as text) of a rule, and the empty guard's unless a rule without subjects is allowed."""
-    return violations if allow_empty else violations.unionByName(empty_test(selected, rule_id, rule))
+def checked(violations: DataFrame, selected: DataFrame, rule_id: str, rule: str, allow_empty: bool = False, selectors=()) -> DataFrame:
+    """The violations (as text) of a rule, and the empty guard's, which names the selectors, unless a rule without subjects is allowed."""
+    return violations if allow_empty else violations.unionByName(empty_test(selected, rule_id, rule, selectors))
 
 
 def result(violations: DataFrame) -> DataFrame:

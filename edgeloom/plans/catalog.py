@@ -69,9 +69,9 @@ def normalize_edges(spark, sf_dir):
 
 @query("SELECT source, target, n_locations, first_at, last_at FROM edges WHERE n_locations > 0")
 def edge_locations(spark, sf_dir):
-    at = F.col("locations.byte_offset")
-    rows = _edges(spark, sf_dir).where(F.size("locations") > 0)
-    return rows.select("source", "target", F.size("locations").cast("long").alias("n_locations"), F.array_min(at).alias("first_at"), F.array_max(at).alias("last_at"))
+    at = F.col("location.byte_offset")
+    rows = graph.locations(tables.references(spark, sf_dir))
+    return rows.groupBy("source", "target").agg(F.count("*").alias("n_locations"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
 
 @query("SELECT source, target, kinds FROM edges WHERE NOT external AND source <> target")
@@ -600,14 +600,14 @@ _SENTENCE = 'project files, in path "{}" should have name "Customer#*6"'
 @query(f"""SELECT CAST(row_number() OVER (ORDER BY sort_key, heading, details) - 1 AS BIGINT) AS position, * FROM (
   SELECT 'matching' AS kind, path AS sort_key, 'File pattern violation' AS heading, 'Rule: {_SENTENCE.format("ASIA/**")}' || chr(10) || 'File: ' || path AS details
   FROM files WHERE path LIKE 'ASIA/%' AND NOT regexp_matches(path, '6$')
-  UNION ALL SELECT 'empty_test', 'names', 'Empty test violation', 'Rule: {_SENTENCE.format("ATLANTIS/**")}' || chr(10) || 'Rule id: names' || chr(10) || 'Reason: no files matched the rule scope')""")
+  UNION ALL SELECT 'empty_test', 'names', 'Empty test violation', 'Rule: {_SENTENCE.format("ATLANTIS/**")}' || chr(10) || 'Rule id: names' || chr(10) || 'Reason: no files matched the rule scope' || chr(10) || 'Selectors: path glob "ATLANTIS/**" (exact)')""")
 def violation_text(spark, sf_dir):
     """Two checks as text, in order: one with violations, one that the empty guard finds to select nothing."""
     edges, out = _edges(spark, sf_dir), []
     for selectors in ([[ASIA]], [[glob("ATLANTIS/**")]]):
         rule = violations.sentence(selectors, predicate='have name "Customer#*6"')
         found = violations.as_text(rules.have_field(edges, SIX, selectors), "matching", rule, "path", {"File": "path"})
-        out.append(violations.checked(found, rules.subjects(edges, selectors), "names", rule))
+        out.append(violations.checked(found, rules.subjects(edges, selectors), "names", rule, selectors=selectors))
     return ordering.numbered(out[0].unionByName(out[1]), *ordering.ORDERS["violations"])
 
 
@@ -628,7 +628,7 @@ def file_view(spark, sf_dir):
 
 @query("""SELECT kind, heading, count(*) AS n, min(details) AS first_details FROM (
   SELECT 'matching' AS kind, 'File pattern violation' AS heading, 'Rule: project files, in path "ASIA/**" should match filename "Customer#*6"' || chr(10) || 'File: ' || path AS details FROM files WHERE path LIKE 'ASIA/%' AND NOT regexp_matches(path, '6$')
-  UNION ALL SELECT 'empty_test', 'Empty test violation', 'Rule: project files, in path "ATLANTIS/**" should only depend on files, in path "ASIA/**"' || chr(10) || 'Rule id: files.depend_on_files' || chr(10) || 'Reason: no files matched the rule scope'
+  UNION ALL SELECT 'empty_test', 'Empty test violation', 'Rule: project files, in path "ATLANTIS/**" should only depend on files, in path "ASIA/**"' || chr(10) || 'Rule id: files.depend_on_files' || chr(10) || 'Reason: no files matched the rule scope' || chr(10) || 'Selectors: path glob "ATLANTIS/**" (exact)'
   UNION ALL SELECT 'layer_dependency', 'Layer dependency violation', 'Rule: layers top, middle, base should hold their policies' || chr(10) || 'Dependency: ' || source || ' -> ' || target || chr(10) || 'Source layer: ' || source_layer || chr(10) || 'Target layer: ' || target_layer || chr(10) || 'Policy: may_only_depend_on_layers'
     FROM placed WHERE source_layer = 'top' AND target_layer = 'base'
   UNION ALL SELECT 'metric', 'Metric threshold violation', 'Rule: efferent should be below or equal 10' || chr(10) || 'Subject: ' || label || chr(10) || 'Expected: below or equal 10' || chr(10) || 'Actual: ' || efferent FROM coupled WHERE efferent > 10

@@ -99,7 +99,11 @@ def external_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references, to customers and to brands."""
+    return internal_references(spark, sf_dir).unionByName(external_references(spark, sf_dir))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph, normalized."""
-    references = internal_references(spark, sf_dir).unionByName(external_references(spark, sf_dir))
-    return normalize(references, files(spark, sf_dir))
+    return normalize(references(spark, sf_dir), files(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidDiagram, InvalidLayer, InvalidOptions
-from edgeloom.functions.patterns import collapse_folder, glob, regex
+from edgeloom.functions.patterns import collapse_folder, exact_file, glob, regex
 from edgeloom.operators import checks, graph, layers, metrics, ordering, rules, slices, traversal, violations
 from edgeloom.operators.components import components
 
@@ -27,6 +27,8 @@ def test_normalize_merges_parallel_references(spark):
     rows = [("a\\x", "b", False, 1, 1, 1, (5, 1, 1)), ("a/x", "b", False, 4, 2, 2, (2, 1, 1)), ("a/x", "b", False, 4, 2, 2, (2, 1, 1)), ("a/x", "b", False, 4, 2, 2, None)]
     found = graph.normalize(spark.createDataFrame(rows, REFERENCES)).collect()
     assert [(r.source, r.kinds, r.classes, r.availabilities, [x.byte_offset for x in r.locations]) for r in found] == [("a/x", 5, 3, 3, [2, 5])]
+    at = graph.locations(spark.createDataFrame(rows, REFERENCES)).collect()
+    assert sorted((r.source, r.target, r.location.byte_offset) for r in at) == [("a/x", "b", 2), ("a/x", "b", 5)]
 
 
 def test_conflicting_externality_fails(spark):
@@ -59,6 +61,8 @@ def test_rules(spark):
     assert pairs(rules.depend_on_files(edges, app, core, should=False), "source", "targets") == [("app/a", "core/b")]
     assert rules.depend_on_files(edges, [[glob("ui/*")]], core).count() == 0
     assert pairs(rules.depend_on_external(edges, [glob("other")], app), "source", "targets") == [("app/a", "std")]
+    assert pairs(rules.file_dependencies(edges, app, core), "source", "target") == [("app/a", "ui/c")]
+    assert pairs(rules.external_dependencies(edges, [glob("other")], app), "source", "target") == [("app/a", "std")]
     assert pairs(rules.have_field(edges, glob("core/*"), should=False), "path") == [("core/b",), ("core/d",)]
 
 
@@ -182,6 +186,10 @@ def test_violations_as_text(spark):
     assert rule == 'project files, in path ("app/*" or "x"), except in path regex "y+" should not be in folder "app"'
     found = violations.as_text(rules.have_field(edges, glob("app/*"), should=False), "matching", rule, "path", {"File": "path", "Note": F.lit(None).cast("string")})
     assert [tuple(x) for x in found.collect()] == [("matching", "app/a", "File pattern violation", f"Rule: {rule}\nFile: app/a")]
+    assert violations.scope([[glob("a/*"), glob("b").excluding(regex("y+"))], [], [exact_file("z.zig")]]) == 'path glob "a/*" (exact) OR path glob "b" (exact) EXCEPT path regex "y+" (partial) AND path regex "z\\\\.zig" (exact)'
+    guard = violations.empty_test(rules.subjects(edges, [[glob("gone/*")]]), "id", rule, [[glob("gone/*")]]).first().details
+    assert guard.split("\n")[1:] == ["Rule id: id", "Reason: no files matched the rule scope", 'Selectors: path glob "gone/*" (exact)']
+    assert violations.scope() == "unfiltered project scope"
     none = rules.subjects(edges, [[glob("gone/*")]])
     assert tuple(violations.result(violations.checked(found.limit(0), none, "id", rule)).first()) == (False, 1)
     assert tuple(violations.result(violations.checked(found.limit(0), none, "id", rule, allow_empty=True)).first()) == (True, 0)
