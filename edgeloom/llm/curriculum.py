@@ -73,18 +73,24 @@ def demand_inverse(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, repeats, schedules, carry: list[Column]) -> DataFrame:
-    """(carry..., size, source_size, target, positions): one position for each time that a document is taken."""
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, repeats, schedules, carry: list[Column], ties: list[str] | None = None) -> DataFrame:
+    """(carry..., size, source_size, target, positions): one position for each time that a document is taken.
+
+    ties are columns that order rows of one id and size, by a hash of all and then as they are; rows without an
+    id stand in the order of that hash.
+    """
     small_batches(docs.sparkSession)
     n_docs = docs.count()
     buckets = 1 << max(6, int(n_docs // DOCS_PER_BUCKET).bit_length())
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    tie = F.xxhash64(*ties) if ties else None
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), tie.cast("string") if ties else F.lit("")))
     rows = docs.select(
         F.struct(*carry).alias("carry"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"),
         F.col(source_col).isNull().alias("unnamed"),
         word_count(F.col(text_col).cast("string")).alias("size"),
         key.alias("key"),
+        *([tie.alias("tie")] if ties else []),
     ).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     at = ["name", "unnamed", "bucket"]
     totals = rows.groupBy(*at).agg(F.sum("size").alias("bucket_size"))
@@ -93,12 +99,13 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     goals = goals.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "source_size", "rank", "target")
     before = F.sum("bucket_size").over(W.partitionBy("name", "unnamed").orderBy("bucket")) - F.col("bucket_size")
     offsets = totals.select(*at, before.alias("before")).join(goals, ["name", "unnamed"])
-    inside = W.partitionBy(*at).orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = ["key", "size", *(["tie", *[F.col("carry")[c] for c in ties]] if ties else [])]
+    inside = W.partitionBy(*at).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     placed = rows.join(offsets, at).withColumn("middle", start + F.col("size") / 2)
     times = [F.col("middle") + F.lit(k) * F.col("source_size") for k in range(repeats)]
     taken = [F.when((F.col("size") > 0) & (x <= F.col("target")), demand_inverse(x / F.nullif(F.col("target"), F.lit(0.0)), F.col("rank"), schedules)) for x in times]
-    return placed.select("carry", "size", "source_size", "target", F.array_compact(F.array(*taken)).alias("positions"))
+    return placed.select("carry", "size", "source_size", "target", *(["tie"] if ties else []), F.array_compact(F.array(*taken)).alias("positions"))
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES) -> DataFrame:
@@ -121,11 +128,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The training order itself: the rows of docs, each as often as it is taken, range-sorted by position.
 
     Null, empty and blank texts are never taken, long ones whole or not at all; a null source, null
-    ids and rows that repeat an id as in mixing_plan; ties in position stand in order of id. An empty
-    table stays empty. All columns are carried, whatever their names.
+    ids and rows that repeat an id as in mixing_plan, but that rows of one id and size, and those without an id, stand in
+    the order of a hash of the whole row: however the table is dealt out, the same rows are taken. Ties in
+    position stand in order of id. An empty table stays empty. All columns are carried, whatever their names;
+    columns of maps, which have no order, do not order rows.
     """
-    out = _planned(docs, id_col, text_col, source_col, weights, share, repeats, schedules, [F.col(c) for c in docs.columns])
-    rows = out.select("carry", F.explode("positions").alias("position"))
+    ties = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    out = _planned(docs, id_col, text_col, source_col, weights, share, repeats, schedules, [F.col(c) for c in docs.columns], ties)
+    rows = out.select("carry", "tie", F.explode("positions").alias("position"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "position").sortWithinPartitions("position", F.col("carry")[id_col])
+    ordered = rows.repartitionByRange(n, "position").sortWithinPartitions("position", F.col("carry")[id_col], "tie")
     return ordered.select("carry.*")

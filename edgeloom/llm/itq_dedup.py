@@ -150,6 +150,12 @@ def _doubles(blob) -> np.ndarray:
     return np.frombuffer(blob, f"<f{blob[0]}", offset=1).astype(np.float64)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x, or where squares of its entries would leave the range of doubles, x times a power of two: the same direction."""
+    power = int(np.frexp(np.abs(x).max())[1])
+    return x if -400 < power < 400 else np.ldexp(x, -power)
+
+
 def _clean(docs: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, label, key, vector): key null where the vector or label cannot link.
 
@@ -164,7 +170,7 @@ def _clean(docs: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
                 x = None
                 if label.is_valid and v.is_valid and v.values.null_count == 0:
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    x = x if len(x) and np.isfinite(x).all() and np.any(x) and 0 < np.linalg.norm(x) < np.inf else None
+                    x = _scaled(x) if len(x) and np.isfinite(x).all() and np.any(x) else None
                 keys.append(None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 vectors.append(None if x is None else bytes([width]) + x.astype(f"<f{width}").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "label", "key", "vector"])

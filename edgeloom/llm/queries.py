@@ -78,6 +78,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of the scan by runs of words from before every scan was one; it stays since queries are not taken back."""
+    return op10_license_scan(spark, sf_dir)
+
+
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # only this query needs it
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_license_scan": op10_license_scan,
+    "op10_license_scan_runs": op10_license_scan_runs,
     "op11_packing": op11_packing,
     "op12_filter_audit": op12_filter_audit,
     "op13_prefix_trie": op13_prefix_trie,

@@ -239,3 +239,25 @@ def test_prefix_trie(spark, seed, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((tuple(x) for x in found), key=str) == trie(rows)
     assert empty == 0
+
+
+# What a table's partitions must not change, and vectors at the ends of the range
+
+
+def test_a_mix_does_not_depend_on_partitions(spark):
+    from edgeloom.llm import curriculum
+
+    r = random.Random(6)
+    rows = [(None if k % 3 else k % 5, f"text {k} " + " ".join(r.choice("abc") for _ in range(4)), "s") for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [curriculum.mix(frame.repartition(n), share=0.7).collect() for n in (1, 5, 7)]
+    assert taken[0] == taken[1] == taken[2] and 20 < len(taken[0]) < 36
+
+
+def test_vectors_of_extreme_length(spark):
+    from edgeloom.llm import itq_dedup
+
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1.0, -1.0]), (6, [1e308, -1.7e308]), (7, [0.0, 0.0]), (8, [float("inf"), 1.0])]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    found = {x.vec_id: (x.n_links, x.component_id) for x in itq_dedup.near_duplicate_vectors(frame).collect()}
+    assert found == {**{k: (3, 1) for k in (1, 2, 3, 4)}, **{k: (0, k) for k in (5, 6, 7, 8)}}
