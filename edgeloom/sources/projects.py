@@ -110,19 +110,49 @@ def default_exclusions(rows: DataFrame) -> DataFrame:
     return rows.where(~F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*[F.lit(x) for x in EXCLUDED])))
 
 
+def _outermost(spark: SparkSession, ordered: DataFrame, marked: DataFrame) -> dict[int, str]:
+    """For each partition of ordered(part, key, ...), the outermost marked folder that its first key lies in, if any.
+
+    One row a partition reaches the driver.
+    """
+    first = ordered.groupBy("part").agg(F.min("key").alias("key"))
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("key", "/")) - 1), lambda n: F.concat(F.array_join(F.slice(F.split("key", "/"), F.lit(1), n), "/"), F.lit("/")))
+    ends = first.where(F.instr("key", "/") > 0).select("part", F.explode(above).alias("key"))  # of the first keys alone
+    return {r.part: r.key for r in ends.join(marked, "key", "left_semi").groupBy("part").agg(F.min("key").alias("key")).collect()}
+
+
 def within_boundary(rows: DataFrame, everything: DataFrame | None = None) -> DataFrame:
     """rows(path, ...) without files at or below a subdirectory that has a marker file of its own.
 
-    everything(path) is the listing that markers are looked for in. Each file meets the marker
-    directories on its ancestors, so this is an equi-join however many there are.
+    everything(path) is the listing that markers are looked for in. Paths and marked folders are sorted together by
+    range: what is below a folder follows it without a gap, so one pass tells what lies inside, and a path has
+    one row however deep it lies. Paths are told apart only; rows that repeat one stay or go together.
     """
     every = rows if everything is None else everything
-    name = F.element_at(F.split("path", "/"), -1)
-    marked = every.where(name.isin(*MARKERS) & (F.instr("path", "/") > 0)).select(folder(F.col("path")).alias("above")).distinct()
-    parts = F.split(F.col("path"), "/")
-    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    inner = rows.select("path", F.explode(above).alias("above")).join(marked, "above", "left_semi").select("path").distinct()
-    return rows.join(inner, "path", "left_anti")
+    spark, name = rows.sparkSession, F.element_at(F.split("path", "/"), -1)
+    marked = every.where(name.isin(*MARKERS) & (F.instr("path", "/") > 0)).select(F.concat(folder(F.col("path")), F.lit("/")).alias("key")).distinct()
+    both = rows.select(F.col("path").alias("key"), F.lit(False).alias("mark")).distinct().union(marked.select("key", F.lit(True)))
+    ordered = both.repartitionByRange("key").sortWithinPartitions("key", F.desc("mark"))
+    ordered = cut(ordered.withColumn("part", F.spark_partition_id()))
+    carried = _outermost(spark, ordered, marked)
+
+    def run(batches):
+        inside = None
+        for batch in batches:
+            keys, marks, parts = (c.to_pylist() for c in batch.columns)
+            if inside is None and keys:
+                inside = carried.get(parts[0], "")
+            kept = []
+            for key, mark in zip(keys, marks, strict=True):
+                if inside and key.startswith(inside):
+                    continue
+                if mark:
+                    inside = key
+                else:
+                    kept.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["path"])
+
+    return rows.join(ordered.select("key", "mark", "part").mapInArrow(run, "path string"), "path", "left_semi")
 
 
 class _Store:

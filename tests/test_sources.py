@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -61,6 +62,29 @@ def test_listing(spark, root):
     assert info["src/api/a.zig"][:3] == ("a", ".zig", "src/api") and info["up.zig"][2] == "" and info["src/empty.zig"][3] == 0
 
 
+def test_boundaries_of_many_paths(spark):
+    r = random.Random(4)
+    names = ["a", "a!", "a-b", "b", "build", "é"]
+    paths = sorted({"/".join([r.choice(names) for _ in range(r.choice((1, 2, 3, 5)))] + [r.choice(("x.zig", "y.zig", "build.zig") if r.random() < 0.05 else ("x.zig", "y.zig"))]) for _ in range(500)} | {"build.zig", "x.zig"})
+    marked = {p.rpartition("/")[0] + "/" for p in paths if p.endswith("/build.zig")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(p, 1) for p in paths + paths[:3]], "path string, key int").repartition(3)
+        kept = [x.path for x in projects.within_boundary(rows).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(kept) == sorted(p for p in paths + paths[:3] if not any(p.startswith(m) for m in marked)) and 50 < len(kept) < len(paths)
+    assert projects.within_boundary(rows.limit(0)).count() == 0
+
+
+def test_nearest_packages(spark):
+    packages = workspaces.validate_packages((workspaces.Package("root", "."), workspaces.Package("ab", "a/b"), workspaces.Package("a", "a"), workspaces.Package("abc", "a/b-c")))
+    rows = spark.createDataFrame([(p,) for p in ("x", "a/x", "a/b/x/y", "a/b-c/x", "a/bc", "b/a/x", "a")], "path string")
+    got = {x.path: (x.package, x.inner) for x in workspaces.assign(rows, packages).collect()}
+    assert got == {"x": ("root", "x"), "a/x": ("a", "x"), "a/b/x/y": ("ab", "x/y"), "a/b-c/x": ("abc", "x"), "a/bc": ("a", "bc"), "b/a/x": ("root", "b/a/x"), "a": ("root", "a")}
+    assert {x.path for x in workspaces.assign(rows, packages[:1]).collect()} == {"a/x", "a/b/x/y", "a/b-c/x", "a/bc"}
+
+
 @pytest.mark.parametrize("descent", [64, 1])
 def test_folders_that_are_left_out_are_not_opened(spark, root, tmp_path, monkeypatch, descent):
     monkeypatch.setattr(projects, "DESCENT", descent)
