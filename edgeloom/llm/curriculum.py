@@ -76,14 +76,13 @@ def demand_inverse(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, repeats, schedules, carry: list[Column], ties: list[str] | None = None) -> DataFrame:
     """(carry..., size, source_size, target, positions): one position for each time that a document is taken.
 
-    ties are columns that order rows of one id and size, by a hash of all and then as they are; rows without an
-    id stand in the order of that hash.
+    ties are columns that order rows of one id and size, by a hash of all and then as they are.
     """
     small_batches(docs.sparkSession)
     n_docs = docs.count()
     buckets = 1 << max(6, int(n_docs // DOCS_PER_BUCKET).bit_length())
     tie = F.xxhash64(*ties) if ties else None
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), tie.cast("string") if ties else F.lit("")))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(
         F.struct(*carry).alias("carry"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"),
@@ -128,8 +127,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The training order itself: the rows of docs, each as often as it is taken, range-sorted by position.
 
     Null, empty and blank texts are never taken, long ones whole or not at all; a null source, null
-    ids and rows that repeat an id as in mixing_plan, but that rows of one id and size, and those without an id, stand in
-    the order of a hash of the whole row: however the table is dealt out, the same rows are taken. Ties in
+    ids and rows that repeat an id as in mixing_plan, but that rows of one id (or none) and size stand in the order
+    of a hash of the whole row: however the table is dealt out, the same rows are taken. Ties in
     position stand in order of id. An empty table stays empty. All columns are carried, whatever their names;
     columns of maps, which have no order, do not order rows.
     """
