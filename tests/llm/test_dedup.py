@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import brute
@@ -85,8 +86,11 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.dedup_substrings(rows.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("chunk_bytes", [200, 1 << 20])
-def test_contamination(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes, pass_bytes, piece", [(1 << 20, 32 << 20, 1 << 13), (200, 400, 3), (200, 32 << 20, 1)])
+def test_contamination(spark, monkeypatch, chunk_bytes, pass_bytes, piece):
+    """One chunk; several passes with items cut into pieces; and pieces of one window each."""
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", piece)
     docs = corpus(4)
     r = random.Random(9)
     items = [(k, " ".join((r.choice(docs[:60])[1] or "").split()[5:25])) for k in range(8)] + [(90, "Three, short W7!"), (91, None), (92, ""), (93, "one two"), (None, "ONE-two"), (93, "one two")]
@@ -100,6 +104,20 @@ def test_contamination(spark, chunk_bytes):
     assert sorted(x.doc_id for x in kept.collect()) == [w[0] for w in want if not w[2]]
 
 
+def test_compiled_patterns_stay_near_their_text():
+    r = random.Random(2)
+    known = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(20_000)]
+    shared = " ".join(r.choice(known) for _ in range(10))
+    items = [(f"i{k}", " ".join(r.choice(known) for _ in range(r.randint(30, 400))) + " " + shared) for k in range(400)]
+    patterns = decontaminate.compile_patterns(items)
+    assert len(pickle.dumps(patterns, 5)) <= 4 * sum(len(text) for _, text in items)
+    texts = [shared.upper(), items[7][1], "nothing of it " * 20]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    hit, found = decontaminate.search(patterns, decontaminate.read_words(data, np.cumsum([0] + [len(t) for t in texts])))
+    everyone = {i for i, _ in items}
+    assert found == {0: everyone, 1: everyone} and int(hit.sum()) == 10 + len(items[7][1].split())
+
+
 def test_contamination_without_a_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
