@@ -65,28 +65,31 @@ def _char_class(glob: str, at: int) -> tuple[str, int] | None:
     return f"[{'^/' if negated else ''}{out}]", close + 1
 
 
-def glob_regex(glob: str) -> str:
-    """An anchored Java regex: * and ? stay within a segment, ** crosses them, **/ may match nothing."""
+def _glob_parts(glob: str) -> list[tuple[str, str | None]]:
+    """(regex, the character that it stands for or None) of each part of a glob."""
     if not glob:
         raise InvalidPattern("empty pattern")
-    out, i = "", 0
+    out, i = [], 0
     while i < len(glob):
         c = glob[i]
         if glob.startswith("**/", i) or glob.startswith("**\\", i):
-            out, i = out + "(?:.*/)?", i + 3
+            out.append(("(?:.*/)?", None))
+            i += 3
         elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif c == "*":
-            out, i = out + "[^/]*", i + 1
-        elif c == "?":
-            out, i = out + "[^/]", i + 1
-        elif c == "\\":
-            out, i = out + "/", i + 1
+            out.append((".*", None))
+            i += 2
         elif c == "[" and (found := _char_class(glob, i)):
-            out, i = out + found[0], found[1]
+            out.append((found[0], None))
+            i = found[1]
         else:
-            out, i = out + quote(c), i + 1
-    return rf"(?sd)^{out}\z"
+            out.append({"*": ("[^/]*", None), "?": ("[^/]", None), "\\": ("/", "/")}.get(c, (quote(c), c)))
+            i += 1
+    return out
+
+
+def glob_regex(glob: str) -> str:
+    """An anchored Java regex: * and ? stay within a segment, ** crosses them, **/ may match nothing."""
+    return rf"(?sd)^{''.join(part for part, _ in _glob_parts(glob))}\z"
 
 
 def check_regex(source: str) -> str:
@@ -119,10 +122,34 @@ class Filter:
     def regex(self) -> str:
         return glob_regex(self.source) if self.is_glob else check_regex(self.source)
 
-    def positive(self, path: Column, name: Column | None = None) -> Column:
+    @property
+    def literal_ends(self) -> tuple[str, str, bool]:
+        """(start, end, whole): what each match starts and ends with; whole if it is just that text, or ** between them.
+
+        A regex has ends only if it is a literal; one that is not exact has no end without its anchor.
+        """
+        if self.is_glob:
+            parts = _glob_parts(self.source)
+            plain = [c for _, c in parts]
+            first = plain.index(None) if None in plain else len(plain)
+            last = len(plain) - plain[::-1].index(None) if None in plain else 0
+            rest = [part for part, c in parts if c is None]
+            return "".join(plain[:first]), "".join(plain[last:]), not rest or (rest == [".*"] and last == first + 1)
+        body = re.fullmatch(r"(\^?)((?:[^\\^$.|?*+()\[\]{}]|\\[\\^$.|?*+()\[\]{}])+)(\$?)", self.source, re.DOTALL)
+        if body is None:
+            return "", "", False
+        text = re.sub(r"\\(.)", r"\1", body[2], flags=re.DOTALL)
+        both = self.exact or (bool(body[1]) and bool(body[3]))
+        return text if both or body[1] else "", text if both or body[3] else "", both
+
+    def field_of(self, path: Column, name: Column | None = None) -> Column:
+        """What the pattern is held against."""
         if self.target == NAME and name is None:
             raise InvalidPattern("this candidate has no declaration name")
-        value = {FILENAME: basename, PATH: lambda p: p, FOLDER: folder, NAME: lambda p: name}[self.target](path)
+        return {FILENAME: basename, PATH: lambda p: p, FOLDER: folder, NAME: lambda p: name}[self.target](path)
+
+    def positive(self, path: Column, name: Column | None = None) -> Column:
+        value = self.field_of(path, name)
         found = F.rlike(value, F.lit(self.regex))
         if self.exact and not self.is_glob:  # a glob's regex is anchored at both ends already
             found = found & (F.regexp_extract(value, self.regex, 0) == value)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.errors import InvalidLayer
 from edgeloom.functions.patterns import Filter, any_of
 from edgeloom.operators.graph import nodes, per_internal_edge
+from edgeloom.operators.selection import first_match
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,15 @@ def assign(edges: DataFrame, layers: list[Layer]) -> DataFrame:
     return nodes(edges).withColumn("layer", layer_of(layers, F.col("label")))
 
 
+def assign_many(edges: DataFrame, layers: list[Layer]) -> DataFrame:
+    """The rows of assign, for layers of so many patterns that a path should meet only those that can match."""
+    flat = [(layer.name, f) for layer in layers for f in layer.filters]
+    names = edges.sparkSession.createDataFrame([(k, name) for k, (name, _) in enumerate(flat)], "number int, layer string")
+    owned = nodes(edges)
+    found = first_match(owned, [f for _, f in flat], "label").join(names, "number").select(F.col("path").alias("label"), "layer")
+    return owned.join(found, "label", "left")
+
+
 def check_layers(edges: DataFrame, layers: list[Layer], policies: list[Policy], strict: bool = False) -> DataFrame:
     """(source, target, source_layer, target_layer, policy) of internal edges that a policy forbids.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.patterns import FILENAME, FOLDER, all_of, collapse_folder, collapse_pattern, glob, normalize_path, regex
 from edgeloom.model import CATEGORIES, CLASSES, KINDS, names_of
-from edgeloom.operators import checks, graph, layers, metrics, ordering, rules, slices, traversal, violations
+from edgeloom.operators import checks, graph, layers, metrics, ordering, rules, selection, slices, traversal, violations
 from edgeloom.sources import projects, tables, workspaces
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,3 +645,19 @@ def checked_rules(spark, sf_dir):
         checks.contain_dependency(edges, lambda c: slices.by_regex(c, "^([^/]+)/"), "ASIA", "EUROPE", should=False),
     )
     return found.groupBy("kind", "heading").agg(F.count("*").alias("n"), F.min("details").alias("first_details"))
+
+
+REGIONS, SEGMENTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"), ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("""SELECT path, CAST((right(path, 1) IN ('2', '4', '6', '8') AND path NOT LIKE '%7_') AS INTEGER) + CAST(right(path, 1) = substr(path, -2, 1) AS INTEGER) + CAST(path LIKE '%00%' AND path LIKE 'EUROPE/%' AS INTEGER) AS n_filters,
+  CASE WHEN right(path, 1) IN ('2', '4', '6', '8') AND path NOT LIKE '%7_' THEN regexp_replace(path, '#.*', '#*') || right(path, 1)
+    WHEN right(path, 1) = substr(path, -2, 1) THEN '**/*' || right(path, 2) ELSE '^EUROPE/.*00' END AS first_filter
+  FROM files WHERE (right(path, 1) IN ('2', '4', '6', '8') AND path NOT LIKE '%7_') OR right(path, 1) = substr(path, -2, 1) OR (path LIKE '%00%' AND path LIKE 'EUROPE/%')""")
+def many_patterns(spark, sf_dir):
+    """2 511 filters on every file, most of them with an exclusion: how many select a file, and the first that does."""
+    lists = [f"{r}/NATION_{n}/{s}/Customer#*{d}" for r in REGIONS for n in range(25) for s in SEGMENTS for d in (2, 4, 6, 8)]
+    filters = [glob(g).excluding(glob("*7?", FILENAME)) for g in lists] + [glob(f"**/*{d}{d}") for d in range(10)] + [regex("^EUROPE/.*00")]
+    found = selection.matching(tables.files(spark, sf_dir), filters).groupBy("path").agg(F.count("*").cast("int").alias("n_filters"), F.min("number").alias("number"))
+    names = spark.createDataFrame([(k, f.source) for k, f in enumerate(filters)], "number int, first_filter string")
+    return found.join(names, "number").drop("number")
