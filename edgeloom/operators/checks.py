@@ -73,7 +73,7 @@ def adhere_to_layers(edges: DataFrame, stack: list[layers.Layer], policies: list
     text = violations.as_text(found, "layer_dependency", rule, "source", details)
     if allow_empty:
         return text
-    unused = violations.as_text(layers.unused_sources(edges, stack, policies), "empty_test", rule, "layer", {"Rule id": F.concat(F.lit("layers."), "layer"), "Reason": F.lit("no files matched the rule scope"), "Selectors": _layer_scopes(stack)})
+    unused = violations.as_text(layers.unused_sources(edges, stack, policies), "empty_test", rule, "layer", {"Rule id": F.concat(F.lit("layers."), "layer"), "Reason": F.lit(violations.NOTHING), "Selectors": _layer_scopes(stack)})
     return text.unionByName(unused)
 
 

@@ -65,6 +65,16 @@ def assign_many(edges: DataFrame, layers: list[Layer]) -> DataFrame:
     return owned.join(found, "label", "left")
 
 
+def forbidden(policies: list[Policy], strict: bool, source_layer: Column, target_layer: Column) -> Column:
+    """The policy that an internal edge between these layers breaks; null if it may stand."""
+    found = F.lit(None).cast("string")
+    for p in sorted(policies, key=lambda p: not p.allow):
+        within = target_layer.isin(*p.targets) if p.targets else F.lit(False)
+        bad = (source_layer == p.source) & (target_layer != p.source) & (~within if p.allow else within)
+        found = F.when(bad, "may_only_depend_on_layers" if p.allow else "may_not_depend_on_layers").otherwise(found)
+    return F.when(source_layer.isNull() | target_layer.isNull(), "unassigned_endpoint").otherwise(found) if strict else found
+
+
 def check_layers(edges: DataFrame, layers: list[Layer], policies: list[Policy], strict: bool = False) -> DataFrame:
     """(source, target, source_layer, target_layer, policy) of internal edges that a policy forbids.
 
@@ -76,14 +86,7 @@ def check_layers(edges: DataFrame, layers: list[Layer], policies: list[Policy],
     ends = per_internal_edge(edges).select("source", "target", F.array(layer_of(layers, F.col("source")), layer_of(layers, F.col("target"))).alias("ends"))
     # exploding a single row keeps the optimizer from copying the patterns into each use of a layer
     placed = ends.select("source", "target", F.explode(F.array("ends")).alias("ends")).select("source", "target", F.col("ends")[0].alias("source_layer"), F.col("ends")[1].alias("target_layer"))
-    found = F.lit(None).cast("string")
-    for p in sorted(policies, key=lambda p: not p.allow):
-        within = F.col("target_layer").isin(*p.targets) if p.targets else F.lit(False)
-        bad = (F.col("source_layer") == p.source) & (F.col("target_layer") != p.source) & (~within if p.allow else within)
-        found = F.when(bad, "may_only_depend_on_layers" if p.allow else "may_not_depend_on_layers").otherwise(found)
-    if strict:
-        found = F.when(F.col("source_layer").isNull() | F.col("target_layer").isNull(), "unassigned_endpoint").otherwise(found)
-    return placed.withColumn("policy", found).where("policy IS NOT NULL")
+    return placed.withColumn("policy", forbidden(policies, strict, F.col("source_layer"), F.col("target_layer"))).where("policy IS NOT NULL")
 
 
 def unused_sources(edges: DataFrame, layers: list[Layer], policies: list[Policy]) -> DataFrame:

@@ -22,6 +22,8 @@ HEADINGS = {
     "metric_predicate": "Metric predicate violation",
     "slice_dependency": "Slice dependency violation",
 }
+#: Why an empty guard stands.
+NOTHING = "no files matched the rule scope"
 _PHRASES = {FILENAME: "with name", PATH: "in path", FOLDER: "in folder", NAME: "with declaration name"}
 
 
@@ -71,10 +73,15 @@ def as_text(rows: DataFrame, kind: str, rule: str, sort_key: Column | str, detai
     return rows.select(F.lit(kind).alias("kind"), column(sort_key).cast("string").alias("sort_key"), F.lit(HEADINGS[kind]).alias("heading"), F.concat_ws("\n", *lines).alias("details"))
 
 
+def empty_details(rule_id: str, rule: str, selectors=()) -> str:
+    """The lines of an empty guard, for where they are known without a row."""
+    return f"Rule: {rule}\nRule id: {rule_id}\nReason: {NOTHING}\nSelectors: {scope(selectors)}"
+
+
 def empty_test(selected: DataFrame, rule_id: str, rule: str, selectors=()) -> DataFrame:
     """One violation, as text, if selected has no row; else none."""
     none = selected.agg(F.count("*").alias("n")).where("n = 0")
-    return as_text(none, "empty_test", rule, F.lit(rule_id), {"Rule id": F.lit(rule_id), "Reason": F.lit("no files matched the rule scope"), "Selectors": F.lit(scope(selectors))})
+    return as_text(none, "empty_test", rule, F.lit(rule_id), {"Rule id": F.lit(rule_id), "Reason": F.lit(NOTHING), "Selectors": F.lit(scope(selectors))})
 
 
 def checked(violations: DataFrame, selected: DataFrame, rule_id: str, rule: str, allow_empty: bool = False, selectors=()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.patterns import FILENAME, FOLDER, all_of, collapse_folder, collapse_pattern, glob, normalize_path, regex
 from edgeloom.model import CATEGORIES, CLASSES, KINDS, names_of
-from edgeloom.operators import checks, graph, layers, metrics, ordering, rules, selection, slices, traversal, violations
+from edgeloom.operators import checks, graph, layers, metrics, onescan, ordering, rules, selection, slices, traversal, violations
 from edgeloom.sources import projects, tables, workspaces
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,3 +661,26 @@ def many_patterns(spark, sf_dir):
     found = selection.matching(tables.files(spark, sf_dir), filters).groupBy("path").agg(F.count("*").cast("int").alias("n_filters"), F.min("number").alias("number"))
     names = spark.createDataFrame([(k, f.source) for k, f in enumerate(filters)], "number int, first_filter string")
     return found.join(names, "number").drop("number")
+
+
+@query("""SELECT * FROM (
+  SELECT 'matching' AS kind, path AS sort_key, 'File pattern violation' AS heading, 'Rule: project files, in path "ASIA/**" should match filename "Customer#*6"' || chr(10) || 'File: ' || path AS details FROM files WHERE path LIKE 'ASIA/%' AND NOT regexp_matches(path, '6$')
+  UNION ALL SELECT 'file_dependency', source, 'File dependency violation', 'Rule: project files, with name "Customer#*6" should only depend on files, in path "ASIA/**"' || chr(10) || 'File: ' || source || chr(10) || 'Dependencies: ' || string_agg(target, '|' ORDER BY target)
+    FROM edges WHERE NOT external AND source <> target AND source LIKE '%6' AND target NOT LIKE 'ASIA/%' GROUP BY source
+  UNION ALL SELECT 'empty_test', 'files.depend_on_files', 'Empty test violation', 'Rule: project files, in path "ATLANTIS/**" should only depend on files, in path "ASIA/**"' || chr(10) || 'Rule id: files.depend_on_files' || chr(10) || 'Reason: no files matched the rule scope' || chr(10) || 'Selectors: path glob "ATLANTIS/**" (exact)'
+  UNION ALL SELECT 'external_dependency', source, 'External dependency violation', 'Rule: project files, in path "EUROPE/**" should not depend on external modules "*1"' || chr(10) || 'File: ' || source || chr(10) || 'Dependencies: ' || string_agg(target, '|' ORDER BY target)
+    FROM edges WHERE external AND source <> target AND source LIKE 'EUROPE/%' AND regexp_matches(target, '^[^/]*1$') AND kinds & 4 <> 0 AND classes & 2 <> 0 AND availabilities <> 0 GROUP BY source
+  UNION ALL SELECT 'layer_dependency', source, 'Layer dependency violation', 'Rule: layers top, middle, base should hold their policies' || chr(10) || 'Dependency: ' || source || ' -> ' || target || chr(10) || 'Source layer: ' || source_layer || chr(10) || 'Target layer: ' || target_layer || chr(10) || 'Policy: may_only_depend_on_layers'
+    FROM placed WHERE source_layer = 'top' AND target_layer = 'base'
+  UNION ALL SELECT 'slice_dependency', 'ASIA', 'Slice dependency violation', 'Rule: slices should not contain dependency "ASIA" -> "EUROPE"' || chr(10) || 'Dependency: ASIA -> EUROPE' || chr(10) || 'Edges: ' || count(*) FROM edges WHERE NOT external AND source LIKE 'ASIA/%' AND target LIKE 'EUROPE/%' HAVING count(*) > 0)""", _PLACED)
+def one_scan_checks(spark, sf_dir):
+    """Six row-wise rules, one of which selects nothing, from one scan of the edges: all violations."""
+    return onescan.check(
+        _edges(spark, sf_dir),
+        onescan.have_field(SIX, [[ASIA]]),
+        onescan.depend_on_files([[SIX]], [[ASIA]]),
+        onescan.depend_on_files([[glob("ATLANTIS/**")]], [[ASIA]]),
+        onescan.depend_on_external([glob("*1")], [[EUROPE]], should=False),
+        onescan.adhere_to_layers(LAYERS, [layers.Policy("top", ("middle",))]),
+        onescan.contain_dependency(lambda c: slices.by_regex(c, "^([^/]+)/"), "ASIA", "EUROPE", should=False),
+    )

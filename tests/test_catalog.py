@@ -13,7 +13,7 @@ SOME = [
     "reachable_from", "dependents_of", "scc_membership", "cycles_bounded", "cycle_edges", "have_no_cycles", "edge_evidence", "projected_coupling",
     "scan_references", "ignore_comments", "scan_graph", "workspace_edges", "ignore_file", "nested_projects", "default_metadata",
     "slice_identity_except", "comprehensive_report", "violation_text", "component_order", "adhere_to", "find_edge", "snapshot_nodes", "projected_custom_metric",
-    "file_view", "checked_rules", "many_patterns",
+    "file_view", "checked_rules", "many_patterns", "one_scan_checks",
 ]
 
 
