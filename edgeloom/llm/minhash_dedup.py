@@ -16,7 +16,9 @@ of 5e-11 is all that this can lose). That makes it an overlap join with three ex
   second one with the document it collides with most within its block of a long list; lists whose
   members these links join into one component are skipped. In the rest, the documents outside of the
   list's largest component are compared with all its documents, block against block, each pair in the
-  first list that it shares. Comparing counts the collisions of each pair over ``long_coords``
+  first list that it shares. A long list is cut by set size too: sets that link differ by at most
+  ``100 / percent`` in size, so a block meets only blocks of its own and the two neighbouring classes
+  of sizes, and in a cell only pairs whose sizes allow a link. Comparing counts the collisions of each pair over ``long_coords``
   coordinates of one byte and retains the pairs with ``long_matches`` or more, so that documents that
   share half of their text don't pass (256 and 145 at 0.75: a tail of 5e-11). A block comparison
   passes on a spanning forest of what it finds, never its pairs.
@@ -30,9 +32,11 @@ neither copies nor near copies become pairs.
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm import textkernels as K
@@ -42,6 +46,8 @@ COORDS, MATCHES, SHINGLE, PERCENT = 64, 24, 5, 75
 LONG_COORDS, LONG_MATCHES = 256, 145
 #: Members of a posting list that meet in one task at a time.
 BLOCK = 256
+#: Lists of more blocks than this are cut by classes of set sizes; a document of one then meets three classes.
+FEW_BLOCKS = 4
 #: Members of a family whose full sets meet in one task at a time.
 FAMILY_BLOCK = 128
 #: Lists of a document, the most frequent ones posted, in which the second merge looks for its nearest document.
@@ -149,39 +155,70 @@ def _confirm(pairs: DataFrame, packed: DataFrame, size: int, percent: int) -> Da
 
 
 def _long_signatures(packed: DataFrame, size: int, coords: int) -> DataFrame:
-    """(doc, long): one byte of each of so many minima."""
+    """(doc, n, long): set size, and one byte of each of so many minima."""
 
     def run(batches):
         a, b = _factors(coords + COORDS)
         factors = a[COORDS:], b[COORDS:]
         for batch in batches:
-            out = []
+            out, counts = [], []
             for blob, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = np.frombuffer(pa.decompress(blob, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
                 sets = _shingles(data, K.find_words(data, np.array([0, n]), K.SPACE_SEPARATED), size)[0]
+                counts.append(len(sets))
                 out.append(_signature(sets, factors).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc", "long"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], names=["doc", "n", "long"])
+
+    return packed.where("packed IS NOT NULL").select("doc", "packed", "size").mapInArrow(run, "doc long, n long, long binary")
+
+
+def _size_class(percent: int) -> Column:
+    """Sets of n elements that link are in the same class or in neighbouring ones."""
+    return F.floor(F.ln("n") / (max(log(100 / percent), 0.05) * (1 + 1e-6))).cast("long")
+
 
-    return packed.where("packed IS NOT NULL").select("doc", "packed", "size").mapInArrow(run, "doc long, long binary")
+def _sizes_allow(one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can reach the similarity at all."""
+    return 100 * np.minimum(one, two) >= percent * np.maximum(one, two)
 
 
-def _cells(rows: DataFrame, key: str, columns: list[str], block: int) -> DataFrame:
+def _cells(rows: DataFrame, key: str, columns: list[str], block: int, size_class: Column | None = None) -> DataFrame:
     """(i, j, members): of each key, the rows outside of its largest component against all, block against block.
 
-    So no task gets a whole key, and the more of a key is joined already, the fewer cells it has.
+    So no task gets a whole key, and the more of a key is joined already, the fewer cells it has. Keys of
+    more than ``FEW_BLOCKS`` blocks are cut by size_class too, and a block meets those of its class and its two
+    neighbours only. What gathers rows does so under one column, so that no stage is dealt by the key alone.
     """
-    counts = rows.groupBy(key, "comp").agg(F.count("*").alias("n"))
-    counts = counts.groupBy(key).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_members"))
-    counts = cut(counts.where("n_members > top.n").select(key, F.col("top.comp").alias("top"), F.ceil((F.col("n_members") - F.col("top.n")) / block).cast("int").alias("rest"), F.ceil(F.col("top.n") / block).cast("int").alias("others")))
+    rows = rows.withColumn("cls", F.lit(0).cast("long") if size_class is None else size_class)
+    parts = rows.groupBy(key, "comp", "cls").agg(F.count("*").alias("n_rows"))
+    tops = parts.groupBy(key, "comp").agg(F.sum("n_rows").alias("n_comp")).groupBy(key).agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.sum("n_comp").alias("n_members"))
+    tops = tops.where("n_members > top.n_comp").select(key, F.col("top.comp").alias("top"), (F.col("n_members") <= FEW_BLOCKS * block).alias("few"))
+    used = F.when(F.col("few"), 0).otherwise(F.col("cls")).alias("cls")
     inside = F.col("comp") == F.col("top")
-    dealt = rows.join(counts, key).withColumn("block", F.when(inside, F.col("rest") + F.pmod(F.xxhash64("doc"), F.col("others"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("rest"))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(inside, 0).otherwise(F.col("others")))))
-    cells = dealt.groupBy(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return cells.agg(F.collect_list(F.struct("doc", "comp", "block", *columns)).alias("members")).select("i", "j", "members")
+    sizes = parts.join(tops, key).groupBy(F.struct(key, "top", "few", used).alias("at")).agg(
+        F.ceil(F.sum(F.when(inside, 0).otherwise(F.col("n_rows"))) / block).alias("rest"), F.ceil(F.sum(F.when(inside, F.col("n_rows")).otherwise(0)) / block).alias("others")
+    )
+    blocks = F.map_from_entries(F.collect_list(F.struct("cls", F.struct("rest", "others")))).alias("blocks")
+    counts = cut(sizes.select("at.*", "rest", "others").groupBy(key, "top", "few").agg(blocks))
+
+    number = lambda cls, k: F.shiftleft(cls, 32) + k
+    own = F.try_element_at("blocks", F.col("cls"))
+    place = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), n))
+    dealt = rows.join(counts, key).withColumn("cls", used)
+    dealt = dealt.withColumn("block", number(F.col("cls"), F.when(inside, own["rest"] + place(own["others"])).otherwise(place(own["rest"]))))
+
+    def met(cls):
+        there = F.try_element_at("blocks", cls)
+        n = F.coalesce(there["rest"] + F.when(inside, 0).otherwise(there["others"]), F.lit(0))
+        return F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda k: k < n), lambda k: number(cls, k))
+
+    dealt = dealt.withColumn("other", F.explode(F.flatten(F.array(*[met(F.col("cls") + step) for step in (-1, 0, 1)]))))
+    cells = dealt.groupBy(F.struct(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("cell"))
+    return cells.agg(F.collect_list(F.struct("doc", "comp", "block", *columns)).alias("members")).select("cell.i", "cell.j", "members")
 
 
-def _nearest(lists: DataFrame, block: int, matches: int) -> DataFrame:
-    """(a, b): each document of lists(key, doc, comp, long) with the smaller one of another component that it collides with most in its block."""
+def _nearest(lists: DataFrame, block: int, matches: int, percent: int) -> DataFrame:
+    """(a, b): each document of lists(key, doc, comp, long, n) with the smaller one of another component that it collides with most in its block."""
 
     def run(batches):
         for batch in batches:
@@ -190,9 +227,9 @@ def _nearest(lists: DataFrame, block: int, matches: int) -> DataFrame:
                 doc, comp = (np.asarray(row.values.field(f)) for f in (0, 1))
                 sig = np.frombuffer(b"".join(row.values.field(2).to_pylist()), np.uint8).reshape(len(doc), -1)
                 order = np.argsort(doc, kind="stable")
-                doc, comp, sig = doc[order], comp[order], sig[order]
+                doc, comp, sig, n = doc[order], comp[order], sig[order], np.asarray(row.values.field(3))[order]
                 for k in range(1, len(doc)):
-                    met = np.where(comp[:k] != comp[k], (sig[:k] == sig[k]).sum(axis=1), 0)
+                    met = np.where((comp[:k] != comp[k]) & _sizes_allow(n[:k], n[k], percent), (sig[:k] == sig[k]).sum(axis=1), 0)
                     if met[best := int(np.argmax(met))] >= matches:
                         left.append(doc[best : best + 1])
                         right.append(doc[k : k + 1])
@@ -200,7 +237,7 @@ def _nearest(lists: DataFrame, block: int, matches: int) -> DataFrame:
 
     counts = cut(lists.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "blocks"))
     dealt = lists.join(counts, "key").groupBy("key", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")).alias("block"))
-    return dealt.agg(F.collect_list(F.struct("doc", "comp", "long")).alias("members")).select("members").mapInArrow(run, "a long, b long").distinct()
+    return dealt.agg(F.collect_list(F.struct("doc", "comp", "long", "n")).alias("members")).select("members").mapInArrow(run, "a long, b long").distinct()
 
 
 def _forest(doc: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,13 +277,17 @@ def _connect(cells: DataFrame, find) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
-def _alike(matches: int):
+def _alike(matches: int, percent: int):
     """Pairs with enough collisions, each in the first list (the rarest first) that it shares: there are no common lists before."""
 
     def find(members, one, two):
         sig = np.frombuffer(b"".join(members.field(3).to_pylist()), np.uint8).reshape(len(members), -1)
         other = sig[two]
-        near = np.array([(other == s).sum(axis=1) >= matches for s in sig[one]])
+        n = np.asarray(members.field(5))
+        near = np.zeros((len(one), len(two)), bool)
+        for row, k in enumerate(one):
+            fits = np.flatnonzero(_sizes_allow(n[two], n[k], percent))
+            near[row, fits] = (other[fits] == sig[k]).sum(axis=1) >= matches
         lists = members.field(4)
         column, count = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)[1:]
         owner, shared = np.repeat(np.arange(len(members)), np.diff(np.asarray(lists.offsets))), count[column] > 1
@@ -331,10 +372,11 @@ def near_duplicates(
     posted, lists = _mixed(active, links)
     signed = cut(_long_signatures(packed.join(lists.select("doc").distinct(), "doc"), size, long_coords))
     few = posted.select("doc", "comp", F.explode(F.slice(F.reverse("key"), 1, NEAREST_LISTS)).alias("key")).join(signed, "doc")
-    links = cut(links.union(_confirm(_nearest(few, BLOCK, long_matches), packed, size, percent)))
+    links = cut(links.union(_confirm(_nearest(few, BLOCK, long_matches, percent), packed, size, percent)))
 
     posted, lists = _mixed(active, links)
-    families = cut(components(_connect(_cells(lists.join(signed, "doc"), "key", ["long", "before"], BLOCK), _alike(long_matches))))
+    cells = _cells(lists.join(signed, "doc"), "key", ["long", "before", "n"], BLOCK, _size_class(percent))
+    families = cut(components(_connect(cells, _alike(long_matches, percent))))
     members = families.join(posted.select("doc", "comp"), F.col("node") == F.col("doc")).join(packed.where("packed IS NOT NULL"), "doc")
     members = members.select(F.col("component").alias("family"), "doc", "comp", "packed", "size")
     more = cut(_connect(_cells(members, "family", ["packed", "size"], FAMILY_BLOCK), _similar(size, percent)))

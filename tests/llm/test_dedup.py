@@ -63,6 +63,41 @@ def test_near_duplicates_with_a_rarer_passage(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in found} == brute.near_duplicates(docs)
 
 
+@pytest.mark.parametrize("few_blocks", [0, 100])
+def test_cells_pair_sets_of_sizes_that_can_link(spark, monkeypatch, few_blocks):
+    """Every pair of two components whose sizes allow a link meets, in one cell; classes make the cells fewer."""
+    monkeypatch.setattr(minhash_dedup, "FEW_BLOCKS", few_blocks)
+    r = random.Random(8)
+    rows = [(k % 3, 10 * k, r.choice((1, 1, 1, 10 * k)), r.choice((1, 3, 4, 30, 40, 41, 900, 1200, 10**6))) for k in range(240)]
+    frame = spark.createDataFrame(rows, "key int, doc long, comp long, n long")
+    cells = minhash_dedup._cells(frame, "key", ["n"], 5, minhash_dedup._size_class(75)).collect()
+    met = [
+        tuple(sorted((a.doc, b.doc)))
+        for c in cells for a in c.members for b in c.members
+        if a.comp != b.comp and a.block == c.i and b.block == c.j and (c.i != c.j or a.doc < b.doc)
+    ]
+    allowed = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and 4 * min(a[3], b[3]) >= 3 * max(a[3], b[3])}
+    assert len(met) == len(set(met)) and allowed <= set(met)
+    every = sum(a[0] == b[0] and a[1] < b[1] and a[2] != b[2] for a in rows for b in rows)
+    assert len(met) == every if few_blocks else len(met) < every / 2
+
+
+def test_near_duplicates_of_many_sizes_around_one_passage(spark, monkeypatch):
+    """A passage that documents of all sizes hold, in one long list that is cut by size."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "FEW_BLOCKS", 1)
+    r = random.Random(12)
+    words = lambda k: [f"v{r.randrange(10**6)}" for _ in range(k)]
+    passage, docs = words(80), []
+    for k in range(60):
+        texts = [words(r.choice((2, 10, 20, 40, 80, 120)))]
+        if k % 3 == 0:
+            texts.append([*texts[0], *words(r.choice((1, 12, 24)))])
+        docs += [(10 * k + j, " ".join(passage + t)) for j, t in enumerate(texts)]
+    found = minhash_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in found} == brute.near_duplicates(docs)
+
+
 def test_near_duplicates_edges(spark):
     nulls = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     rows = sorted(tuple(r) for r in minhash_dedup.near_duplicates(nulls).where("doc_id IS NOT NULL").collect())
