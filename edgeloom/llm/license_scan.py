@@ -34,7 +34,7 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 TEMPLATES = (
     ("mit", "released under the mit license", "mit"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "obtaining associated"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-nc", "creative commons attribution noncommercial license", "creative commons noncommercial"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general 3"),
