@@ -51,7 +51,8 @@ def run(spark: SparkSession, sf_dir: str, keep_tables: bool = False) -> DataFram
     """All stages over documents, each stage's rows written as Parquet and reread by the next.
 
     A stage's table goes once the next one is written, unless it is to be kept, so that two stand on
-    disk at a time; a stage that fails can be run again on the table before it.
+    disk at a time; a stage that fails can be run again on the table before it. The last stage reads its
+    table while it is built and returns a checkpoint's rows, so that its table goes too.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark).rstrip('/')}/{unique_name('pipeline')}"
@@ -61,4 +62,7 @@ def run(spark: SparkSession, sf_dir: str, keep_tables: bool = False) -> DataFram
         docs = spark.read.parquet(at)
         if k and not keep_tables:
             remove_folder(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    if not keep_tables:
+        remove_folder(spark, base)
+    return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import textkernels as K
-from edgeloom.llm.common import cut, partitions_for, shared_folder, small_batches, unique_name
+from edgeloom.llm.common import cut, partitions_for, remove_folder, shared_folder, small_batches, unique_name
 
 END_ID = 2
 PART_BYTES = 16 << 20
@@ -454,8 +454,11 @@ def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, id_col:
     """Write token files and read them back as document_index does.
 
     One row for each row of docs; nulls, empty and long texts, repeated rows, empty tables and other
-    columns as in write_token_files.
+    columns as in write_token_files. Files written where no path is given go once they are decoded.
     """
-    path = path or scratch_path(docs.sparkSession)
-    write_token_files(docs, path, tokenizer, id_col, text_col, end_id=end_id)
-    return document_index(docs.sparkSession, path, id_col)
+    spark, at = docs.sparkSession, path or scratch_path(docs.sparkSession)
+    write_token_files(docs, at, tokenizer, id_col, text_col, end_id=end_id)
+    index = document_index(spark, at, id_col)
+    if path is None:
+        remove_folder(spark, at)
+    return index

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import brute
 import corpus_pipeline
@@ -10,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from edgeloom.llm import quality
+from edgeloom.llm.common import shared_folder
 from edgeloom.llm.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +76,16 @@ def test_mixing_stage(stages):
     assert Counter(r.doc_id for r in stages[4].collect()) == +Counter(want)
 
 
+def test_no_table_stays(spark, stages):
+    """What run() wrote is gone before its rows are read, and they are those of the stages one by one."""
+    base = Path(shared_folder(spark))
+    before = {p.name for p in base.iterdir()}
+    out = corpus_pipeline.run(spark, SF)
+    left = {p.name for p in base.iterdir()} - before
+    assert not [n for n in left if n.startswith(("pipeline-", "token-files-"))]
+    assert Counter(tuple(r) for r in out.collect()) == Counter(tuple(r) for r in stages[5].collect())
+
+
 def test_token_stage(stages):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
