@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidOptions
 from edgeloom.functions.patterns import all_of, extension, folder, stem
+from edgeloom.operators.components import settled as cut
 
 COMPARISONS = {
     "below": lambda a, b: a < b,
@@ -22,10 +23,11 @@ def coupling(edges: DataFrame, selectors=()) -> DataFrame:
 
     Only edges between files with a self-edge count. Instability is Ce / (Ca + Ce), 0 for isolated
     files. The coupling factor is (Ca + Ce) / (2 (n - 1)), n being all files, chosen or not; 0 for one
-    file. Each edge adds one row to either end, so this is a single partial aggregation.
+    file. Each edge adds one row to either end, so this is a single partial aggregation. Edges are read when this is called.
     """
-    files = edges.where("NOT external AND source = target").select(F.col("source").alias("label"))
-    inside = edges.where("NOT external AND source != target")
+    rows = cut(edges.where("NOT external").select("source", "target"))  # normalized once for the files and both ends
+    files = rows.where("source = target").select(F.col("source").alias("label"))
+    inside = rows.where("source != target")
     inside = inside.join(files.select(F.col("label").alias("source")), "source", "left_semi").join(files.select(F.col("label").alias("target")), "target", "left_semi")
     zero, one = F.lit(0), F.lit(1)
     ends = files.select("label", zero.alias("a"), zero.alias("e"))
@@ -57,12 +59,14 @@ def projected_coupling(edges: DataFrame, label) -> DataFrame:
     """(label, source_file_count, afferent, efferent, instability, coupling_factor) of each projected subject.
 
     label(column) gives an end's subject, null for none. Subjects are the labels of files; edges count
-    once for each pair of different subjects, if any of them is internal.
+    once for each pair of different subjects, if any of them is internal. Edges are read when this is called.
     """
     rows = edges.select("source", "target", "external", label(F.col("source")).alias("source_label"), F.when(F.col("external"), F.col("target")).otherwise(label(F.col("target"))).alias("target_label")).dropna(subset=["source_label", "target_label"])
     own = (~F.col("external")) & (F.col("source") == F.col("target"))
-    subjects = rows.where(own).groupBy(F.col("source_label").alias("label")).agg(F.countDistinct("source").alias("source_file_count"))
-    pairs = rows.groupBy("source_label", "target_label").agg(F.bool_and("external").alias("external"))
+    merged = rows.withColumn("file", F.when(own, F.col("source"))).groupBy("source_label", "target_label", "file").agg(F.bool_and("external").alias("external"))
+    pairs = cut(merged.groupBy("source_label", "target_label").agg(F.bool_and("external").alias("external"), F.count("file").alias("files")))  # one look at the edges
+    subjects = pairs.groupBy(F.col("source_label").alias("label")).agg(F.sum("files").alias("source_file_count")).where("source_file_count > 0")
+    pairs = pairs.drop("files")
     inside = validated(subjects, pairs).where("NOT external AND source_label != target_label")
     ends = subjects.select("label", F.lit(0).alias("a"), F.lit(0).alias("e"))
     ends = ends.union(inside.select("target_label", F.lit(1), F.lit(0))).union(inside.select("source_label", F.lit(0), F.lit(1)))
