@@ -99,6 +99,39 @@ def test_strong_components_of_tangles(spark, seed):
     assert found == strong_by_closure(pairs)
 
 
+def parts_in_a_row(parts, size, seed):
+    """Strong parts of several steps, an edge from each to the next."""
+    r, out = random.Random(seed), set()
+    names = shuffled(parts * size, seed)
+    for k in range(parts):
+        part = names[k * size : (k + 1) * size]
+        out |= set(zip(part, part[1:] + part[:1], strict=True)) | {(r.choice(part), r.choice(part)) for _ in range(3 * size)}
+        if k:
+            out.add((names[k * size - 1], part[0]))
+    return sorted(p for p in out if p[0] != p[1])
+
+
+def test_parts_in_a_row_are_gathered(spark, monkeypatch):
+    """Failed before: colours passed from part to part, so that each split took all edges of the parts that were left."""
+    coloured, plain = [], strong._colours
+    monkeypatch.setattr(strong, "_colours", lambda edges: coloured.append(edges.count()) or plain(edges))
+    for name, value in {"GATHERED": 500, "SPREAD": 8}.items():
+        monkeypatch.setattr(strong, name, value, raising=False)
+    pairs = parts_in_a_row(8, 60, 1)
+    found = {r.label: r.component for r in traversal.strong_components(graph_of(spark, pairs)).collect()}
+    assert found == strong_by_closure(pairs)
+    assert sum(coloured) < len(pairs)
+
+
+@pytest.mark.parametrize("reach", [1, 8])
+def test_gathering_decides_nothing_uncertain(spark, monkeypatch, reach):
+    for name, value in {"GATHERED": 20, "SPREAD": 3, "REACH": reach, "SMALL": 8 * reach}.items():
+        monkeypatch.setattr(strong, name, value)
+    pairs = tangle(2)
+    found = {r.label: r.component for r in traversal.strong_components(graph_of(spark, pairs)).collect()}
+    assert found == strong_by_closure(pairs)
+
+
 def test_contracted_chains(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (3, 5), (7, 8), (8, 7), (9, 10), (10, 9), (9, 11)], "s long, t long")
     rest, chains, rings = strong.contract_chains(edges)
