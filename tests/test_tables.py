@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -49,3 +51,17 @@ def test_references_are_merged_without_their_paths(spark):
     plan = tables.edges(spark, SF).select("source", "target", "kinds")._jdf.queryExecution().optimizedPlan().toString()
     merges = [x.split("Aggregate [", 1)[1].split("]", 1)[0] for x in plan.splitlines() if "Aggregate [" in x]
     assert merges and not any("source" in keys or "path" in keys for keys in merges)
+
+
+def test_parts_of_references_grow_with_the_tables(spark, monkeypatch):
+    """Failed before: only the last join of references did, the others and the merge had as many parts as any shuffle."""
+    monkeypatch.setattr(tables, "ROWS", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = tables.edges(spark, SF).drop("locations")
+        parts = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", edges._jdf.queryExecution().executedPlan().toString())
+        assert len(parts) > 6 and min(map(int, parts)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert plain(edges) == plain(graph.normalize(tables.references(spark, SF), tables.files(spark, SF)).drop("locations"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
