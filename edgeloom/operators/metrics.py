@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.errors import InvalidOptions
 from edgeloom.functions.patterns import all_of, extension, folder, stem
+from edgeloom.operators.components import kept
 from edgeloom.operators.components import settled as cut
 
 COMPARISONS = {
@@ -25,7 +26,7 @@ def coupling(edges: DataFrame, selectors=()) -> DataFrame:
     files. The coupling factor is (Ca + Ce) / (2 (n - 1)), n being all files, chosen or not; 0 for one
     file. Each edge adds one row to either end, so this is a single partial aggregation. Edges are read when this is called.
     """
-    rows = cut(edges.where("NOT external").select("source", "target"))  # normalized once for the files and both ends
+    rows = kept(edges.where("NOT external").select("source", "target"))  # normalized once for the files and both ends
     files = rows.where("source = target").select(F.col("source").alias("label"))
     inside = rows.where("source != target")
     inside = inside.join(files.select(F.col("label").alias("source")), "source", "left_semi").join(files.select(F.col("label").alias("target")), "target", "left_semi")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark import TaskContext
 
 from edgeloom.functions.patterns import glob
 from edgeloom.operators import metrics, rules, slices, traversal
@@ -35,3 +36,18 @@ def test_edges_are_made_once(spark, name):
 def test_checked_rules_read_the_tables_once(spark):
     """Failed before: the plan of the answer read them once a rule and more."""
     assert "parquet" not in catalog.checked_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_keep_their_parts(spark):
+    """Failed before: a task of the checkpoint made several parts of the edges, and held the sorts of all."""
+    late = spark.sparkContext.accumulator(0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def note(batches):
+        late.add(int(TaskContext.get().partitionId() >= parts))
+        yield from batches
+
+    edges = spark.createDataFrame([(a, b, b == "std", 1, 1, 1) for a, b in PAIRS], EDGE).repartition(3 * parts)
+    summary = traversal.snapshot(edges.mapInArrow(note, EDGE), traversal.Options(external=True))[2]
+    assert late.value == 2 * parts
+    assert summary.first().raw_edge_count == 5
